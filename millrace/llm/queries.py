@@ -9,12 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.language import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.bpe import encode_digests
 
     return encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.near import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.decontaminate import contaminated
 
@@ -28,7 +46,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op3_quality": op3_quality,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
+    "op8_near_dedup": op8_near_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
