@@ -21,6 +21,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.bpe import encode_digests
 
@@ -48,6 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
+    "op6_token_counts": op6_token_counts,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontaminate": op9_decontaminate,
