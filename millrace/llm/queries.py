@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm.common import table
 
@@ -21,6 +21,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.substrings import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), keep_first=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.tokencount import token_counts
 
@@ -54,6 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_near_dedup": op8_near_dedup,
