@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.secret_scan import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.language import language_report
 
@@ -59,6 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
