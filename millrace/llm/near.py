@@ -14,6 +14,8 @@ from millrace.llm.common import components, cut, mix64, stored, strings, utf8
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and coordinates of each: two texts of similarity 0.8 share no band with probability (1 - 0.8 ** 4) ** 28 = 4e-7.
 BANDS, ROWS = 28, 4
+#: Members, and characters of their texts, that a block of a cell holds on average.
+BLOCK_ROWS, BLOCK_BYTES = 600, 4_000_000
 #: Texts that are sketched at once, by words.
 BATCH_WORDS = 400_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -110,7 +112,7 @@ def bands(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, content, bands): a 64-bit hash pair of the shingle counts, and the band hashes; none for texts without words."""
+    """(doc_id, content, size, bands): a pair of 64-bit hashes of the shingle counts, characters, and the band hashes; none for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,28 +128,119 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 with np.errstate(over="ignore"):
                     content = [b"".join(mix64(s * (c.astype(np.uint64) * np.uint64(2) + np.uint64(1)) + np.uint64(k)).sum(dtype=np.uint64).tobytes() for k in (1, 2)) for s, c in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(some, h.shape[1], 0))).astype(np.int32)), pa.array(h[some].ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, at - begin), pa.array(content, pa.binary()), lists], ["doc_id", "content", "bands"])
+                size = pa.array([len(t) for t in texts[begin:at]], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, at - begin), pa.array(content, pa.binary()), size, lists], ["doc_id", "content", "size", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, content binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, content binary, size long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose texts' weighted Jaccard similarity is ``similarity`` or more."""
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    both = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def elements(text: str) -> np.ndarray:
+    """One hash for each unit of weight of each shingle, so that weighted similarity is that of these sets."""
+    s, c = shingles(text)
+    unit = (np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return np.repeat(s, c) ^ (unit * _SEED)
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Elements that each set of ``a`` shares with each of ``b``: products of 0/1 matrices over what both sides hold."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    ea, eb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(ea, eb)
+    ra, rb = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    ka, kb = np.isin(ea, both), np.isin(eb, both)
+    ca, cb = np.searchsorted(both, ea[ka]), np.searchsorted(both, eb[kb])
+    ra, rb = ra[ka], rb[kb]
+    oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
+    ca, ra, cb, rb = ca[oa], ra[oa], cb[ob], rb[ob]
+    for at in range(0, len(both), width):
+        m = []
+        for rows, c, r in ((len(a), ca, ra), (len(b), cb, rb)):
+            x, y = np.searchsorted(c, [at, at + width])
+            part = np.zeros((rows, min(width, len(both) - at)), np.float32)
+            part[r[x:y], c[x:y] - at] = 1
+            m.append(part)
+        out += m[0] @ m[1].T
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of each run of equal first ``keys`` columns."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[-1][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def blocked(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cell, id, ..., block, blocks): members dealt by hash over as many blocks as bound their number and bytes."""
+    many = cells.join(sizes, "id")
+    blocks = many.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_ROWS), F.sum("size") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    return many.drop("size").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def star_links(cells: DataFrame, sizes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the members of each cell that are like its hub, whose id names the cell. A hub goes to each block of its cell."""
+    dealt = blocked(cells, sizes)
+    at = F.when(F.col("id") == F.col("cell"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    rows = dealt.select("cell", F.explode(at).alias("block"), (F.col("id") != F.col("cell")).alias("other"), "id").join(texts, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last: tuple[str, tuple] | None = None
-            keep = []
-            for x, y in zip(strings(batch.column(2)), strings(batch.column(3)), strict=True):
-                if last is None or last[0] != y:
-                    last = (y, shingles(y))
-                keep.append(weighted_jaccard(shingles(x), last[1]) >= similarity - 1e-12)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        hub, mine = None, None
+        for b in batches:
+            links = []
+            for cell, other, i, text in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if not other:
+                    hub, mine = cell, elements(text)
+                elif hub == cell:
+                    x = elements(text)
+                    n = len(np.intersect1d(mine, x, assume_unique=True))
+                    if n >= similarity * (len(mine) + len(x) - n) - 1e-9:
+                        links.append((hub, i))
+            yield pairs_batch(links)
+
+    ordered = rows.select("cell", "block", "other", "id", "text").repartition(F.col("cell"), F.col("block")).sortWithinPartitions("cell", "block", "other")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def cross_links(cells: DataFrame, sizes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) for members of a cell that are alike but have different roots: a link for each two roots that have any.
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    Each two blocks of a cell meet in one task, which holds no more than they have.
+    """
+    dealt = blocked(cells, sizes).join(texts, "id")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("lo"), F.greatest(x, F.col("block")).alias("hi")))
+    rows = dealt.select("cell", F.explode(pair).alias("p"), "block", "id", "root", "text").select("cell", "p.lo", "p.hi", "block", "id", "root", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, 3):
+            lo, hi = rows[0][1:3]
+            sides = [[(r[4], r[5], elements(r[6])) for r in rows if r[3] == k] for k in (lo, hi)]
+            if not sides[0] or not sides[1] or len({r[1] for s in sides for r in s}) < 2:
+                continue
+            a, b = sides
+            n = overlaps([x[2] for x in a], [x[2] for x in b])
+            size = [np.array([len(x[2]) for x in s], np.float32) for s in sides]
+            roots = [np.array([x[1] for x in s]) for s in sides]
+            alike = (n >= similarity * (size[0][:, None] + size[1][None] - n) - 1e-3) & (roots[0][:, None] != roots[1][None])
+            links = {}
+            for i, j in zip(*(v.tolist() for v in np.nonzero(alike)), strict=True):
+                links.setdefault((a[i][1], b[j][1]), (a[i][0], b[j][0]))
+            yield pairs_batch(list(links.values()))
+
+    ordered = rows.repartition(F.col("cell"), F.col("lo"), F.col("hi")).sortWithinPartitions("cell", "lo", "hi")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def pairs_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,31 +252,35 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     ignored.
 
     1. Texts of equal shingle counts are one content, for which one document stands from here on.
-    2. In each bucket of a band all members are held against one hub, the member with the most company over all its
-       bands, as the original of many edited copies has. Pairs are verified on whole texts, components follow.
-    3. Then members of a bucket that are in different components are held against each other, until nothing is
-       untried: a link is lost only if two texts share no band. No pairs are made within a component.
+    2. Each bucket of a band has a hub, the member with the most company over all its bands, as the original of many
+       edited copies has; the members of all buckets of a hub are its cell. Members are held against their hubs on
+       whole texts, and components follow.
+    3. In buckets whose members are still in different components, all those of a cell are held against each other,
+       block by block; only links come out. So a link is lost only if two texts share no band.
     """
-    docs = docs.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(text_col).alias("text")) if repeats(docs, id_col) else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = text.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats(docs, id_col) else text
     seen = stored(sketches(docs), "sketches")
-    heads = seen.where(F.size("bands") > 0).groupBy("content").agg(F.min("doc_id").alias("head"))
-    member = cut(seen.where(F.size("bands") > 0).select("doc_id", "content").join(heads, "content").select("doc_id", "head"))
-    stand = seen.join(member.where("doc_id = head").select("doc_id"), "doc_id", "left_semi")
+    some = seen.where(F.size("bands") > 0)
+    heads = some.groupBy("content").agg(F.min("doc_id").alias("head"))
+    member = cut(some.select("doc_id", "content").join(heads, "content").select("doc_id", "head"))
+    stand = some.join(member.where("doc_id = head").select("doc_id"), "doc_id", "left_semi")
     spread = stand.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
-    crowds = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(spread.join(crowds, "band"))
+    shared = cut(spread.join(spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
     company = shared.groupBy("id").agg(F.sum("n").alias("company"))
-    shared = cut(shared.join(company, "id").select("band", "id", "company"))
-    hubs = shared.groupBy("band").agg(F.max(F.struct("company", (-F.col("id")).alias("less"))).alias("top")).select("band", (-F.col("top.less")).alias("hub"))
-    tried = cut(shared.join(hubs, "band").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-    links = cut(verified(tried, docs, similarity, "doc_id", "text"))
+    ranked = shared.join(company, "id")
+    # the greatest company, then the least id: two aggregations, as neither orders by the other
+    most = ranked.groupBy("band").agg(F.max("company").alias("company"))
+    hubs = ranked.join(most, ["band", "company"]).groupBy("band").agg(F.min("id").alias("hub"))
+    placed = cut(shared.select("band", "id").join(hubs, "band"))
+    texts = docs.withColumnRenamed("doc_id", "id").where("id is not null")
+    sizes = stand.select(F.col("doc_id").alias("id"), "size")
+    links = cut(star_links(placed.select(F.col("hub").alias("cell"), "id").distinct(), sizes, texts, similarity))
     roots = components(links)
-    labelled = shared.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    labelled = cut(placed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "hub", "id", F.coalesce("root", "id").alias("root")))
     split = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_ = cut(labelled.join(split, "band", "left_semi"))
-    left, right = open_.select("band", F.col("id").alias("a"), F.col("root").alias("ra")), open_.select("band", F.col("id").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "band").where("ra <> rb and a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(verified(cut(rest), docs, similarity, "doc_id", "text"))
+    open_ = labelled.join(split, "band", "left_semi").select(F.col("hub").alias("cell"), "id", "root").distinct()
+    more = cut(cross_links(open_, sizes, texts, similarity))
     roots = cut(components(links.unionByName(more)))
     named = member.join(roots.withColumnRenamed("node", "head"), "head", "left").select("doc_id", F.coalesce("root", "head").alias("class_id"))
     sized = named.join(named.groupBy("class_id").agg(F.count("*").alias("class_size")), "class_id")
