@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from millrace.llm.common import small
+
 
 def training_rows(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows that may be learned from: crc32 of the id as text, modulo 3, is not 1."""
@@ -23,6 +25,6 @@ def hash_sample(df: DataFrame, label: str, each: int, id_col: str = "doc_id") ->
     """
     counts = df.groupBy(label).agg(F.count("*").alias("_n")).where(F.col(label).isNotNull())
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 40))
-    near = df.join(counts, label).withColumn("_draw", draw).where(F.col("_draw") <= F.lit(4.0 * each + 16) / F.col("_n") * (1 << 40))
+    near = df.join(small(counts), label).withColumn("_draw", draw).where(F.col("_draw") <= F.lit(4.0 * each + 16) / F.col("_n") * (1 << 40))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_draw", F.col(id_col).cast("string")))
     return near.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_n", "_draw", "_rank")
