@@ -18,7 +18,7 @@ ANCHOR = 48
 #: Bytes of distinct surroundings of one anchor that one suffix array takes; anchors with more are dealt out by window.
 GROUP_BYTES = 2_000_000
 #: Bytes that a task gathers before it sorts their suffixes, and bytes of text whose anchors are found at once.
-SORT_BYTES, SCAN_BYTES = 4_000_000, 1_000_000
+SORT_BYTES, SCAN_BYTES = 300_000, 150_000
 _BASES = (0x100000001B3, 0x9E3779B97F4A7C15)
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -256,6 +256,12 @@ def window_marks(parts: DataFrame, length: int, later_only: bool) -> DataFrame:
     return hit.select("doc_id", "txt", "lo", F.col("lo").alias("hi"))
 
 
+def concerned(rows: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows whose doc_id is among ``ids`` (or is not): a filter in place while the ids are few enough to broadcast."""
+    keys = small(ids.select(F.col("doc_id").alias("c_id")).distinct())
+    return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("c_id")), "left_semi" if inside else "left_anti")
+
+
 def repeated_passages(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, txt, lo, hi): every ``length``-byte window that begins at lo..hi of the text also stands elsewhere.
 
@@ -292,8 +298,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, keep_first: bool =
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["hash", "doc_id", "txt", "lo", "bytes", "hot"])
 
-    want = small(by_doc.withColumnRenamed("doc_id", "w_id"), 200_000)
-    cutout = rows.join(want, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("doc_id", "text", "want").mapInArrow(slices, "hash long, doc_id long, txt long, lo long, bytes binary, hot boolean")
+    want = by_doc.withColumnRenamed("doc_id", "w_id")
+    cutout = concerned(rows, by_doc).join(want, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("doc_id", "text", "want").mapInArrow(slices, "hash long, doc_id long, txt long, lo long, bytes binary, hot boolean")
     # rows that repeat both id and text give their slices once
     parts = stored(cutout, "parts").dropDuplicates(["hash", "doc_id", "txt", "lo"])
     cold = sorted_marks(parts.where("not hot").select("hash", "doc_id", "txt", "lo", "bytes").repartition(F.col("hash")), length, keep_first)
@@ -321,7 +327,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     marks = repeated_passages(docs, length, keep_first, id_col, text_col)
     by_doc = cut(marks.groupBy("doc_id").agg(F.collect_list(F.struct("txt", "lo", "hi")).alias("marks")).withColumnRenamed("doc_id", "m_id"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(small(by_doc, 200_000), F.col("doc_id").eqNullSafe(F.col("m_id")), "left").select("doc_id", "text", "marks")
+    ids = by_doc.select(F.col("m_id").alias("doc_id"))
+    marked = concerned(rows, ids).join(by_doc, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("doc_id", "text", "marks")
+    joined = marked.unionByName(concerned(rows, ids, False).select("doc_id", "text", F.lit(None).cast(by_doc.schema["marks"].dataType).alias("marks")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
