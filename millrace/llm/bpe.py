@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import strings, utf8
+from millrace.llm.common import bounded, strings, utf8
 
 #: Entries of a worker's cache; the generation before it is kept beside it.
 CACHE = 120_000
@@ -164,7 +164,7 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for b in batches:
+        for b in bounded(batches):
             n, a, d = [], [], []
             for text in strings(b.column(1)):
                 ids, tokens = bpe.encode(text)
@@ -183,7 +183,7 @@ def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for b in batches:
+        for b in bounded(batches):
             texts = strings(b.column(1))
             for at in range(0, len(texts), 500):  # ids take more room than texts
                 pairs = [bpe.encode(t) for t in texts[at : at + 500]]

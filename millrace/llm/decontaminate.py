@@ -8,7 +8,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import cut, small, strings, utf8
+from millrace.llm.common import bounded, cut, small, strings, utf8
 
 #: Edits allowed for each byte of an item's normal form.
 ERROR_RATE = 0.08
@@ -141,7 +141,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, bl
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
-            for b in batches:
+            for b in bounded(batches):
                 found = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True) for hit in matcher.find(t)]
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], strict=True)], ["doc_id", "item_id", "distance", "errors_allowed", "end_at"])

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import cut, small, strings, utf8
+from millrace.llm.common import bounded, cut, small, strings, utf8
 
 #: Distinct fingerprints that a merging task should hold, on average.
 SLICE_ROWS = 2_000_000
@@ -90,7 +90,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, fp, sha) of every row: the first 8 bytes of SHA-256 of the normalised text, and all of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             sha = [hashlib.sha256(normal(x)).digest() for x in strings(b.column(1))]
             fp = np.frombuffer(b"".join(x[:8] for x in sha), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(sha, pa.binary())], ["doc_id", "fp", "sha"])
@@ -108,7 +108,7 @@ def repeated_fingerprints(fps: DataFrame, slices: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        for b in batches:
+        for b in bounded(batches):
             held.append(np.unique(b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64), return_counts=True))
             if len(held) > 16:
                 held = [QuotientFilter(*map(np.concatenate, zip(*held, strict=True))).items()]
@@ -142,7 +142,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = small(again.select("fp"))
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             texts = [normal(x) for x in strings(b.column(1))]
             fp = np.frombuffer(b"".join(hashlib.sha256(x).digest()[:8] for x in texts), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(texts, pa.binary())], ["doc_id", "fp", "bytes"])

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import strings, utf8
+from millrace.llm.common import bounded, strings, utf8
 from millrace.llm.samples import hash_sample, held_out, training_rows
 
 #: Labelled rows drawn for each language, and bytes of their texts that each automaton holds.
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(model) if model else None
-        for b in batches:
+        for b in bounded(batches):
             texts = strings(b.column(1))
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             known = [k for k, t in enumerate(texts) if p and any(map(str.isalpha, t))]

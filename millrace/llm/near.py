@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import components, cut, mix64, stored, strings, utf8
+from millrace.llm.common import bounded, components, cut, mix64, stored, strings, utf8
 
 #: Words of a shingle and weighted Jaccard similarity from which two texts are linked.
 WORDS, SIMILARITY = 5, 0.8
@@ -115,7 +115,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, content, size, bands): a pair of 64-bit hashes of the shingle counts, characters, and the band hashes; none for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             ids, texts, at = b.column(0), strings(b.column(1)), 0
             while at < len(texts):
                 sets, words, begin = [], 0, at
@@ -168,7 +168,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Rows of each run of equal first ``keys`` columns."""
     held: list[tuple] = []
-    for b in batches:
+    for b in bounded(batches):
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if held and held[-1][:keys] != row[:keys]:
                 yield held
@@ -193,7 +193,7 @@ def star_links(cells: DataFrame, sizes: DataFrame, texts: DataFrame, similarity:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, mine = None, None
-        for b in batches:
+        for b in bounded(batches):
             links = []
             for cell, other, i, text in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 if not other:

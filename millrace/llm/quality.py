@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import small, strings, utf8
+from millrace.llm.common import bounded, small, strings, utf8
 from millrace.llm.samples import hash_sample, held_out, training_rows
 
 #: Labelled rows drawn for each of the two labels; the network learns from no more than these.
@@ -160,7 +160,7 @@ def score(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str =
     """(doc_id, score) of every row, whole texts, without a shuffle; only the text decides. Null texts score as empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             found = net.scores([utf8(t) for t in strings(b.column(1))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
@@ -180,7 +180,7 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             yield b.filter(pa.array(net.scores([utf8(t) for t in strings(b.column(place))]) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import cut, mix64, small, stored, strings, utf8
+from millrace.llm.common import bounded, cut, mix64, small, stored, strings, utf8
 
 #: Bytes of a passage that counts as repeated.
 LENGTH = 200
@@ -192,7 +192,7 @@ def anchors(rows: DataFrame, length: int) -> DataFrame:
     """One row for each stretch of windows of one anchor, in every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             ids, texts, at = b.column(0).to_pylist(), [utf8(t) for t in strings(b.column(1))], 0
             while at < len(texts):
                 begin, size = at, 0
@@ -223,7 +223,7 @@ def sorted_marks(parts: DataFrame, length: int, later_only: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "txt", "lo", "hi"])
 
         size = 0
-        for b in batches:
+        for b in bounded(batches):
             for r in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if size >= SORT_BYTES and held[-1][0] != r[0]:
                     yield flush(held)
@@ -240,7 +240,7 @@ def window_marks(parts: DataFrame, length: int, later_only: bool) -> DataFrame:
     """As ``sorted_marks`` for anchors of very many surroundings: windows meet by two hashes of all their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             for doc, txt, lo, data in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
                 x = np.frombuffer(data, np.uint8)
                 w1, w2 = (Hasher(x, base).rolling(length).view(np.int64) for base in _BASES)
@@ -288,7 +288,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, keep_first: bool =
     by_doc = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("txt", "hash", "lo", "last", "hot")).alias("want")))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             out = []
             for doc, text, want in zip(b.column(0).to_pylist(), strings(b.column(1)), b.column(2).to_pylist(), strict=True):
                 data = utf8(text)
@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     joined = marked.unionByName(concerned(rows, ids, False).select("doc_id", "text", F.lit(None).cast(by_doc.schema["marks"].dataType).alias("marks")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             size, gone, spans, kept = [], [], [], []
             for text, marks in zip(strings(b.column(1)), b.column(2).to_pylist(), strict=True):
                 data = utf8(text)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import strings
+from millrace.llm.common import bounded, strings
 
 #: Characters with a column of their own in the transition table: those that stand in most pieces.
 COLUMNS = 120
@@ -249,7 +249,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in batches:
+        for b in bounded(batches):
             n = c.counts(strings(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
