@@ -49,6 +49,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id is in the one column of ``gone``; rows with a null id stay, columns as they were."""
+    keys = gone.toDF(id_col)
+    return docs.join(small(keys), id_col, "left_anti").select(*(docs[c] for c in docs.columns))
+
+
 def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows``, which bounds what Python holds of them at once.
 

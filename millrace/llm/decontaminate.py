@@ -8,7 +8,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, cut, small, strings, utf8
+from millrace.llm.common import bounded, cut, strings, utf8, without
 
 #: Edits allowed for each byte of an item's normal form.
 ERROR_RATE = 0.08
@@ -154,4 +154,4 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, bl
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those that hold a benchmark item; columns as they were. Rows with a null id are kept."""
     bad = cut(contaminated(docs, items, id_col=id_col, text_col=text_col).where("doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(small(bad), docs[id_col] == F.col("_bad"), "left_anti")
+    return without(docs, id_col, bad)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, cut, small, strings, utf8
+from millrace.llm.common import bounded, cut, small, strings, utf8, without
 
 #: Distinct fingerprints that a merging task should hold, on average.
 SLICE_ROWS = 2_000_000
@@ -159,4 +159,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` drops; columns as they were."""
     gone = cut(exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    return without(docs, id_col, gone)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, components, cut, mix64, stored, strings, utf8
+from millrace.llm.common import bounded, components, cut, mix64, stored, strings, utf8, without
 
 #: Words of a shingle and weighted Jaccard similarity from which two texts are linked.
 WORDS, SIMILARITY = 5, 0.8
@@ -295,7 +295,5 @@ def repeats(docs: DataFrame, id_col: str) -> bool:
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that ``near_classes`` would not keep; columns as they were. Rows with a null id stay."""
-    from millrace.llm.common import small
-
     gone = cut(near_classes(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone")))
-    return docs.join(small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    return without(docs, id_col, gone)
