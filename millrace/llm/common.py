@@ -41,7 +41,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as compressed Parquet in the shared folder, read back with their columns prunable."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path  # for discard()
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, when nothing that is still to run reads it."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

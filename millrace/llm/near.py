@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, components, cut, mix64, stored, strings, utf8, without
+from millrace.llm.common import bounded, components, cut, discard, mix64, stored, strings, utf8, without
 
 #: Words of a shingle and weighted Jaccard similarity from which two texts are linked.
 WORDS, SIMILARITY = 5, 0.8
@@ -285,7 +285,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     named = member.join(roots.withColumnRenamed("node", "head"), "head", "left").select("doc_id", F.coalesce("root", "head").alias("class_id"))
     sized = named.join(named.groupBy("class_id").agg(F.count("*").alias("class_size")), "class_id")
     alone = seen.where(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return sized.select("doc_id", "class_id", "class_size").unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    out = cut(sized.select("doc_id", "class_id", "class_size").unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("class_id")))
+    discard(seen)
+    return out
 
 
 def repeats(docs: DataFrame, id_col: str) -> bool:
@@ -295,5 +297,5 @@ def repeats(docs: DataFrame, id_col: str) -> bool:
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that ``near_classes`` would not keep; columns as they were. Rows with a null id stay."""
-    gone = cut(near_classes(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone")))
+    gone = near_classes(docs, id_col=id_col, text_col=text_col).where("not kept").select("doc_id")
     return without(docs, id_col, gone)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, cut, mix64, small, stored, strings, utf8
+from millrace.llm.common import bounded, cut, discard, mix64, small, stored, strings, utf8
 
 #: Bytes of a passage that counts as repeated.
 LENGTH = 200
@@ -263,7 +263,7 @@ def concerned(rows: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, txt, lo, hi): every ``length``-byte window that begins at lo..hi of the text also stands elsewhere.
+    """(doc_id, marks): intervals of starts (txt, lo, hi) by document, checkpointed; every ``length``-byte window that begins at lo..hi of the text also stands elsewhere.
 
     With ``keep_first`` only where it stands earlier, in the order of doc_id, hash of the text (``txt``) and place. Texts are UTF-8
     bytes, null is empty; windows lie within one document, and matches within the same document count, overlapping
@@ -301,10 +301,14 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, keep_first: bool =
     want = by_doc.withColumnRenamed("doc_id", "w_id")
     cutout = concerned(rows, by_doc).join(want, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("doc_id", "text", "want").mapInArrow(slices, "hash long, doc_id long, txt long, lo long, bytes binary, hot boolean")
     # rows that repeat both id and text give their slices once
-    parts = stored(cutout, "parts").dropDuplicates(["hash", "doc_id", "txt", "lo"])
+    sliced = stored(cutout, "parts")
+    parts = sliced.dropDuplicates(["hash", "doc_id", "txt", "lo"])
     cold = sorted_marks(parts.where("not hot").select("hash", "doc_id", "txt", "lo", "bytes").repartition(F.col("hash")), length, keep_first)
     hot = window_marks(parts.where("hot").select("hash", "doc_id", "txt", "lo", "bytes"), length, keep_first)
-    return marks.unionByName(cold).unionByName(hot)
+    every = marks.unionByName(cold).unionByName(hot)
+    out = cut(every.groupBy("doc_id").agg(F.collect_list(F.struct("txt", "lo", "hi")).alias("marks")))
+    discard(found, sliced)
+    return out
 
 
 def covered(intervals: list[tuple[int, int]], length: int, size: int) -> list[tuple[int, int]]:
@@ -324,8 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     ``spans`` are the maximal removed runs [begin, end) in bytes, ``kept`` the remaining bytes concatenated. Null and
     empty texts have 0 bytes and no spans. An empty table gives no rows. Other columns are ignored.
     """
-    marks = repeated_passages(docs, length, keep_first, id_col, text_col)
-    by_doc = cut(marks.groupBy("doc_id").agg(F.collect_list(F.struct("txt", "lo", "hi")).alias("marks")).withColumnRenamed("doc_id", "m_id"))
+    by_doc = repeated_passages(docs, length, keep_first, id_col, text_col).withColumnRenamed("doc_id", "m_id")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = by_doc.select(F.col("m_id").alias("doc_id"))
     marked = concerned(rows, ids).join(by_doc, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("doc_id", "text", "marks")
