@@ -137,10 +137,11 @@ def scd2_apply(existing: DataFrame, customers: DataFrame, at: datetime | str) ->
     assert_unique(customers.select(*PROFILE).distinct(), "customer_id", "customers")
     when = F.lit(at).cast("timestamp")
     todo = scd2_changes(existing, customers)
-    late = todo.where((F.col("change") == "changed") & (F.col("current_from") >= when)).select("customer_id", "current_from").first()
+    is_late = (F.col("change") == "changed") & (F.col("current_from") >= when)
+    n, late = todo.agg(F.count("*"), F.min(F.when(is_late, F.struct("customer_id", "current_from")))).first()
     if late is not None:
         raise TemporalOrderError(f"customer {late[0]!r}: a change at {at} is not after {late[1]}, the start of the current version")
-    if todo.isEmpty():
+    if not n:
         return None
     block = F.when(F.col("change") == "new", "0").when(F.col("change") == "changed", "1").otherwise("2")
     top = existing.agg(F.max("customer_key")).first()[0] or 0

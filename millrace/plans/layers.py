@@ -10,7 +10,7 @@ from millrace.operators.conform import Conformed, ReconciliationError, conform
 from millrace.operators.kpi import KPI
 from millrace.operators.rules import ORDER, SILVER
 from millrace.sources.files import scan_as_text
-from millrace.sources.landing import AUDIT_SCHEMA, SUCCESS, LandingFile, joined_uri
+from millrace.sources.landing import AUDIT_SCHEMA, SUCCESS, LandingFile, joined_uri, manifest, pending
 from millrace.sources.schema import DATASETS
 from millrace.sources.versioned import TableNotFoundError, VersionedTable
 
@@ -62,11 +62,10 @@ def ingest_bronze(spark: SparkSession, root: str, files: list[LandingFile], forc
     audit = audit_table(spark, root)
     done_ids, done_paths = set(), set()
     if audit.exists() and not force:
-        wanted = spark.createDataFrame([(f.ingestion_id, f.path) for f in files], "i string, p string")
-        hit = wanted.join(audit.read().where(F.col("status") == SUCCESS), (F.col("i") == F.col("ingestion_id")) | (F.col("p") == F.col("source_path")), "left_semi")
-        for r in hit.collect():  # at most one row per landed file of this call
-            done_ids.add(r["i"])
-            done_paths.add(r["p"])
+        wanted = manifest(spark, files)
+        for r in wanted.join(pending(wanted, audit.read()), "ingestion_id", "left_anti").collect():  # at most one row per landed file of this call
+            done_ids.add(r["ingestion_id"])
+            done_paths.add(r["source_path"])
     todo = [f for f in files if f.ingestion_id not in done_ids and f.path not in done_paths]
     added: dict[str, int] = {}
     for dataset in sorted({f.dataset for f in todo}):

@@ -5,6 +5,8 @@ import pytest
 from millrace.operators.checks import QualityGateError
 from millrace.plans import jobs, layers
 from millrace.plans.batch import register_views, run_batch, run_reports
+from millrace.operators.dimensions import unknown_member
+from millrace.plans.serving import STAR_VIEWS, create_views, register
 from millrace.plans.jobs import RetryPolicy, Run, Task, classify, ordered, run_job
 from millrace.sources import landing
 from millrace.sources.generator import seed_landing, tables, write_files
@@ -62,6 +64,12 @@ def test_job_end_to_end_and_again(spark, delivered, tmp_path):
     assert {o.state for o in run_job(again).values()} == {"SUCCESS"}
     audit = VersionedTable(spark, f"{tmp_path}/operations/job_run_audit").read()
     assert audit.count() == 2 and {r.final_status for r in audit.collect()} == {"SUCCESS"}
+    views = register(spark, str(tmp_path))
+    assert len(views) == 8 + 16 + 6 + 8 + 2 and spark.table("gold_gold_monthly_revenue").count() > 0
+    tables = {n: layers.load(spark, str(tmp_path), "warehouse", n) for n in ("dim_date", "dim_customer", "dim_product", "dim_store", "fact_sales", "fact_returns")}
+    whole = tables | {n: unknown_member(tables[n], k) for n, k in (("dim_customer", "customer_key"), ("dim_product", "product_key"), ("dim_store", "store_key"))}
+    assert create_views(spark, whole, STAR_VIEWS) == ["sales_detail", "returns_detail"]
+    assert spark.table("sales_detail").count() == tables["fact_sales"].count() and spark.table("returns_detail").count() == tables["fact_returns"].count()
     dim = layers.load(spark, str(tmp_path), "warehouse", "dim_customer")
     assert dim.count() == dim.select("customer_id").distinct().count()
 
