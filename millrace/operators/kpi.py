@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.expr import zero_if_null
 
-_RATE = "decimal(18,2)"
-
-
 def _ratio(top: Column, bottom: Column, times: int = 1) -> Column:
-    """Quotient rounded to two places, 0 where there is nothing to divide by."""
-    return F.coalesce(F.round(F.try_divide(top.cast("double") * times, F.nullif(bottom, F.lit(0)).cast("double")), 2), F.lit(0.0))
+    """Exact quotient rounded half up to two places, 0 where there is nothing to divide by."""
+    money = "decimal(18,2)"
+    return F.coalesce(F.try_divide((top * times).cast(money), bottom).cast(money), F.lit(0).cast(money))
 
 
 def _returns_with_order(returns: DataFrame, items: DataFrame, orders: DataFrame) -> DataFrame:

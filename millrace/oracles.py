@@ -37,6 +37,11 @@ def initcap(x: str) -> str:
     return f"array_to_string(list_transform(string_split(lower({x}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 
+def half_up(total: str, n: str) -> str:
+    """Exact total / n rounded half up to cents: DuckDB divides decimals as doubles, so it is done on whole cents."""
+    return f"cast(floor((2 * cast(({total}) * 100 as bigint) + ({n}))::double / (2 * ({n}))::double) / 100 as decimal(18,2))"
+
+
 def _date(x: str) -> str:
     return f"cast(try_strptime(trim({x}), '%Y-%m-%d') as date)"
 
@@ -137,18 +142,18 @@ def _define() -> None:
       select s.*, coalesce(refunds, 0) as total_refunded_amount from (
         select year(order_date) as year, month(order_date) as month, count(distinct o.order_id) as total_orders, sum(quantity) as total_units_sold, sum(net_amount) as total_net_revenue from c_order_items i join c_orders o on i.order_id = o.order_id group by 1, 2) s
       left join (select year(order_date) as y, month(order_date) as m, sum(refund_amount) as refunds {back} group by 1, 2) b on s.year = b.y and s.month = b.m"""
-    TABLES["gold_revenue_by_store_region"] = """
-      select store_id, store_name, store_type, region, state, country, coalesce(n, 0) as total_orders, coalesce(net, 0) as total_net_revenue, coalesce(round(cast(net as double) / n, 2), 0) as avg_order_value
+    TABLES["gold_revenue_by_store_region"] = f"""
+      select store_id, store_name, store_type, region, state, country, coalesce(n, 0) as total_orders, coalesce(net, 0) as total_net_revenue, coalesce({half_up('net', 'n')}, 0) as avg_order_value
       from c_stores st left join (select store_id as k, count(distinct o.order_id) as n, sum(net_amount) as net from c_order_items i join c_orders o on i.order_id = o.order_id group by store_id) s on st.store_id = s.k"""
-    TABLES["gold_category_revenue_performance"] = """
-      select s.*, coalesce(n, 0) as units_returned, coalesce(refunds, 0) as total_refunded_amount, round(cast(coalesce(n, 0) as double) * 100 / cast(units_sold as double), 2) as return_rate_pct from (
+    TABLES["gold_category_revenue_performance"] = f"""
+      select s.*, coalesce(n, 0) as units_returned, coalesce(refunds, 0) as total_refunded_amount, {half_up('coalesce(n, 0) * 100', 'units_sold')} as return_rate_pct from (
         select category, subcategory, sum(quantity) as units_sold, sum(quantity * i.unit_price) as gross_revenue, sum(discount_amount) as total_discounts, sum(net_amount) as net_revenue from c_order_items i join c_products p on i.product_id = p.product_id group by 1, 2) s
       left join (select category as c, subcategory as u, count(*) as n, sum(refund_amount) as refunds from c_returns r join c_order_items i on r.order_item_id = i.order_item_id join c_products p on i.product_id = p.product_id group by 1, 2) b on s.category = b.c and s.subcategory = b.u"""
-    TABLES["gold_customer_spending_summary"] = """
-      select customer_id, first_name, last_name, email, loyalty_tier, coalesce(n, 0) as total_orders, coalesce(net, 0) as lifetime_spend, first_order_date, latest_order_date, coalesce(round(cast(net as double) / n, 2), 0) as avg_order_value
+    TABLES["gold_customer_spending_summary"] = f"""
+      select customer_id, first_name, last_name, email, loyalty_tier, coalesce(n, 0) as total_orders, coalesce(net, 0) as lifetime_spend, first_order_date, latest_order_date, coalesce({half_up('net', 'n')}, 0) as avg_order_value
       from c_customers c left join (select customer_id as k, count(distinct o.order_id) as n, sum(net_amount) as net, min(order_date) as first_order_date, max(order_date) as latest_order_date from c_order_items i join c_orders o on i.order_id = o.order_id group by 1) s on c.customer_id = s.k"""
-    TABLES["gold_return_refund_performance"] = """
-      select return_reason, count(*) as return_count, sum(refund_amount) as total_refund_amount, cast(sum(refund_amount) / count(*) as decimal(18,2)) as avg_refund_amount from c_returns group by 1"""
+    TABLES["gold_return_refund_performance"] = f"""
+      select return_reason, count(*) as return_count, sum(refund_amount) as total_refund_amount, {half_up('sum(refund_amount)', 'count(*)')} as avg_refund_amount from c_returns group by 1"""
 
     TABLES["dim_date"] = calendar("1992-01-01", "1999-12-31")
     for table, key in (("store", "store"), ("product", "product"), ("customer", "customer")):
@@ -212,8 +217,8 @@ def _build() -> dict[str, str]:
     def add(name: str, sql: str, bigint: str = "", decimal: str = "", double: str = "") -> None:
         out[name] = with_tables(longs(sql, bigint, decimal, double) if bigint or decimal or double else sql)
 
-    add("revenue_by_region_channel", REPORTS["revenue_by_region"], "total_orders", "regional_net_revenue regional_gross_profit avg_order_value")
-    add("daily_revenue", REPORTS["daily_revenue"].replace("cast(avg(net_sales) as decimal(10,2))", "cast(sum(net_sales) / count(*) as decimal(10,2))"), "order_year order_month total_orders unique_customers total_units_sold", "total_gross_revenue total_discounts total_net_revenue avg_line_item_value")
+    add("revenue_by_region_channel", REPORTS["revenue_by_region"].replace("cast(sum(net_sales) / count(distinct order_id) as decimal(10,2))", half_up("sum(net_sales)", "count(distinct order_id)")), "total_orders", "regional_net_revenue regional_gross_profit avg_order_value")
+    add("daily_revenue", REPORTS["daily_revenue"].replace("cast(avg(net_sales) as decimal(10,2))", half_up("sum(net_sales)", "count(*)")), "order_year order_month total_orders unique_customers total_units_sold", "total_gross_revenue total_discounts total_net_revenue avg_line_item_value")
     add("top_products_per_category", REPORTS["top_products"], "category_revenue_rank units_sold", "total_net_revenue total_profit")
     add("category_return_rate", REPORTS["category_returns"], "total_items_sold total_returned_items", "return_rate_percent category_net_revenue total_refunded_amount final_net_realized_revenue")
     add("curated_sales_lines", """
@@ -241,9 +246,9 @@ def _build() -> dict[str, str]:
     gold = {
         "gold_daily": ("gold_daily_sales_performance", "total_orders total_units_sold returns_count", "gross_revenue total_discounts net_sales total_cogs gross_profit total_refunded_amount"),
         "gold_monthly": ("gold_monthly_revenue", "year month total_orders total_units_sold", "total_net_revenue total_refunded_amount"),
-        "gold_store_region": ("gold_revenue_by_store_region", "total_orders", "total_net_revenue"),
-        "gold_category": ("gold_category_revenue_performance", "units_sold units_returned", "gross_revenue total_discounts net_revenue total_refunded_amount"),
-        "gold_customer": ("gold_customer_spending_summary", "total_orders", "lifetime_spend"),
+        "gold_store_region": ("gold_revenue_by_store_region", "total_orders", "total_net_revenue avg_order_value"),
+        "gold_category": ("gold_category_revenue_performance", "units_sold units_returned", "gross_revenue total_discounts net_revenue total_refunded_amount return_rate_pct"),
+        "gold_customer": ("gold_customer_spending_summary", "total_orders", "lifetime_spend avg_order_value"),
         "gold_returns": ("gold_return_refund_performance", "return_count", "total_refund_amount avg_refund_amount"),
     }
     for name, (table, ints, money) in gold.items():
@@ -251,9 +256,9 @@ def _build() -> dict[str, str]:
     q = KPI_QUERIES
     add("margin_last30", q["margin_last30"].replace("gross_profit / nullif(net_sales, 0) * 100", "cast(gross_profit as decimal(18,2)) / nullif(net_sales, 0) * 100"), "total_orders total_units_sold returns_count", "gross_revenue total_discounts net_sales total_cogs gross_profit total_refunded_amount gross_margin_pct")
     add("monthly_retained", q["monthly_retained"], "year month total_orders total_units_sold", "total_net_revenue total_refunded_amount net_retained_revenue")
-    add("store_rank_top20", q["store_rank_top20"], "total_orders revenue_rank", "total_net_revenue")
-    add("category_risk", q["category_risk"], "units_sold units_returned", "gross_revenue net_revenue total_refunded_amount")
-    add("vip_top50", q["vip_top50"], "total_orders", "lifetime_spend")
+    add("store_rank_top20", q["store_rank_top20"], "total_orders revenue_rank", "total_net_revenue avg_order_value")
+    add("category_risk", q["category_risk"], "units_sold units_returned", "gross_revenue net_revenue total_refunded_amount return_rate_pct")
+    add("vip_top50", q["vip_top50"], "total_orders", "lifetime_spend avg_order_value")
     add("return_share", q["return_share"], "return_count", "total_refund_amount avg_refund_amount pct_of_total_returns")
     add("view_monthly_revenue", KPI_VIEWS["monthly_revenue"], "year month total_orders total_units_sold", "total_net_revenue total_refunded_amount net_retained_revenue")
     add("view_return_refund_performance", KPI_VIEWS["return_refund_performance"], "return_count", "total_refund_amount avg_refund_amount")
@@ -287,7 +292,7 @@ def _build() -> dict[str, str]:
     s = STAR_QUERIES
     add("star_sales_by_tier", s["star_sales_by_tier"], "year total_orders total_units_sold", "total_gross_sales total_discounts total_net_sales total_cogs total_profit")
     add("star_category_profit", s["star_category_profit"], "items_sold_count total_quantity", "gross_revenue total_discounts_given net_sales_revenue total_category_profit")
-    add("star_store_month", s["star_store_month"], "year order_volume", "monthly_net_sales monthly_store_profit")
+    add("star_store_month", s["star_store_month"].replace("cast(sum(s.net_amount) / nullif(count(distinct s.order_id), 0) as decimal(18,2))", half_up("sum(s.net_amount)", "count(distinct s.order_id)")), "year order_volume", "monthly_net_sales monthly_store_profit avg_order_value")
     add("star_return_rate", s["star_return_rate"], "total_sold_items returned_items_count", "total_refunds_issued")
     add("sales_detail_view", STAR_VIEWS["sales_detail"], "quantity order_date_key order_year customer_key product_key store_key", "unit_price gross_amount discount_amount net_amount cost_amount profit_amount product_current_unit_price")
     add("returns_detail_view", STAR_VIEWS["returns_detail"], "return_date_key return_year customer_key product_key store_key", "refund_amount")
