@@ -12,10 +12,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, strings, utf8
+from millrace.llm.common import bounded, modest, strings, utf8
 
 #: Entries of a worker's cache; the generation before it is kept beside it.
-CACHE = 120_000
+CACHE = 90_000
 
 
 def word_vocabulary() -> str:
@@ -173,7 +173,7 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
                 d.append(hashlib.sha256(tokens.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -190,5 +190,5 @@ def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 ids = [list(map(int, i.split())) for i, _ in pairs]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array([d for _, d in pairs])], ["doc_id", "ids", "n_tokens", "decoded"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")

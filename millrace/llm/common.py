@@ -65,6 +65,15 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     return docs.join(small(keys), id_col, "left_anti").select(*(docs[c] for c in docs.columns))
 
 
+def modest(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """``df``, after its session was told to pass at most ``rows`` rows to Python at once: texts are large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows``, which bounds what Python holds of them at once.
 

@@ -8,7 +8,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, cut, strings, utf8, without
+from millrace.llm.common import bounded, cut, modest, strings, utf8, without
 
 #: Edits allowed for each byte of an item's normal form.
 ERROR_RATE = 0.08
@@ -134,7 +134,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, bl
     once, repeated rows of ``docs`` each give their matches. Either table may be empty. Documents are scanned whole,
     once for each block of items, without a shuffle.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, distance int, errors_allowed int, end_at long"
     out = None
     for block in item_blocks(items, item_id_col, item_text_col, block_bytes):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, cut, small, strings, utf8, without
+from millrace.llm.common import bounded, cut, modest, small, strings, utf8, without
 
 #: Distinct fingerprints that a merging task should hold, on average.
 SLICE_ROWS = 2_000_000
@@ -95,7 +95,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             fp = np.frombuffer(b"".join(x[:8] for x in sha), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(sha, pa.binary())], ["doc_id", "fp", "sha"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, sha binary")
+    return modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, sha binary")
 
 
 def repeated_fingerprints(fps: DataFrame, slices: int) -> DataFrame:
@@ -147,7 +147,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.frombuffer(b"".join(hashlib.sha256(x).digest()[:8] for x in texts), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(texts, pa.binary())], ["doc_id", "fp", "bytes"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     suspects = rows.mapInArrow(normalise, "doc_id long, fp long, bytes binary").join(keys, "fp", "left_semi")
     classes = suspects.groupBy("fp", "bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = cut(classes.select("fp", F.unhex(F.sha2("bytes", 256)).alias("sha"), "keep_id", "group_size"))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, strings
+from millrace.llm.common import bounded, modest, strings
 
 # Fixed values of the HTML standard: which elements are void, raw, hidden, blocks, and which tags imply an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -421,5 +421,5 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
             texts = [extract(x) for x in strings(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
+    rows = modest(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
     return rows.mapInArrow(run, "page_id long, text string, n_chars long")

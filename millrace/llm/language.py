@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, strings, utf8
+from millrace.llm.common import bounded, modest, strings, utf8
 from millrace.llm.samples import hash_sample, held_out, training_rows
 
 #: Labelled rows drawn for each language, and bytes of their texts that each automaton holds.
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id",
                     lang[k], score[k] = x, y
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 

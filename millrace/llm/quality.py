@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, small, strings, utf8
+from millrace.llm.common import bounded, modest, small, strings, utf8
 from millrace.llm.samples import hash_sample, held_out, training_rows
 
 #: Labelled rows drawn for each of the two labels; the network learns from no more than these.
@@ -151,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows_each: int = ROWS_EACH, id_col
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}  # two rows at most
     odds = min(20.0, max(0.05, counts[1] / counts[0])) if len(counts) == 2 else 1.0
     chosen = hash_sample(marked, "label", rows_each)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(small(chosen, 2 * rows_each), "doc_id")
+    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(small(chosen, 2 * rows_each), "doc_id")
     found = sorted({(r["doc_id"], r["label"], r["text"] or "") for r in rows.limit(4 * rows_each).toLocalIterator()})
     return fit([utf8(t) for _, _, t in found], np.array([k for _, k, _ in found], np.float32), odds)
 
@@ -164,7 +164,7 @@ def score(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str =
             found = net.scores([utf8(t) for t in strings(b.column(1))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
@@ -183,4 +183,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for b in bounded(batches):
             yield b.filter(pa.array(net.scores([utf8(t) for t in strings(b.column(place))]) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return modest(docs).mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, cut, discard, mix64, small, stored, strings, utf8
+from millrace.llm.common import bounded, cut, discard, mix64, modest, small, stored, strings, utf8
 
 #: Bytes of a passage that counts as repeated.
 LENGTH = 200
@@ -274,7 +274,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, keep_first: bool =
     3. Of anchors with several surroundings the distinct stretches meet, and suffix arrays with longest previous
        factors decide on each window. An anchor with over ``GROUP_BYTES`` of them is dealt out by window instead.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     often = cut(anchors(rows, length).select("hash").groupBy("hash").count().where("count > 1").select("hash"))
     found = stored(anchors(rows, length).join(small(often), "hash", "left_semi"), "stretches")
     place = F.min(F.struct(F.col("doc_id"), F.col("txt"), F.col("lo"), F.col("hi")))
@@ -329,7 +329,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     empty texts have 0 bytes and no spans. An empty table gives no rows. Other columns are ignored.
     """
     by_doc = repeated_passages(docs, length, keep_first, id_col, text_col).withColumnRenamed("doc_id", "m_id")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = by_doc.select(F.col("m_id").alias("doc_id"))
     marked = concerned(rows, ids).join(by_doc, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("doc_id", "text", "marks")
     joined = marked.unionByName(concerned(rows, ids, False).select("doc_id", "text", F.lit(None).cast(by_doc.schema["marks"].dataType).alias("marks")))
