@@ -8,6 +8,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -58,7 +59,7 @@ class ForcedBoundaryBpe:
     concatenated. White space, which no token holds, is the most frequent such cut.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -72,9 +73,9 @@ class ForcedBoundaryBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"])
         self.adjacent = {pair for token in self.ids for pair in self.pairs(token)}
-        self.fragment = Generations(self.merge)
-        self.words = Generations(self.encode_word)
-        self.chunk = Generations(self.encode_chunk)
+        self.fragment = Generations(self.merge, cache)
+        self.words = Generations(self.encode_word, cache)
+        self.chunk = Generations(self.encode_chunk, cache)
 
     def pairs(self, token: str) -> Iterator[tuple[str, str]]:
         s = self.split_symbols(token)
@@ -137,6 +138,12 @@ class ForcedBoundaryBpe:
                 found += map(self.chunk.__getitem__, chunks)
         return joined(found)
 
+    def forget(self) -> None:
+        """Empties the caches; the vocabulary stays."""
+        for cache in (self.fragment, self.words, self.chunk):
+            cache.clear()
+            cache.old = {}
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.strings[i] for i in ids if i in self.strings)
 
@@ -149,9 +156,9 @@ def joined(found: list[tuple[str, str]]) -> tuple[str, str]:
 
 
 @functools.cache
-def encoder(path: str) -> ForcedBoundaryBpe:
+def encoder(path: str, cache: int = CACHE) -> ForcedBoundaryBpe:
     """One encoder for each worker process."""
-    return ForcedBoundaryBpe(path)
+    return ForcedBoundaryBpe(path, cache)
 
 
 def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,18 +184,22 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, n_tokens, decoded) of every row; same rules as ``encode_digests``."""
+def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = 35_000) -> DataFrame:
+    """(doc_id, ids array<int>, n_tokens, decoded) of every row; same rules as ``encode_digests``.
+
+    Caches are smaller here, and emptied after each task, as ids and decoded texts take their room.
+    """
     path = path or word_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for b in bounded(batches):
-            texts = strings(b.column(1))
-            for at in range(0, len(texts), 500):  # ids take more room than texts
-                pairs = [bpe.encode(t) for t in texts[at : at + 500]]
-                ids = [list(map(int, i.split())) for i, _ in pairs]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array([d for _, d in pairs])], ["doc_id", "ids", "n_tokens", "decoded"])
+        bpe = encoder(path, cache)
+        for b in bounded(batches, 250):
+            pairs = [bpe.encode(t) for t in strings(b.column(1))]
+            n = [i.count(" ") + 1 if i else 0 for i, _ in pairs]
+            flat = np.array(" ".join(i for i, _ in pairs if i).split(), np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(n, pa.int64()), pa.array([d for _, d in pairs], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+        bpe.forget()
 
     rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")

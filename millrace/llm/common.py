@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -82,6 +83,7 @@ def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without it
         ctypes.CDLL(None).malloc_trim(0)

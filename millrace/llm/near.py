@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, components, cut, discard, mix64, modest, small, stored, strings, utf8, without
+from millrace.llm.common import bounded, components, cut, discard, mix64, modest, stored, strings, utf8, without
 
 #: Words of a shingle and weighted Jaccard similarity from which two texts are linked.
 WORDS, SIMILARITY = 5, 0.8
@@ -17,7 +17,7 @@ BANDS, ROWS = 28, 4
 #: Members, and characters of their texts, that a block of a cell holds on average.
 BLOCK_ROWS, BLOCK_BYTES = 600, 4_000_000
 #: Texts that are sketched at once, by words.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 120_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 
@@ -243,11 +243,6 @@ def pairs_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the ids: a filter in place while the ids are few enough to broadcast, so that no other text moves."""
-    return texts.join(small(ids.select("id").distinct()), "id", "left_semi")
-
-
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size, kept) of every document: classes are chains of links of ``similarity`` or more.
 
@@ -280,12 +275,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     placed = cut(shared.select("band", "id").join(hubs, "band"))
     texts = docs.withColumnRenamed("doc_id", "id").where("id is not null")
     sizes = stand.select(F.col("doc_id").alias("id"), "size")
-    links = cut(star_links(placed.select(F.col("hub").alias("cell"), "id").distinct(), sizes, only(texts, placed), similarity))
+    links = cut(star_links(placed.select(F.col("hub").alias("cell"), "id").distinct(), sizes, texts, similarity))
     roots = components(links)
     labelled = cut(placed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "hub", "id", F.coalesce("root", "id").alias("root")))
     split = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_ = cut(labelled.join(split, "band", "left_semi").select(F.col("hub").alias("cell"), "id", "root").distinct())
-    more = cut(cross_links(open_, sizes, only(texts, open_), similarity))
+    open_ = labelled.join(split, "band", "left_semi").select(F.col("hub").alias("cell"), "id", "root").distinct()
+    more = cut(cross_links(open_, sizes, texts, similarity))
     roots = cut(components(links.unionByName(more)))
     named = member.join(roots.withColumnRenamed("node", "head"), "head", "left").select("doc_id", F.coalesce("root", "head").alias("class_id"))
     sized = named.join(named.groupBy("class_id").agg(F.count("*").alias("class_size")), "class_id")

@@ -69,7 +69,7 @@ class ByteNet:
         parts = [self.responses(chunks[k : k + block]).reshape(-1, PLACES, FILTERS).max(1) for k in range(0, len(chunks), block)]
         return np.maximum(np.concatenate(parts), 0) if parts else np.zeros((0, FILTERS), np.float32)
 
-    def scores(self, texts: list[bytes], batch: int = 2_000_000) -> np.ndarray:
+    def scores(self, texts: list[bytes], batch: int = 500_000) -> np.ndarray:
         """Probability of label 1 for each whole text."""
         out, k = [np.zeros(0)], 0
         while k < len(texts):
