@@ -36,6 +36,8 @@ IMPLIED_END = {
 }
 #: An end tag looks no further up than these, so a stray one cannot close what holds a cell or a list item.
 SCOPE = frozenset("html table td th caption template".split())
+#: What may stand directly in the parts of a table; all else is moved out, before the table.
+TABLE_PARTS = {"table": frozenset("caption colgroup col tbody thead tfoot".split()), "tbody": frozenset(["tr"]), "thead": frozenset(["tr"]), "tfoot": frozenset(["tr"]), "tr": frozenset(["td", "th"]), "colgroup": frozenset(["col"])}
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -45,10 +47,11 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "home")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.home: Node | None = None  # of a part of a table: the element that holds the outermost such table, as its last child
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -59,7 +62,10 @@ def attributes(text: str) -> dict[str, str]:
 
 
 class TreeBuilder:
-    """A tree from tag soup: implied html, head, body, tbody and tr, implied end tags, unmatched end tags ignored."""
+    """A tree from tag soup: implied html, head, body, tbody and tr, implied end tags, unmatched end tags ignored.
+
+    Text and elements that may not stand where they are in a table go before it, as the HTML standard has it.
+    """
 
     def __init__(self):
         self.root = Node("html", {})
@@ -73,9 +79,17 @@ class TreeBuilder:
         if s and (not self.in_head or s.strip(" \t\n\r\f")):
             if self.in_head and self.top().tag in ("html", "head"):
                 self.body({})
-            if self.top().tag in ("table", "tbody", "thead", "tfoot", "tr") and not s.strip(" \t\n\r\f"):
+            if self.top().home and not s.strip(" \t\n\r\f"):
                 return
-            self.top().children.append(s)
+            self.add(s)
+
+    def add(self, child: Node | str) -> None:
+        """Into the open element, or before the table if a part of one is open in which the child may not stand."""
+        top = self.top()
+        if top.home and (isinstance(child, str) or child.tag not in TABLE_PARTS[top.tag]):
+            top.home.children.insert(-1, child)
+        else:
+            top.children.append(child)
 
     def body(self, attrs: dict[str, str]) -> None:
         if self.in_head:
@@ -84,7 +98,9 @@ class TreeBuilder:
             self.push(Node("body", attrs))
 
     def push(self, node: Node) -> None:
-        self.top().children.append(node)
+        if node.tag in TABLE_PARTS:
+            node.home = self.top().home or (self.top() if node.tag == "table" else None)
+        self.add(node)
         self.stack.append(node)
 
     def close(self, tags: tuple[str, ...], barriers: tuple[str, ...]) -> None:
@@ -137,7 +153,7 @@ class TreeBuilder:
             self.close(("a",), ())
         node = Node(tag, attrs)
         if tag in VOID:
-            self.top().children.append(node)
+            self.add(node)
         else:
             self.push(node)
 
@@ -343,26 +359,18 @@ def span(cell: Node, name: str, most: int) -> int:
 
 
 def table_lines(table: Node, level: int) -> list[str]:
-    """Rows of a table with their cells aligned in columns two spaces apart; spans take their places; a caption stands first."""
+    """Rows of a table with their cells aligned in columns two spaces apart; spans take their places; a caption stands first.
+
+    The tree builder leaves nothing in a table but its parts.
+    """
     caption, rows = [], []
     order = {"thead": 0, "tbody": 1, "tfoot": 2}
-    sections = [c for c in table.children if isinstance(c, Node) and c.tag in order and visible(c)]
+    sections = [c for c in table.children if c.tag in order and visible(c)]
     for c in table.children:
-        if isinstance(c, Node) and c.tag == "caption" and visible(c):
+        if c.tag == "caption" and visible(c):
             caption += rendered(c, level)
-        elif isinstance(c, str) and c.strip() or isinstance(c, Node) and c.tag not in order and c.tag not in ("colgroup", "col", "tr"):
-            holder = Node("div", {})
-            holder.children = [c]
-            caption += rendered(holder, level)
     for section in sorted(sections, key=lambda s: order[s.tag]):
-        for r in section.children:
-            if isinstance(r, Node) and r.tag == "tr":
-                if visible(r):
-                    rows.append([c for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")])
-            else:
-                holder = Node("div", {})
-                holder.children = [r]
-                caption += rendered(holder, level)
+        rows += [r.children for r in section.children if visible(r)]
     grid: list[dict[int, list[str]]] = []
     wide: dict[int, int] = {}
     held: dict[int, int] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -217,6 +218,22 @@ def test_words_of_visible_text_survive():
     assert all(w in text for k in range(50) for w in (f"w{k}", f"c{k}", f"d{k}", f"l{k}"))
 
 
+def test_misplaced_parts_of_tables_survive():
+    assert html.extract("<table><tr>loose<td>a</td>stray<div>more</div></tr></table>").split() == ["loosestray", "more", "a"]
+    assert html.extract("<table><colgroup>c1<col><b>c2</b></colgroup><tr hidden>r<td>no</table>").split() == ["c1c2r"]
+    assert html.extract("x<table hidden><tr>seen<td>no</table>y") == "xseeny"
+    for soup in ("<table>w0<caption>w1</caption>w2<tr>w3<td>w4</td>w5<p>w6<th>w7</th><i>w8</i></tr>w9</table>w10", "<table><tr><td>w0<table><tr>w1<td>w2</td>w3<table>w4<tr><td>w5</table>w6</table>w7", "<tr>w0<td>w1</td>w2<table><colgroup>w3<tr>w4<caption>w5</caption><img alt=w6><td>w7</table>w8"):
+        text = html.extract(re.sub(r"(w\d+)", r" \1 ", soup).replace("alt= w6 ", "alt=w6")).split()
+        assert sorted(text) == sorted(re.findall(r"w\d+", soup)), soup
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<table>", "<tbody>", "<tr>", "<td>", "<th>", "<caption>", "<colgroup>", "<col>", "</td>", "</tr>", "</tbody>", "</colgroup>", "</table>", "<div>", "</div>", "<b>", "</b>", "<ul>", "<li>", "<p>"]), max_size=25))
+def test_every_word_of_table_soup_survives(tags):
+    page = "".join(f"{t} w{k} " for k, t in enumerate(tags))
+    assert sorted(w for w in html.extract(page).split() if w != "-") == sorted(f"w{k}" for k in range(len(tags)))
+
+
 def test_deep_pages_do_not_overflow():
     assert html.extract("<div>" * 20_000 + "deep") == "deep"
     assert html.extract("<table><tr><td>" * 400 + "deep") == "deep"
