@@ -60,6 +60,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column of longs that tells all its rows apart, which stages that drop rows judge by.
+
+    That is the id where none is null or repeated; else a number beside the other columns, given as the rows are
+    written once to the shared folder. Those files stay, as the result is read from them.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("i"))
+    if not ids.groupBy("i").count().where("i is null or count > 1").limit(1).count():
+        return docs, id_col
+    name = "_row"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     """``docs`` less the rows whose id is in the one column of ``gone``; rows with a null id stay, columns as they were."""
     keys = gone.toDF(id_col)

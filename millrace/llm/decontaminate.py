@@ -8,7 +8,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, cut, modest, strings, utf8, without
+from millrace.llm.common import bounded, cut, keyed, modest, strings, utf8, without
 
 #: Edits allowed for each byte of an item's normal form.
 ERROR_RATE = 0.08
@@ -152,6 +152,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, bl
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that hold a benchmark item; columns as they were. Rows with a null id are kept."""
-    bad = cut(contaminated(docs, items, id_col=id_col, text_col=text_col).where("doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct())
-    return without(docs, id_col, bad)
+    """``docs`` without the rows that hold a benchmark item; columns as they were. Each row is judged by its own text, whatever its id."""
+    rows, key = keyed(docs, id_col)
+    bad = cut(contaminated(rows, items, id_col=key, text_col=text_col).select("doc_id").distinct())
+    return without(rows, key, bad).select(*docs.columns)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, cut, modest, small, strings, utf8, without
+from millrace.llm.common import bounded, cut, keyed, modest, small, strings, utf8, without
 
 #: Distinct fingerprints that a merging task should hold, on average.
 SLICE_ROWS = 2_000_000
@@ -157,6 +157,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops; columns as they were."""
-    gone = cut(exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
-    return without(docs, id_col, gone)
+    """One row of ``docs`` for each class of ``exact_groups``; columns as they were.
+
+    It is the row of the largest id, null ranking below all; any one of them where that id is repeated in the class.
+    """
+    rows, key = keyed(docs, id_col)
+    found = exact_groups(rows, key, text_col)
+    if key == id_col:
+        gone = cut(found.where("not kept").select("doc_id"))
+    else:
+        ids = rows.select(F.col(key).alias("doc_id"), F.col(id_col).cast("long").alias("id"))
+        many = cut(found.where("group_size > 1").select("doc_id", F.col("keep_id").alias("class")).join(ids, "doc_id"))
+        best = many.groupBy("class").agg(F.max(F.struct("id", "doc_id"))["doc_id"].alias("doc_id"))
+        gone = cut(many.select("doc_id").join(best.select("doc_id"), "doc_id", "left_anti"))
+    return without(rows, key, gone).select(*docs.columns)

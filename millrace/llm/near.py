@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, components, cut, discard, mix64, modest, stored, strings, utf8, without
+from millrace.llm.common import bounded, components, cut, discard, keyed, mix64, modest, stored, strings, utf8, without
 
 #: Words of a shingle and weighted Jaccard similarity from which two texts are linked.
 WORDS, SIMILARITY = 5, 0.8
@@ -296,6 +296,18 @@ def repeats(docs: DataFrame, id_col: str) -> bool:
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that ``near_classes`` would not keep; columns as they were. Rows with a null id stay."""
-    gone = near_classes(docs, id_col=id_col, text_col=text_col).where("not kept").select("doc_id")
-    return without(docs, id_col, gone)
+    """One row of ``docs`` for each class of near-duplicates; columns as they were.
+
+    Each row is judged by its own text, also where ids are null or repeated. The row of the least id stays, null ranking
+    above all; any one of them where that id is repeated in the class.
+    """
+    rows, key = keyed(docs, id_col)
+    found = near_classes(rows, id_col=key, text_col=text_col)
+    if key == id_col:
+        gone = found.where("not kept").select("doc_id")
+    else:
+        ids = rows.select(F.col(key).alias("doc_id"), F.col(id_col).cast("long").alias("id"))
+        many = cut(found.where("class_size > 1").select("doc_id", "class_id").join(ids, "doc_id"))
+        best = many.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))["doc_id"].alias("doc_id"))
+        gone = cut(many.select("doc_id").join(best.select("doc_id"), "doc_id", "left_anti"))
+    return without(rows, key, gone).select(*docs.columns)

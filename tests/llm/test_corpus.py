@@ -269,3 +269,31 @@ def test_pipeline_against_plain_stages(spark):
             m = decontaminate.Matcher(items)
             assert kept == {i for i, t in rows.items() if not m.find(t)}
         now = spark.createDataFrame(after.collect(), after.schema)
+
+
+def test_stages_judge_rows_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    base, other, lone = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(120)) for k in "bol")
+    item = " ".join(f"i{rng.randrange(10**6)}" for _ in range(30))
+    schema, stages = "doc_id long, text string, _row int", dict(p.STAGES)
+
+    def after(name, rows):
+        df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], schema).repartition(3)
+        out = stages[name](spark, df, "items")
+        assert out.columns == df.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    def some(*rows):
+        return sorted(rows, key=str)
+
+    assert after("exact", [(1, "a"), (1, "b"), (2, "a")]) == some((1, "b"), (2, "a"))
+    assert after("exact", [(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (None, None), (3, None)]) == some((1, "a"), (None, "b"), (3, None))
+    assert after("near", [(1, base), (1, other), (2, edited(base, 2, rng)), (None, edited(other, 2, rng)), (2, lone), (2, lone), (None, "n w"), (None, "n w")]) == some((1, base), (1, other), (2, lone), (None, "n w"))
+    real = p.table
+    p.table = lambda *_: spark.createDataFrame([(1, item)], "item_id long, text string")
+    try:
+        assert after("decontaminate", [(1, base + " " + item), (1, base), (None, item), (None, lone), (1, base)]) == some((1, base), (1, base), (None, lone))
+    finally:
+        p.table = real
