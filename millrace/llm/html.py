@@ -40,8 +40,12 @@ SCOPE = frozenset("html table td th caption template".split())
 TABLE_PARTS = {"table": frozenset("caption colgroup col tbody thead tfoot".split()), "tbody": frozenset(["tr"]), "thead": frozenset(["tr"]), "tfoot": frozenset(["tr"]), "tr": frozenset(["td", "th"]), "colgroup": frozenset(["col"])}
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+# A quote opens a value only right after the '=' of a name; elsewhere, and where it is never closed, it is a plain character.
+_NAME = r"(?:=[^ \t\n\r\f/>=]*+|[^ \t\n\r\f/>=]++)"
+_EQUALS = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+"
+_UNQUOTED = r"[^ \t\n\r\f>\"'][^ \t\n\r\f>]*+"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[ \t\n\r\f/]++|{_NAME}(?:{_EQUALS}(?:\"[^\"]*+\"|'[^']*+'|{_UNQUOTED})?+)?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_EQUALS}(?:\"([^\"]*+)\"|'([^']*+)'|({_UNQUOTED}))?+)?+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 

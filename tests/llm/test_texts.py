@@ -218,6 +218,16 @@ def test_words_of_visible_text_survive():
     assert all(w in text for k in range(50) for w in (f"w{k}", f"c{k}", f"d{k}", f"l{k}"))
 
 
+def test_stray_quotes_and_empty_comments_hide_nothing():
+    assert html.extract("<p title=Don't>Hello there, it's lost</p><p>next</p>") == "Hello there, it's lost\n\nnext"
+    assert html.extract("<p it's>a's</p><p x\"y=1>b\"</p><p =\"q>c\"</p>") == "a's\n\nb\"\n\nc\""
+    assert html.extract("<p title = 'x>y' class=\"a>'b\">in</p><i a==\"k>k\"</i> <i a=b/'>m'</i>") == "in\n\nk\" m'"
+    assert html.extract("a<!-->b<!--->c<!-- > -> -->d<!---->e<!--x--!>f") == "abcdef"
+    assert html.extract("<img alt=Don't><p title=\"never closed>still here</p>") == "Don't\n\nstill here"
+    assert html.attributes(" a=it's b = \"x y\" c='' hidden/d=1/2") == {"a": "it's", "b": "x y", "c": "", "hidden": "", "d": "1/2"}
+    assert html.extract("<a href='" + "x' y='" * 100_000 + ">t") == "t"
+
+
 def test_misplaced_parts_of_tables_survive():
     assert html.extract("<table><tr>loose<td>a</td>stray<div>more</div></tr></table>").split() == ["loosestray", "more", "a"]
     assert html.extract("<table><colgroup>c1<col><b>c2</b></colgroup><tr hidden>r<td>no</table>").split() == ["c1c2r"]
