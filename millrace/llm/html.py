@@ -223,6 +223,12 @@ def parse(page: str) -> Node:
 
 
 def visible(node: Node) -> bool:
+    """Whether the element and what it holds are rendered.
+
+    Left out by rule, though a browser may show it: aria-hidden elements, select, svg, math, and descendants that are
+    made visible again in a parent with hidden visibility. ``rendered`` also leaves out values of inputs other than
+    submit, button, reset and text.
+    """
     a = node.attrs
     if node.tag in HIDDEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
         return False
