@@ -9,6 +9,7 @@ from pyspark.sql.types import BooleanType, IntegerType, StringType
 
 from millrace.functions.expr import narrowed
 from millrace.operators.keys import dense_numbers, surrogate_keys
+from millrace.session import reliable
 
 UNKNOWN = "Unknown"
 #: Attributes whose change opens a new version; others stay as they were when a version began.
@@ -136,7 +137,7 @@ def scd2_apply(existing: DataFrame, customers: DataFrame, at: datetime | str) ->
     """
     assert_unique(customers.select(*PROFILE).distinct(), "customer_id", "customers")
     when = F.lit(at).cast("timestamp")
-    todo = scd2_changes(existing, customers)
+    todo = reliable(scd2_changes(existing, customers))  # the changes alone, which several steps read
     is_late = (F.col("change") == "changed") & (F.col("current_from") >= when)
     n, late = todo.agg(F.count("*"), F.min(F.when(is_late, F.struct("customer_id", "current_from")))).first()
     if late is not None:

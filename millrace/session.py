@@ -1,8 +1,11 @@
-"""The one place that builds a session."""
+"""The one place that builds a session, and the folder that its machines share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,3 +23,26 @@ def session(name: str = "millrace", master: str | None = None, **conf: str) -> S
     }.items():
         b = b.config(key, value)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where none is named, a local master falls back on a folder of this machine; a cluster raises, as a local folder
+    would lose data there without an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{tempfile.gettempdir()}/checkpoints"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a checkpoint in the shared folder: later uses agree, and a lost executor costs nothing."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

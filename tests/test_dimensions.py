@@ -36,6 +36,29 @@ def test_dense_numbers_need_no_single_task(spark):
     assert "Exchange SinglePartition" not in df.where("k > '5'").select("k")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
 
 
+@pytest.mark.parametrize("parts", ["4", "211"])
+def test_keys_of_many_rows_are_unique_dense_and_stable(spark, parts):
+    """More rows than a range sampler takes, wide rows of which most columns are pruned, many ranges."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        wide = spark.range(0, 100_000, 1, 7).selectExpr("sha2(cast(id as string), 256) k", "id", *(f"repeat('{c}', 20) as c{c}" for c in "abcdef"))
+        want = {r.k: n for n, r in enumerate(wide.select("k").orderBy("k").collect(), 11)}
+        for rows in (2_000, 30_000):
+            numbered = dense_numbers(wide, "k", "n", 11, rows)
+            got = numbered.select("k", "n").collect()
+            assert len(got) == 100_000 and dict(map(tuple, got)) == want
+            assert numbered.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first() == (100_000, 11, 100_010)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_numbers_of_nothing_and_of_null(spark):
+    rows = spark.createDataFrame([("b",), (None,), ("a",)], "k string")
+    assert sorted((r.n, r.k) for r in dense_numbers(rows, "k", "n").collect()) == [(1, None), (2, "a"), (3, "b")]
+    assert dense_numbers(rows.where("false"), "k", "n").count() == 0
+
+
 def test_calendar(spark):
     rows = dims.dim_date(spark, "2026-01-01", "2026-01-05").orderBy("date_key").collect()
     assert len(rows) == 6 and (rows[0].date_key, str(rows[0].full_date), rows[0].day_name) == (0, "1900-01-01", "Unknown")
