@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,29 +12,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.session import reliable, shared_dir
+
 #: A side with at most this many rows of a few fixed-width columns (some 32 MB) may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that a Python worker takes up at once, unless one row alone has more.
+SLICE_BYTES = 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.gettempdir()}/checkpoints"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: ends the lineage in the shared folder, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return reliable(df)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -90,14 +81,20 @@ def modest(df: DataFrame, rows: int = 2000) -> DataFrame:
     return df
 
 
-def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``rows``, which bounds what Python holds of them at once.
+def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and, but for single rows, ``size`` bytes: what Python holds at once.
 
     At the end of a task, memory that numpy and Arrow have freed goes back to the system, as workers live on.
     """
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        todo = [(at, min(rows, b.num_rows - at)) for at in range(0, b.num_rows, rows)][::-1]
+        while todo:
+            at, n = todo.pop()
+            part = b.slice(at, n)
+            if n > 1 and part.nbytes > size:
+                todo += [(at + n // 2, n - n // 2), (at, n // 2)]
+            else:
+                yield part
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without it
@@ -126,15 +123,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges of longs, as rows (node, root), root the least node of each.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) written as aggregations and joins, so no
-    neighbour list is ever gathered. Ends when a step changes nothing; each round is checkpointed.
+    neighbour list is ever gathered. Ends when a step changes nothing, after about log(n) ** 2 rounds at most; each round
+    is checkpointed.
     """
     e = cut(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct())
     sign = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -146,6 +144,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == sign:
             break
         sign = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
