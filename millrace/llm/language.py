@@ -16,8 +16,8 @@ from millrace.llm.samples import hash_sample, held_out, training_rows
 ROWS_EACH, BYTES_EACH = 60, 24_000
 #: Bytes that all automata together hold; with many languages each gets less.
 BYTES_ALL = 480_000
-#: A text is parsed in stretches of so many bytes, each begun afresh; all stretches count.
-STRETCH = 1024
+#: Bytes of a stretch; longer texts are walked in several side by side, until each begins where the one before ends.
+STRETCH = 4096
 #: Bytes of text that are parsed side by side.
 BATCH = 4_000_000
 
@@ -64,7 +64,7 @@ class CrossParser:
     """Counts the phrases into which each language's labelled text parses a text.
 
     A phrase is the longest match from where the last one ended: a walk through the suffix automaton until no
-    transition fits (Ziv and Merhav, 1993). Languages' tables stand below each other in one array; an entry holds
+    transition fits (Ziv and Merhav, 1993), from a text's first byte to its last. Languages' tables stand below each other in one array; an entry holds
     twice the next row plus 1 if a phrase ended there, with the walk begun again at the start.
     """
 
@@ -112,17 +112,31 @@ class CrossParser:
         nth = np.arange(len(of)) - np.repeat(np.cumsum(-(-sizes // STRETCH)) - -(-sizes // STRETCH), -(-sizes // STRETCH))
         at = first[of] + nth * STRETCH
         left = np.minimum(STRETCH, sizes[of] - nth * STRETCH)
+        # each stretch is walked from the start of the automata, then again from where the one before it ended, until
+        # no such entry differs: walks that begin apart soon fall together at the end of a phrase
+        entry = np.repeat(np.array(self.start, np.int32)[:, None], len(of), 1)
+        count, leave = self.walk(data, at, left, entry)
+        follows = np.flatnonzero(nth > 0)
+        while len(again := follows[(leave[:, follows - 1] != entry[:, follows]).any(0)]):
+            entry[:, again] = leave[:, again - 1]
+            count[:, again], leave[:, again] = self.walk(data, at[again], left[again], entry[:, again])
+        out = np.stack([np.bincount(of, weights=c, minlength=len(texts)) for c in count], 1).astype(np.int64)
+        out[sizes > 0] += 1  # the phrase that the end cuts off
+        return out
+
+    def walk(self, data: np.ndarray, at: np.ndarray, left: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each stretch, and the rows that the walks reach, by language."""
         order = np.argsort(-left, kind="stable")
-        of, at, left = of[order], at[order], left[order]
-        active = np.searchsorted(-left, -np.arange(int(left[0])), side="left")  # stretches longer than each step
-        count = np.zeros((len(self.langs), len(of)), np.int32)
-        state = np.repeat(np.array(self.start, np.int32)[:, None], len(of), 1)
+        at, left, state = at[order], left[order], entry[:, order]
+        count = np.zeros(state.shape, np.int32)
+        active = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")  # stretches longer than each step
         for step, n in enumerate(active.tolist()):
             found = self.table[state[:, :n] + data[at[:n] + step]]
             count[:, :n] += found & 1
             np.right_shift(found, 1, out=state[:, :n])
-        count += 1  # the phrase that the end cuts off
-        return np.stack([np.bincount(of, weights=c, minlength=len(texts)) for c in count], 1).astype(np.int64)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return count[:, back], state[:, back]
 
     def best(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         """The language of fewest normalised phrases for each text, and how far it leads: 0.5 is a tie, 1 no rival."""

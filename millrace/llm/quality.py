@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.llm.common import bounded, modest, small, strings, utf8
 from millrace.llm.samples import hash_sample, held_out, training_rows
 
-#: Labelled rows drawn for each of the two labels; the network learns from no more than these.
-ROWS_EACH = 1500
+#: Labelled rows drawn for each of the two labels, and bytes of their texts; the network learns from no more than these.
+#: Where the texts have more bytes, those of greatest hash are left out, whole.
+ROWS_EACH, BYTES_EACH = 1500, 48_000_000
 #: Bytes of a chunk and from one chunk's start to the next: neighbours overlap and the last reaches the end.
 CHUNK, STEP = 512, 448
 #: Bytes that a filter sees, bytes between its places, numbers for each byte, filters.
@@ -21,7 +22,9 @@ WIDTH, STRIDE, DIM, FILTERS = 6, 2, 8, 24
 #: The symbol after a text's end; its embedding stays zero.
 PAD = 256
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
-UPDATES, BATCH_DOCS, CHUNKS_SEEN, RATE = 700, 32, 16, 0.01
+UPDATES, BATCH_DOCS, RATE = 700, 32, 0.01
+#: Chunks whose responses are held at once.
+BLOCK = 48
 
 
 def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +67,9 @@ class ByteNet:
         windows = np.lib.stride_tricks.as_strided(e, (len(chunks), PLACES, WIDTH * DIM), (s[0], STRIDE * s[1], s[2]), writeable=False)
         return windows.reshape(-1, WIDTH * DIM) @ self.weight + self.bias
 
-    def pooled(self, chunks: np.ndarray, block: int = 48) -> np.ndarray:
+    def pooled(self, chunks: np.ndarray) -> np.ndarray:
         """Largest response of each filter in each chunk, in blocks that stay in the cache."""
-        parts = [self.responses(chunks[k : k + block]).reshape(-1, PLACES, FILTERS).max(1) for k in range(0, len(chunks), block)]
+        parts = [self.responses(chunks[k : k + BLOCK]).reshape(-1, PLACES, FILTERS).max(1) for k in range(0, len(chunks), BLOCK)]
         return np.maximum(np.concatenate(parts), 0) if parts else np.zeros((0, FILTERS), np.float32)
 
     def scores(self, texts: list[bytes], batch: int = 500_000) -> np.ndarray:
@@ -92,9 +95,11 @@ class ByteNet:
     def gradients(self, chunks: np.ndarray, of: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
         """Of the mean log loss over the texts, by each part."""
         n, docs = len(chunks), len(labels)
-        z = self.responses(chunks).reshape(n, PLACES, FILTERS)
-        place = z.argmax(1)
-        top = np.take_along_axis(z, place[:, None, :], 1)[:, 0, :]
+        place, top = np.empty((n, FILTERS), np.int64), np.empty((n, FILTERS), np.float32)
+        for k in range(0, n, BLOCK):
+            z = self.responses(chunks[k : k + BLOCK]).reshape(-1, PLACES, FILTERS)
+            place[k : k + BLOCK] = z.argmax(1)
+            top[k : k + BLOCK] = np.take_along_axis(z, place[k : k + BLOCK, None, :], 1)[:, 0, :]
         a = np.maximum(top, 0)
         starts = np.searchsorted(of, np.arange(docs))
         size = np.diff(np.append(starts, n))[:, None]
@@ -128,13 +133,11 @@ def fit(texts: list[bytes], labels: np.ndarray, odds: float = 1.0, updates: int
         return net
     m = [np.zeros_like(x) for x in net.parts()]
     v = [np.zeros_like(x) for x in net.parts()]
-    cut = [chunked([t])[0].astype(np.int16) for t in texts]
     for step in range(1, updates + 1):
         pick = np.concatenate([r.choice(c, BATCH_DOCS // 2) for c in classes])
-        chosen = [c if len(c) <= CHUNKS_SEEN else c[np.sort(r.choice(len(c), CHUNKS_SEEN, replace=False))] for c in (cut[k] for k in pick)]
-        of = np.repeat(np.arange(len(pick)), [len(c) for c in chosen])
+        chunks, of = chunked([texts[k] for k in pick])
         rate = RATE * min(1.0, 2 * (1 - step / (updates + 1)))
-        for k, (x, g) in enumerate(zip(net.parts(), net.gradients(np.concatenate(chosen), of, labels[pick]), strict=True)):
+        for k, (x, g) in enumerate(zip(net.parts(), net.gradients(chunks, of, labels[pick]), strict=True)):
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.01 * (g * g - v[k])
             x -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
@@ -142,17 +145,20 @@ def fit(texts: list[bytes], labels: np.ndarray, odds: float = 1.0, updates: int
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows_each: int = ROWS_EACH, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteNet:
-    """A network fitted to at most ``rows_each`` labelled rows of either label, drawn by hash of the id.
+def learn(docs: DataFrame, labels: DataFrame, rows_each: int = ROWS_EACH, bytes_each: int = BYTES_EACH, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteNet:
+    """A network fitted to at most ``rows_each`` labelled rows, and ``bytes_each`` bytes, of either label, drawn by hash of the id.
 
-    Rows without id or label teach nothing; a null text is empty. Without rows of both labels the score is constant.
+    Rows without id or label teach nothing; a null text is empty; of an id that is repeated the text that sorts first counts. Without rows of both labels the score is constant.
     """
     marked = training_rows(labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))).distinct()
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}  # two rows at most
-    odds = min(20.0, max(0.05, counts[1] / counts[0])) if len(counts) == 2 else 1.0
+    odds = counts[1] / counts[0] if len(counts) == 2 else 1.0
     chosen = hash_sample(marked, "label", rows_each)
-    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(small(chosen, 2 * rows_each), "doc_id")
-    found = sorted({(r["doc_id"], r["label"], r["text"] or "") for r in rows.limit(4 * rows_each).toLocalIterator()})
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(small(chosen, 2 * rows_each), "doc_id")
+    # one text for each id, however often it is repeated
+    rows = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).withColumn("_draw", F.xxhash64("doc_id", F.lit("bytes")))
+    sized = rows.withColumn("_bytes", F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy("_draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    found = sorted((r["doc_id"], r["label"], r["text"]) for r in sized.where(F.col("_bytes") <= bytes_each).toLocalIterator())
     return fit([utf8(t) for _, _, t in found], np.array([k for _, k, _ in found], np.float32), odds)
 
 

@@ -24,22 +24,20 @@ def outside(i):
 
 def brute_phrases(text, sample):
     """A phrase grows while it stands in the sample; the byte that ends it begins the next, if the sample has it."""
-    n = 0
-    for at in range(0, len(text), language.STRETCH):
-        now = b""
-        for c in (text[k : k + 1] for k in range(at, min(len(text), at + language.STRETCH))):
-            if now + c in sample:
-                now += c
-            else:
-                n, now = n + 1, c if c in sample else b""
-        n += 1
-    return n
+    n, now = 0, b""
+    for c in (text[k : k + 1] for k in range(len(text))):
+        if now + c in sample:
+            now += c
+        else:
+            n, now = n + 1, c if c in sample else b""
+    return n + (text != b"")
 
 
 def test_phrases_are_those_of_greedy_longest_matches():
     samples = {"a": b"the cat sat on the mat with the hat", "b": b"la la lo li la casa de la luna"}
     p = language.CrossParser(samples)
-    texts = [b"the mat la luna", b"q", b"", b"casa casa casa the", b"abc " * 700]
+    r = np.random.default_rng(5)
+    texts = [b"the mat la luna", b"q", b"", b"casa casa casa the", b"abc " * 700, b"the cat sat on " * 1000, b"".join(r.choice([b"the ", b"cat", b"la casa ", b" on ", b"q", b"mat with"], 6000)), b"x" * language.STRETCH, b"a" * 20_000, b"".join(r.choice([b"thethe", b"lo la", b"la l"], 8000))]
     got = p.phrases(texts)
     for k, t in enumerate(texts):
         for j, lang in enumerate(p.langs):
@@ -85,6 +83,36 @@ def test_chunks_cover_whole_texts():
     assert covered == set(range(3000))
 
 
+def test_scores_are_those_of_a_plain_forward_pass():
+    net, r = quality.ByteNet.new(11), np.random.default_rng(2)
+    for n in (0, 1, 5, 511, 512, 513, 960, 961, 3000):
+        text = bytes(r.integers(0, 256, n).astype(np.uint8))
+        most, means, at = [0.0] * quality.FILTERS, [0.0] * quality.FILTERS, 0
+        starts = [0]
+        while starts[-1] + quality.CHUNK < n:
+            starts.append(starts[-1] + quality.STEP)
+        for at in starts:
+            symbols = [text[k] if k < n else quality.PAD for k in range(at, at + quality.CHUNK)]
+            for f in range(quality.FILTERS):
+                best = 0.0
+                for place in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                    window = np.concatenate([net.embed[s] for s in symbols[place : place + quality.WIDTH]])
+                    best = max(best, float(window @ net.weight[:, f] + net.bias[f]))
+                most[f] = max(most[f], best)
+                means[f] += best / len(starts)
+        want = 1 / (1 + np.exp(-(np.array(most + means) @ net.out + net.out_bias[0])))
+        assert abs(net.scores([text])[0] - want) < 1e-4, n
+    assert abs(net.scores([b"a" * 700, b"", b"xyz" * 900])[2] - net.scores([b"xyz" * 900])[0]) < 1e-6
+
+
+def test_repeated_ids_teach_once(spark):
+    """However often ids repeat, one text of each is learned, so the net is determined."""
+    docs = spark.range(60).selectExpr("id % 20 as doc_id", "concat('good words here ', id % 20, case when id < 20 then '' else ' later' end) as text")
+    labels = spark.range(20).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    nets = [quality.learn(docs.repartition(n), labels) for n in (1, 5)]
+    assert all((a == b).all() for a, b in zip(nets[0].parts(), nets[1].parts(), strict=True))
+
+
 def test_gradients_match_differences():
     net = quality.ByteNet.new(3)
     chunks, of = quality.chunked([b"hello world" * 80, b"$$$ ### %%%" * 60])
