@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -15,7 +15,7 @@ from millrace.llm.common import bounded, modest, strings
 # Fixed values of the HTML standard: which elements are void, raw, hidden, blocks, and which tags imply an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist object svg math audio video canvas select".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist object svg math audio video canvas".split())
 HEAD_ONLY = frozenset("base basefont bgsound link meta noframes script style template title".split())
 BLOCKS = frozenset("html body address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing main menu nav ol optgroup option p plaintext pre search section summary table caption tbody thead tfoot tr td th ul xmp".split())
 SPACED = frozenset("p blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 ol ul dir menu pre listing table xmp hr article section".split())
@@ -38,6 +38,8 @@ IMPLIED_END = {
 SCOPE = frozenset("html table td th caption template".split())
 #: What may stand directly in the parts of a table; all else is moved out, before the table.
 TABLE_PARTS = {"table": frozenset("caption colgroup col tbody thead tfoot".split()), "tbody": frozenset(["tr"]), "thead": frozenset(["tr"]), "tfoot": frozenset(["tr"]), "tr": frozenset(["td", "th"]), "colgroup": frozenset(["col"])}
+#: Types of input whose value is not shown as text.
+NO_VALUE = frozenset("hidden password checkbox radio file image range color".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 
 # A quote opens a value only right after the '=' of a name; elsewhere, and where it is never closed, it is a plain character.
@@ -46,7 +48,8 @@ _EQUALS = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+"
 _UNQUOTED = r"[^ \t\n\r\f>\"'][^ \t\n\r\f>]*+"
 _TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[ \t\n\r\f/]++|{_NAME}(?:{_EQUALS}(?:\"[^\"]*+\"|'[^']*+'|{_UNQUOTED})?+)?+)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:{_EQUALS}(?:\"([^\"]*+)\"|'([^']*+)'|({_UNQUOTED}))?+)?+")
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_BOX = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -222,17 +225,34 @@ def parse(page: str) -> Node:
     return builder.root
 
 
-def visible(node: Node) -> bool:
-    """Whether the element and what it holds are rendered.
-
-    Left out by rule, though a browser may show it: aria-hidden elements, select, svg, math, and descendants that are
-    made visible again in a parent with hidden visibility. ``rendered`` also leaves out values of inputs other than
-    submit, button, reset and text.
-    """
+def boxed(node: Node) -> bool:
+    """Whether the element has a box at all; without one nothing in it is rendered. Left out by rule: svg and math."""
     a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
+    if node.tag in HIDDEN or "hidden" in a:
         return False
-    return not (a and ("style" in a and _INVISIBLE.search(a["style"]) or a.get("aria-hidden", "").lower() == "true" or node.tag == "dialog" and "open" not in a))
+    return not (a and ("style" in a and _NO_BOX.search(a["style"]) or node.tag == "dialog" and "open" not in a))
+
+
+def seen_in(node: Node, seen: bool) -> bool:
+    """Whether text of the element shows: visibility is inherited, and a descendant may turn it on again."""
+    found = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else None
+    return found[-1].lower() == "visible" if found else seen
+
+
+def chosen(select: Node) -> list[Node]:
+    """The options that a select shows: all of a list box, else the last one marked as selected, or the first."""
+    options, todo = [], select.children[::-1]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, Node) and boxed(c):
+            if c.tag == "option":
+                options.append(c)
+            else:
+                todo += c.children[::-1]
+    size = select.attrs.get("size", "1")
+    if "multiple" in select.attrs or size.isdecimal() and int(size) > 1:
+        return options
+    return ([o for o in options if "selected" in o.attrs] or options[:1])[-1:]
 
 
 def columns(text: str) -> int:
@@ -295,40 +315,44 @@ class Lines:
         return self.lines
 
 
-#: Tables within tables that keep their columns; deeper ones are laid out as blocks.
-NESTED = 60
-
-
-def rendered(node: Node, level: int = 0) -> list[str]:
-    """Lines of all visible text in the element, which stands in ``level`` tables."""
+def rendered(node: Node, seen: bool = True) -> Generator:
+    """Lines of all visible text in the element. Asks ``laid_out`` for the lines of each table."""
     out = Lines()
     # an explicit stack: pages may nest deeper than Python's calls. Entries are nodes to enter or actions on leaving.
-    todo: list[tuple] = [(0, c, False, 0) for c in reversed(node.children)]
+    todo: list[tuple] = [(0, c, False, 0, seen) for c in reversed(node.children)]
     while todo:
-        kind, item, pre, depth = todo.pop()
+        kind, item, pre, depth, seen = todo.pop()
         if kind:
             item()
             continue
         if isinstance(item, str):
-            out.verbatim(item) if pre else out.flow(item)
+            if seen:
+                out.verbatim(item) if pre else out.flow(item)
             continue
-        if not visible(item):
+        if not boxed(item):
             continue
-        tag = item.tag
+        tag, seen = item.tag, seen_in(item, seen)
         if tag == "br":
             out.line(keep=True)
             continue
         if tag == "img":
-            if item.attrs.get("alt"):
+            if seen and item.attrs.get("alt"):
                 out.flow(item.attrs["alt"])
             continue
         if tag == "input":
-            if item.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and item.attrs.get("value"):
+            if seen and item.attrs.get("type", "text").lower() not in NO_VALUE and item.attrs.get("value"):
                 out.flow(item.attrs["value"])
             continue
-        if tag == "table" and level < NESTED:
+        if tag == "select":
+            options = chosen(item)
+            if len(options) == 1:
+                todo += [(0, c, False, depth, seen_in(options[0], seen)) for c in reversed(options[0].children)]
+            else:
+                todo += [(0, o, False, depth, seen) for o in reversed(options)]
+            continue
+        if tag == "table":
             out.block(2)
-            for row in table_lines(item, level + 1):
+            for row in (yield table_lines(item, seen)):
                 out.put(row)
                 out.line(keep=True)
             out.block(2)
@@ -348,18 +372,18 @@ def rendered(node: Node, level: int = 0) -> list[str]:
                         number = int(c.attrs["value"])
                     c.attrs = c.attrs | {" mark": "  " * depth + (f"{number}. " if tag == "ol" else "- ")}
                     number += 1
-        if tag == "li" and any(isinstance(c, Node) or c.strip() for c in item.children):
+        if tag == "li" and seen and any(isinstance(c, Node) or c.strip() for c in item.children):
             out.put(item.attrs.get(" mark", "- "))
         if tag == "dd":
             out.put("    ")
-        if tag == "q":
+        if tag == "q" and seen:
             out.flow("“")
         inner = pre or tag in ("pre", "listing", "xmp", "textarea", "plaintext")
         if gap:
-            todo.append((1, lambda g=gap: out.block(g), False, 0))
-        if tag == "q":
-            todo.append((1, lambda: out.put("”"), False, 0))
-        todo += [(0, c, inner, nested) for c in reversed(item.children)]
+            todo.append((1, lambda g=gap: out.block(g), False, 0, seen))
+        if tag == "q" and seen:
+            todo.append((1, lambda: out.put("”"), False, 0, seen))
+        todo += [(0, c, inner, nested, seen) for c in reversed(item.children)]
     return out.done()
 
 
@@ -368,31 +392,32 @@ def span(cell: Node, name: str, most: int) -> int:
     return max(1, min(most, int(v))) if v.isdecimal() else 1
 
 
-def table_lines(table: Node, level: int) -> list[str]:
+def table_lines(table: Node, seen: bool) -> Generator:
     """Rows of a table with their cells aligned in columns two spaces apart; spans take their places; a caption stands first.
 
-    The tree builder leaves nothing in a table but its parts.
+    The tree builder leaves nothing in a table but its parts. Asks ``laid_out`` for the lines of each cell.
     """
     caption, rows = [], []
     order = {"thead": 0, "tbody": 1, "tfoot": 2}
-    sections = [c for c in table.children if c.tag in order and visible(c)]
+    sections = [c for c in table.children if c.tag in order and boxed(c)]
     for c in table.children:
-        if c.tag == "caption" and visible(c):
-            caption += rendered(c, level)
+        if c.tag == "caption" and boxed(c):
+            caption += yield rendered(c, seen_in(c, seen))
     for section in sorted(sections, key=lambda s: order[s.tag]):
-        rows += [r.children for r in section.children if visible(r)]
+        shown = seen_in(section, seen)
+        rows += [(r.children, seen_in(r, shown)) for r in section.children if boxed(r)]
     grid: list[dict[int, list[str]]] = []
     wide: dict[int, int] = {}
     held: dict[int, int] = {}
     spans: list[dict[int, int]] = []
-    for row in rows:
+    for row, shown in rows:
         line, at, over = {}, 0, {}
         taken = {k for k, n in held.items() if n > 0}
         held = {k: n - 1 for k, n in held.items() if n > 1}
         for cell in row:
             while at in taken:
                 at += 1
-            text = rendered(cell, level) if visible(cell) else []
+            text = (yield rendered(cell, seen_in(cell, shown))) if boxed(cell) else []
             line[at] = text
             n = span(cell, "colspan", 1000)
             over[at] = n
@@ -423,9 +448,24 @@ def table_lines(table: Node, level: int) -> list[str]:
     return out
 
 
+def laid_out(node: Node) -> list[str]:
+    """Lines of the element. What ``rendered`` and ``table_lines`` ask of each other waits on a stack of its own, so
+    tables may stand in tables to any depth."""
+    waiting, answer = [rendered(node)], None
+    while True:
+        try:
+            waiting.append(waiting[-1].send(answer))
+            answer = None
+        except StopIteration as done:
+            waiting.pop()
+            answer = done.value
+            if not waiting:
+                return answer
+
+
 def extract(page: str) -> str:
     """All visible text of a page: one line for each line of a block, a blank line around spaced blocks."""
-    return "\n".join(rendered(parse(page))).strip("\n")
+    return "\n".join(laid_out(parse(page))).strip("\n")
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

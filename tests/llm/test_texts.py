@@ -246,6 +246,58 @@ def test_words_of_visible_text_survive():
     assert all(w in text for k in range(50) for w in (f"w{k}", f"c{k}", f"d{k}", f"l{k}"))
 
 
+WORDS = st.lists(st.sampled_from(["a", "bb", "ccc", "dddd e"]), min_size=1, max_size=4).map(" ".join)
+BULLETS = st.lists(st.tuples(WORDS, st.lists(WORDS, max_size=2)), min_size=1, max_size=3)
+BLOCK = st.one_of(st.tuples(st.sampled_from(["p", "div", "h2"]), WORDS), st.tuples(st.just("ul"), BULLETS), st.tuples(st.just("table"), st.lists(st.lists(WORDS, min_size=2, max_size=3), min_size=1, max_size=3)))
+
+
+def plain_page(blocks):
+    """A second renderer, for pages of paragraphs, headings, lists of two levels and tables without spans."""
+    lines, before = [], 0
+    for tag, body in blocks:
+        gap = 1 if tag == "div" else 2
+        if tag == "ul":
+            new = [x for text, inner in body for x in [f"- {text}", *(f"  - {i}" for i in inner)]]
+        elif tag == "table":
+            wide = [max(len(r[k]) if k < len(r) else 0 for r in body) for k in range(3)]
+            new = ["  ".join(c.ljust(wide[k]) for k, c in enumerate(r)).rstrip() for r in body]
+        else:
+            new = [body]
+        lines += [""] * (bool(lines) and max(gap, before) == 2) + new
+        before = gap
+    return "\n".join(lines)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(BLOCK, min_size=1, max_size=5))
+def test_rendering_like_a_plain_renderer(blocks):
+    def tags(tag, body):
+        if tag == "ul":
+            return "<ul>" + "".join(f"<li>{t}" + ("<ul>" + "".join(f"<li>{i}" for i in inner) + "</ul>" if inner else "") for t, inner in body) + "</ul>"
+        if tag == "table":
+            return "<table>" + "".join("<tr>" + "".join(f"<td> {c} " for c in r) for r in body) + "</table>"
+        return f"<{tag}>{body}</{tag}>"
+
+    assert html.extract("\n".join(tags(*b) for b in blocks)) == plain_page(blocks)
+
+
+def test_what_shows_and_what_does_not():
+    assert html.extract("<select><option>one<option selected>two</select> <select><option>x<option>y</select>") == "two x"
+    assert html.extract("<select multiple><optgroup><option>one<option>two</select>") == "one\ntwo"
+    assert html.extract("<input type=email value=e> <input value=t> <input type=password value=no><input type=hidden value=no><i aria-hidden=true>shown</i>") == "e t shown"
+    assert html.extract("<div style='visibility: hidden'>no<b style='visibility:visible'>yes</b>no<img alt=no></div>") == "yes"
+    assert html.extract("<table style='visibility:hidden'><tr><td>no<td style='visibility: visible'>yes</table>").split() == ["yes"]
+    assert html.extract("<div style='display:none'><b style='visibility:visible'>no</b></div>a") == "a"
+
+
+def test_tables_in_tables_keep_their_columns_at_any_depth():
+    page = "<table><tr><td>a<td>b<tr><td>long word<td>c</table>"
+    flat = html.extract(page)
+    for _ in range(300):
+        page = f"<table><tr><td>{page}</table>"
+    assert html.extract(page) == flat
+
+
 def test_stray_quotes_and_empty_comments_hide_nothing():
     assert html.extract("<p title=Don't>Hello there, it's lost</p><p>next</p>") == "Hello there, it's lost\n\nnext"
     assert html.extract("<p it's>a's</p><p x\"y=1>b\"</p><p =\"q>c\"</p>") == "a's\n\nb\"\n\nc\""
