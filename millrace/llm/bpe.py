@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -15,8 +16,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.common import bounded, modest, strings, utf8
 
-#: Entries of a worker's cache; the generation before it is kept beside it.
-CACHE = 90_000
+#: Bytes, about, of each of a worker's caches; the generation before it is kept beside it.
+CACHE = 36_000_000
+#: Bytes of a cache entry beside its strings, and symbols from which a stretch is never kept and merges through a heap.
+ENTRY, LONG = 350, 128
 
 
 def word_vocabulary() -> str:
@@ -27,22 +30,30 @@ def word_vocabulary() -> str:
 
 
 class Generations(dict):
-    """A cache of bounded size: when full, it becomes the old generation and an empty one takes its place."""
+    """A cache bounded by the bytes of what it holds: when full, it becomes the old generation and an empty one takes its place."""
 
     def __init__(self, make, limit: int = CACHE):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.size = make, limit, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+            if len(key) > LONG:
+                return value
+        size = ENTRY + len(key) + len(value[0]) + len(value[1])
+        if self.size + size > self.limit:
+            self.old, self.size = dict(self), 0
             self.clear()
+        self.size += size
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself, or the next free one from 256."""
@@ -89,6 +100,8 @@ class ForcedBoundaryBpe:
 
     def merge(self, symbols: tuple[str, ...]) -> tuple[str, str]:
         """Ids and tokens of one fragment: the adjacent pair of least rank, leftmost first, merges until none can."""
+        if len(symbols) > LONG:
+            return self.merge_long(symbols)
         parts, get, never = list(symbols), self.rank.get, len(self.rank)
         ranks = [get(p, never) for p in zip(parts, parts[1:], strict=False)]
         while ranks:
@@ -104,6 +117,30 @@ class ForcedBoundaryBpe:
                 ranks[at] = get((parts[at], parts[at + 1]), never)
         return " ".join([str(self.ids[t]) for t in parts]), " ".join(parts)
 
+    def merge_long(self, symbols: tuple[str, ...]) -> tuple[str, str]:
+        """As ``merge``, in n log n: pairs wait in a heap, by rank and place, and are skipped if they are no more."""
+        parts: list[str | None] = list(symbols)
+        n, rank = len(parts), self.rank
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank[p], k) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank]
+        heapq.heapify(heap)
+        while heap:
+            least, k = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] is None or j >= n or rank.get((parts[k], parts[j])) != least:
+                continue
+            parts[k], parts[j] = parts[k] + parts[j], None
+            after[k] = j = after[j]
+            if j < n:
+                before[j] = k
+                if (r := rank.get((parts[k], parts[j]))) is not None:
+                    heapq.heappush(heap, (r, k))
+            i = before[k]
+            if i >= 0 and (r := rank.get((parts[i], parts[k]))) is not None:
+                heapq.heappush(heap, (r, i))
+        found = [t for t in parts if t is not None]
+        return " ".join([str(self.ids[t]) for t in found]), " ".join(found)
+
     def encode_word(self, word: str) -> tuple[str, str]:
         """Ids and tokens of one word of the pattern: its fragments' results, one after another."""
         s = [self.symbols[b] for b in utf8(word)]
@@ -141,8 +178,7 @@ class ForcedBoundaryBpe:
     def forget(self) -> None:
         """Empties the caches; the vocabulary stays."""
         for cache in (self.fragment, self.words, self.chunk):
-            cache.clear()
-            cache.old = {}
+            cache.forget()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.strings[i] for i in ids if i in self.strings)
@@ -184,7 +220,7 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = 35_000) -> DataFrame:
+def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE // 3) -> DataFrame:
     """(doc_id, ids array<int>, n_tokens, decoded) of every row; same rules as ``encode_digests``.
 
     Caches are smaller here, and emptied after each task, as ids and decoded texts take their room.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -209,6 +210,23 @@ def test_bpe_of_any_text(words, text):
     same(*words, text)
 
 
+def test_bpe_of_long_runs_without_white_space(words):
+    r = np.random.default_rng(3)
+    letters = "".join(r.choice(list("etaoinshrdlu"), 300_000))
+    begin = time.perf_counter()
+    for text in (letters, "the" * 50_000, "x" * 200_000, "".join(r.choice(list("ab1é.,_/"), 100_000)), "日本" * 20_000):
+        same(*words, text)
+    assert time.perf_counter() - begin < 60
+    assert all(len(k) <= bpe.LONG for c in (words[0].chunk, words[0].words, words[0].fragment) for k in c)
+
+
+def test_bpe_caches_stay_within_their_bytes(words):
+    small = bpe.ForcedBoundaryBpe(bpe.word_vocabulary(), 50_000)
+    for k in range(3000):
+        same(small, words[1], f"word{k} {'z' * (k % 90)}q{k}")
+    assert all(c.size <= 50_000 and len(c) + len(c.old) <= 2 * 50_000 // bpe.ENTRY for c in (small.chunk, small.words, small.fragment))
+
+
 def test_bpe_of_odd_rows(odd, empty):
     rows = bpe.encode_digests(odd).collect()
     nothing = hashlib.sha256(b"").hexdigest()
