@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, cut, keyed, modest, strings, utf8, without
+from millrace.llm.common import bounded, cut, keyed, modest, stored, strings, utf8, without
 
 #: Edits allowed for each byte of an item's normal form.
 ERROR_RATE = 0.08
-#: Bytes of item text that one pass over the documents ships to each worker; more items mean more passes.
+#: Bytes of item text that one pass over the documents broadcasts to the workers; more items mean more passes.
 BLOCK_BYTES = 4_000_000
 #: ASCII that is no letter or digit separates words; A-Z becomes a-z.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -115,13 +118,30 @@ class Matcher:
         return sorted(out)
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_bytes``, each a bounded collect; blocks go by a hash of the row."""
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = total // block_bytes + 1
-    for k in range(blocks):
-        yield [(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()]
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def matcher(name: str, block, rate: float) -> Matcher:
+    """The matcher of one broadcast block, built once in a worker process; only the latest is kept."""
+    if name not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[name] = Matcher(block.value, rate)
+    return _MATCHERS[name]
+
+
+def matches(rows: DataFrame, items: DataFrame, rate: float) -> tuple[DataFrame, Broadcast]:
+    """Matches of ``rows`` (doc_id, text) with ``items`` (i, t), whose texts are few enough to broadcast."""
+    block = rows.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in items.collect()])
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = matcher(name, block, rate)
+        for b in bounded(batches):
+            found = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True) for hit in m.find(t)]
+            cols = list(zip(*found, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], strict=True)], ["doc_id", "item_id", "distance", "errors_allowed", "end_at"])
+
+    return rows.mapInArrow(run, "doc_id long, item_id long, distance int, errors_allowed int, end_at long"), block
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -132,23 +152,23 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, bl
     form; an item with budget 0 must stand there exactly, between word ends. Null or empty items, items without a
     letter or digit and items without an id match nothing; null and empty texts hold nothing. Repeated items count
     once, repeated rows of ``docs`` each give their matches. Either table may be empty. Documents are scanned whole,
-    once for each block of items, without a shuffle.
+    without a shuffle.
+
+    Items are broadcast, never more than about ``block_bytes`` of their texts at a time, as a sum of their sizes tells
+    beforehand. Where there are more, they go in blocks by a hash: the documents are scanned once for each, its
+    matches are written to the shared folder, and its items leave driver and workers before the next.
     """
     rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, distance int, errors_allowed int, end_at long"
-    out = None
-    for block in item_blocks(items, item_id_col, item_text_col, block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
-            for b in bounded(batches):
-                found = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True) for hit in matcher.find(t)]
-                cols = list(zip(*found, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], strict=True)], ["doc_id", "item_id", "distance", "errors_allowed", "end_at"])
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    every = items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").distinct()
+    blocks = (every.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes + 1
+    if blocks == 1:
+        return matches(rows, every, rate)[0]
+    every, parts = cut(every), []
+    for k in range(blocks):
+        found, block = matches(rows, every.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k), rate)
+        parts.append(stored(found, "matches"))
+        block.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,6 +16,8 @@ from millrace.llm.common import bounded, modest, strings
 COLUMNS = 120
 #: Characters of a chunk, and of the texts whose chunks run side by side.
 CHUNK, BATCH = 1024, 3_000_000
+#: Places before a chunk without a certain cut from which its likely entry states are found.
+PHASES = 24
 #: Transitions hold the next state above these bits, and the emitted count plus BIAS in them.
 BITS, BIAS = 6, 32
 #: States after which the table is emptied and compiled anew as texts ask for it; bounds a worker's memory.
@@ -40,9 +42,10 @@ class PieceCounter:
     is a state; each transition is annotated with the tokens it emits, which may be negative where pieces merge.
     States and transitions are compiled when a text first needs them and kept in a dense table.
 
-    Between two characters that stand together in no piece every state leads to one and the same, so a chunk's map
-    of states is constant from its first such place on. All chunks run side by side from there; then maps compose from left to
-    right, each chunk's head taking the end of the one before.
+    Between two characters that stand together in no piece every state leads to one and the same, so the map of states
+    of a chunk with such a place is constant, and all those chunks run side by side from there. Of a chunk without, the
+    map is built over all states that it may be entered in, again side by side; maps of such chunks in a row compose
+    through a parallel prefix scan, in as many steps as the logarithm of their number.
     """
 
     def __init__(self, path: str):
@@ -53,6 +56,8 @@ class PieceCounter:
         self.score = dict(kind)
         self.begins = {s[:k] for s in self.score for k in range(1, len(s))}
         self.longest = max(map(len, self.score))
+        if self.longest >= BIAS:
+            raise ValueError(f"a piece of {self.longest} characters: emitted counts of less than -{BIAS} have no room")
         self.inner = {(a, b) for s in self.score for a, b in zip(s, s[1:], strict=False)}
         often = Counter(c for s in self.score if len(s) > 1 for c in set(s))
         self.column = {c: k for k, (c, _) in enumerate(often.most_common(COLUMNS))}
@@ -185,6 +190,45 @@ class PieceCounter:
         back[order] = np.arange(len(order))
         return state[back], count[back]
 
+    def composed(self, whole: np.ndarray, begin: np.ndarray, end: np.ndarray, state: np.ndarray, count: np.ndarray, columns: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``state`` and ``count`` with the ends and counts of the chunks ``whole``, which have no certain cut.
+
+        The map of a chunk is a list of rows (chunk, state in) -> (state out, count). The first of a row of such
+        chunks is entered in one known state; for the others the likely ones are found by runs from places shortly
+        before the chunk, and what the map of the chunk before leads to is added until nothing is missing.
+        """
+        first = np.append(True, np.diff(whole) > 1)  # its chunk before has a certain cut, so a known end
+        later = np.flatnonzero(~first)
+        # a run begun at any place stands for "a text that begins here"; places lie within the chunk before
+        back = np.arange(1, min(PHASES, CHUNK) + 1)
+        at = (begin[whole[later]][:, None] - back).ravel()
+        guess, _ = self.run(at, np.tile(back, len(later)), np.zeros(len(at), np.int64), columns, codes)
+        base = np.int64(1) << 32
+        new = np.unique(np.concatenate([np.flatnonzero(first) * base + state[whole[first] - 1], np.repeat(later, len(back)) * base + guess]))
+        key, out, emitted = (np.zeros(0, np.int64) for _ in range(3))
+        follows = np.append(~first[1:], False)  # whether the next of ``whole`` is the next chunk
+        while len(new):
+            k = new // base
+            s, n = self.run(begin[whole[k]], (end - begin)[whole[k]], new % base, columns, codes)
+            key, out, emitted = np.append(key, new), np.append(out, s), np.append(emitted, n)
+            order = np.argsort(key)
+            key, out, emitted = key[order], out[order], emitted[order]
+            on = follows[key // base]
+            new = np.setdiff1d((key[on] // base + 1) * base + out[on], key)
+        # compose: jump[p] is the row that 2 ** level chunks lead to from row p, or one past the last where the row of chunks ends
+        jump = np.where(follows[key // base], np.searchsorted(key, (key // base + 1) * base + out), len(key))
+        levels = [np.append(jump, len(key))]
+        while (levels[-1][:-1] < len(key)).any():
+            levels.append(levels[-1][levels[-1]])
+        entered = np.searchsorted(key, np.flatnonzero(first) * base + state[whole[first] - 1])
+        for step in reversed(levels):
+            entered = np.unique(np.append(entered, step[entered]))
+        entered = entered[entered < len(key)]
+        chunk = whole[key[entered] // base]
+        state, count = state.copy(), count.copy()
+        state[chunk], count[chunk] = out[entered], emitted[entered]
+        return state, count
+
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each whole text."""
         out, k = np.zeros(len(texts), np.int64), 0
@@ -219,17 +263,14 @@ class PieceCounter:
         sure = np.minimum(after[np.searchsorted(after, begin)], end)  # from here on a chunk's map is constant
         state, count = self.run(sure, end - sure, np.zeros(len(of), np.int64), columns, codes)
         head = sure - begin
-        ahead = np.flatnonzero(head > 0)
         whole = head == end - begin
-        # compose: heads whose chunk before has a known end, then those after chunks that are all head, wave by wave
-        known = ~whole
-        while len(ahead):
-            ready = ahead[known[ahead - 1]]
-            s, n = self.run(begin[ready], head[ready], state[ready - 1], columns, codes)
-            count[ready] += n
-            state[ready] = np.where(whole[ready], s, state[ready])
-            known[ready] = True
-            ahead = ahead[~np.isin(ahead, ready)]
+        whole[nth == 0] = False  # empty heads
+        if whole.any():
+            state, count = self.composed(np.flatnonzero(whole), begin, end, state, count, columns, codes)
+        # all chunks are now known to their ends; what is left are heads before certain cuts
+        rest = np.flatnonzero((head > 0) & ~whole)
+        _, n = self.run(begin[rest], head[rest], state[rest - 1], columns, codes)
+        count[rest] += n
         return np.bincount(of, weights=count, minlength=len(texts)).astype(np.int64)
 
 

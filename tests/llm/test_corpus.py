@@ -227,6 +227,27 @@ def test_contaminated(spark, odd, empty):
     assert {r.doc_id for r in decontaminate.drop_contaminated(odd, items).collect()} == {None, 1, 2, 3, 6, 8}
 
 
+def test_edited_items_planted_in_a_whole_table(spark):
+    """Every item with edits up to its budget is found, in texts of the table, at a distance no greater than the edits."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect() if r.text]
+    r, planted, want = random.Random(4), [], {}
+    for n, (doc, text) in enumerate(rows):
+        item_id, item = items[n % len(items)]
+        s = list(decontaminate.normal(item).decode())
+        edits = decontaminate.budget(decontaminate.normal(item))
+        for _ in range(edits):
+            at = r.randrange(len(s))
+            s[at : at + 1] = r.choice([["q"], [], [s[at], "z"]])
+        # a word that goes takes a space along, so a few planted passages lie beyond the budget
+        n_item, plain = decontaminate.normal(item), decontaminate.normal("".join(s))
+        want[doc, item_id] = decontaminate.myers(decontaminate.masks(n_item), len(n_item), plain)[0], edits
+        planted.append((doc, f"{text} {''.join(s)} {text[:50]}"))
+    found = {(x.doc_id, x.item_id): x.distance for x in decontaminate.contaminated(docs(spark, planted).repartition(8), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert not [(k, d, most, found.get(k)) for k, (d, most) in want.items() if d <= most and found.get(k, 1 << 30) > d]
+    assert sum(d <= most for d, most in want.values()) > 0.8 * len(want)
+
+
 def test_planted_items(spark, corpus):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     want = {(i, k) for i, t in corpus for k, b in items if decontaminate.normal(b) in decontaminate.normal(t)}

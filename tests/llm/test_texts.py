@@ -175,6 +175,19 @@ def test_token_counts_across_chunks(pieces):
     assert mine.counts(texts[:1]).tolist() == [len(library.encode(texts[0]))]
 
 
+def test_token_counts_of_texts_without_cuts(pieces):
+    """Chunks without a certain cut compose by their maps: long texts take few steps, whatever states they enter."""
+    mine, library = pieces
+    r = np.random.default_rng(9)
+    texts = ["x" * 1_000_000, "日本語" * 30_000, "ab" * 3 + "the" * 20_000 + "x", "".join(r.choice(list("aeinorst"), 200_000)), "".join(r.choice(list("漢字日本"), 30_000)), "=" * 70_001, "a b " + "-" * 9000 + " c" * 9000]
+    mine.clear()
+    begin = time.perf_counter()
+    got = mine.counts(texts).tolist()
+    assert time.perf_counter() - begin < 60
+    assert got == [len(library.encode(t)) for t in texts]
+    assert mine.counts(texts[::-1]).tolist() == got[::-1]
+
+
 def test_token_counts_of_odd_rows(odd, empty):
     rows = tokencount.token_counts(odd).collect()
     assert len(rows) == odd.count() and {(r.n_bytes, r.n_tokens) for r in rows if r.doc_id in (1, 2)} == {(0, 0)}
