@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,11 @@ from millrace.llm.common import bounded, cut, discard, mix64, modest, small, sto
 LENGTH = 200
 #: Bytes of an anchor; every window of LENGTH bytes has the anchor of least hash among its LENGTH - ANCHOR + 1.
 ANCHOR = 48
-#: Bytes of distinct surroundings of one anchor that one suffix array takes; anchors with more are dealt out by window.
-GROUP_BYTES = 2_000_000
+#: Bytes of distinct surroundings of one anchor that one suffix array takes; an anchor with more is made longer.
+GROUP_BYTES = 1_000_000
 #: Bytes that a task gathers before it sorts their suffixes, and bytes of text whose anchors are found at once.
 SORT_BYTES, SCAN_BYTES = 300_000, 150_000
-_BASES = (0x100000001B3, 0x9E3779B97F4A7C15)
+_BASE = 0x100000001B3
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -31,17 +32,13 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """Polynomial hashes, modulo 2 ** 64, of any stretches of one buffer."""
+    """Polynomial hashes, modulo 2 ** 64, of the stretches of one buffer that have the same width."""
 
     def __init__(self, data: np.ndarray, base: int):
         self.up, self.down = powers(base, len(data) + 1)
         with np.errstate(over="ignore"):
             self.total = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:-1]))
 
-    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64((self.total[end] - self.total[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
-
     def rolling(self, width: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix64((self.total[width:] - self.total[:-width]) * self.down[: len(self.total) - width])
@@ -56,20 +53,25 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchored(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Stretches of windows with one anchor: (text, first start, last start, anchor hash, hash of the stretch's bytes).
+def digests(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b of each stretch of the bytes, 128 bits as a row of two longs: equal digests stand for equal bytes."""
+    found = b"".join([hashlib.blake2b(data[x:y], digest_size=16).digest() for x, y in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
+def anchored(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR, digest: bool = True) -> tuple[np.ndarray, ...]:
+    """Stretches of windows with one anchor: (text, first start, last start, anchor hash, and the stretch's digest).
 
     Equal windows have equal anchors, so a window can only repeat among stretches of the same anchor. A stretch ends
     where its anchor leaves the window, so no two windows of one stretch are equal.
     """
     kept = [k for k, t in enumerate(texts) if len(t) >= length]
     if not kept:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
+        return (*(np.zeros(0, np.int64),) * 4, np.zeros((0, 2), np.int64))
     sizes = np.array([len(texts[k]) for k in kept])
-    data = np.frombuffer(b"".join(texts[k] for k in kept), np.uint8)
+    joined = b"".join(texts[k] for k in kept)
     first = np.cumsum(sizes) - sizes
-    a, b = (Hasher(data, base) for base in _BASES)
-    grams = a.rolling(anchor)
+    grams = Hasher(np.frombuffer(joined, np.uint8), _BASE).rolling(anchor)
     least = sliding_min(grams, length - anchor + 1)
     valid = np.ones(len(least), bool)
     for f in first[1:].tolist():
@@ -80,9 +82,28 @@ def anchored(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
     lo, hi = lo[valid[lo]], hi[valid[lo]]
     # texts that touch: a stretch never holds windows of two, as those between are invalid (if LENGTH > 1)
     of = np.searchsorted(first, lo, side="right") - 1
-    with np.errstate(over="ignore"):
-        content = mix64(a.of(lo, hi + length) ^ mix64(b.of(lo, hi + length)))
-    return np.array(kept)[of], lo - first[of], hi - first[of], least[lo].view(np.int64), content.view(np.int64)
+    content = digests(joined, lo, hi + length) if digest else np.zeros((len(lo), 2), np.int64)
+    return np.array(kept)[of], lo - first[of], hi - first[of], least[lo].view(np.int64), content
+
+
+def anchor_place(stretch: bytes, starts: int, key: int, anchor: int = ANCHOR) -> int:
+    """Where in the bytes of a stretch of so many windows its anchor stands: at its first place in each of them."""
+    grams = Hasher(np.frombuffer(stretch, np.uint8), _BASE).rolling(anchor).view(np.int64)
+    return int(np.flatnonzero(grams[starts - 1 :] == key)[0]) + starts - 1
+
+
+def lengthened(stretch: bytes, starts: int, at: int, anchor: int, length: int) -> list[tuple[int, int, int, bytes]]:
+    """The stretch in two, each with an anchor longer by half of what a window has beside it, rounded up.
+
+    Windows with that much before the anchor get it before, the others have it behind. That depends on their bytes
+    alone, so equal windows get equal anchors. Entries: first and last start, place of the new anchor, its bytes.
+    """
+    more, out = (length - anchor + 1) // 2, []
+    if at >= more:
+        out.append((0, min(starts - 1, at - more), at - more, stretch[at - more : at + anchor]))
+    if at - more < starts - 1:
+        out.append((max(0, at - more + 1), starts - 1, at, stretch[at : at + anchor + more]))
+    return out
 
 
 def dense(keys: np.ndarray) -> np.ndarray:
@@ -181,30 +202,31 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)]
 
 
-def text_key(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+_PLACE = ("doc_id", "txt", "lo", "hi")
 
 
-_ANCHORS = "hash long, seg long, doc_id long, txt long, lo long, hi long"
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, txt, text) of every row. ``txt``, a hash of the text, tells rows of one id apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("txt"), text.alias("text"))
 
 
-def anchors(rows: DataFrame, length: int) -> DataFrame:
+def anchors(rows: DataFrame, length: int, digest: bool) -> DataFrame:
     """One row for each stretch of windows of one anchor, in every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches):
-            ids, texts, at = b.column(0).to_pylist(), [utf8(t) for t in strings(b.column(1))], 0
+            texts, at = [utf8(t) for t in strings(b.column(2))], 0
             while at < len(texts):
                 begin, size = at, 0
                 while at < len(texts) and (at == begin or size < SCAN_BYTES):
                     size += len(texts[at])
                     at += 1
-                of, lo, hi, h, seg = anchored(texts[begin:at], length)
-                key = np.array([text_key(t) if len(t) >= length else 0 for t in texts[begin:at]], np.int64)
-                doc = pa.array(ids[begin:at], pa.int64()).take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(seg), doc, pa.array(key[of]), pa.array(lo), pa.array(hi)], ["hash", "seg", "doc_id", "txt", "lo", "hi"])
+                of, lo, hi, h, seg = anchored(texts[begin:at], length, digest=digest)
+                ids = b.select([0, 1]).take(pa.array(of + begin))
+                yield pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, seg.T), *ids.columns, pa.array(lo), pa.array(hi)], ["hash", "seg", "seg2", *_PLACE])
 
-    return rows.mapInArrow(run, _ANCHORS)
+    return rows.mapInArrow(run, "hash long, seg long, seg2 long, doc_id long, txt long, lo long, hi long")
 
 
 def sorted_marks(parts: DataFrame, length: int, later_only: bool) -> DataFrame:
@@ -220,7 +242,7 @@ def sorted_marks(parts: DataFrame, length: int, later_only: bool) -> DataFrame:
             for r, starts in zip(rows, repeated_starts([r[4] for r in rows], length, later_only), strict=True):
                 out += [(r[1], r[2], r[3] + x, r[3] + y) for x, y in zip(*(v.tolist() for v in runs(starts)), strict=True)]
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "txt", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], list(_PLACE))
 
         size = 0
         for b in bounded(batches):
@@ -233,82 +255,129 @@ def sorted_marks(parts: DataFrame, length: int, later_only: bool) -> DataFrame:
         if held:
             yield flush(held)
 
-    return parts.sortWithinPartitions("hash").mapInArrow(run, "doc_id long, txt long, lo long, hi long")
+    rows = parts.select("hash", "doc_id", "txt", "lo", "bytes").repartition(F.col("hash")).sortWithinPartitions("hash")
+    return rows.mapInArrow(run, "doc_id long, txt long, lo long, hi long")
 
 
-def window_marks(parts: DataFrame, length: int, later_only: bool) -> DataFrame:
-    """As ``sorted_marks`` for anchors of very many surroundings: windows meet by two hashes of all their bytes."""
+def concerned(rows: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows whose (doc_id, txt) is among ``ids`` (or is not): a filter in place while the ids are few enough to broadcast."""
+    keys = small(ids.select(F.col("doc_id").alias("c_id"), F.col("txt").alias("c_txt")).distinct())
+    return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("txt") == F.col("c_txt")), "left_semi" if inside else "left_anti")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches):
-            for doc, txt, lo, data in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                x = np.frombuffer(data, np.uint8)
-                w1, w2 = (Hasher(x, base).rolling(length).view(np.int64) for base in _BASES)
-                n = len(w1)
-                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array([doc] * n, pa.int64()), pa.array([txt] * n, pa.int64()), pa.array(np.arange(lo, lo + n))], ["w1", "w2", "doc_id", "txt", "lo"])
 
-    w = parts.mapInArrow(run, "w1 long, w2 long, doc_id long, txt long, lo long")
-    if later_only:
-        first = w.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "txt", "lo")).alias("f")).where("n > 1")
-        hit = w.join(first, ["w1", "w2"]).where(~F.struct("doc_id", "txt", "lo").eqNullSafe(F.col("f")))
-    else:
-        hit = w.join(w.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1"), ["w1", "w2"])
-    return hit.select("doc_id", "txt", "lo", F.col("lo").alias("hi"))
+def beside(rows: DataFrame, lists: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the list ``name`` that ``lists`` has for their (doc_id, txt); rows without one are left out."""
+    other = lists.select(F.col("doc_id").alias("w_id"), F.col("txt").alias("w_txt"), name)
+    return concerned(rows, lists).join(other, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("txt") == F.col("w_txt"))).drop("w_id", "w_txt")
 
 
-def concerned(rows: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
-    """Rows whose doc_id is among ``ids`` (or is not): a filter in place while the ids are few enough to broadcast."""
-    keys = small(ids.select(F.col("doc_id").alias("c_id")).distinct())
-    return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("c_id")), "left_semi" if inside else "left_anti")
+def classes(found: DataFrame, *others: str) -> DataFrame:
+    """One row for each anchor and digest: how many stretches, the place of the first, and ``others``, equal in all."""
+    place = F.min(F.struct(*_PLACE)).alias("at_place")
+    return found.groupBy("hash", "seg", "seg2").agg(F.count("*").alias("n"), place, *(F.first(c).alias(c) for c in others)).select("hash", "seg", "seg2", "n", "at_place.*", *others)
+
+
+def copied(found: DataFrame, each: DataFrame, keep_first: bool) -> DataFrame:
+    """Places of stretches of equal bytes: all their windows repeat (with ``keep_first``, but for the first such stretch)."""
+    many = each.where("n > 1").select("hash", "seg", "seg2", *(F.struct(*_PLACE).alias("f"),) * keep_first)
+    out = found.join(small(many), ["hash", "seg", "seg2"])
+    return (out.where(~F.struct(*_PLACE).eqNullSafe(F.col("f"))) if keep_first else out).select(*_PLACE)
+
+
+def in_company(each: DataFrame, length: int) -> DataFrame:
+    """Rows of ``classes`` whose anchor has several, with ``hot``: whether these have more bytes than one suffix array takes."""
+    size = F.sum(F.col("hi") - F.col("lo") + length)
+    mixed = each.groupBy("hash").agg(F.count("*").alias("kinds"), size.alias("size")).where("kinds > 1")
+    return each.join(mixed.select("hash", (F.col("size") > GROUP_BYTES).alias("hot")), "hash")
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, marks): intervals of starts (txt, lo, hi) by document, checkpointed; every ``length``-byte window that begins at lo..hi of the text also stands elsewhere.
+    """(doc_id, txt, marks): intervals of starts (lo, hi) by text, checkpointed; every ``length``-byte window that begins at lo..hi of the text also stands elsewhere.
 
     With ``keep_first`` only where it stands earlier, in the order of doc_id, hash of the text (``txt``) and place. Texts are UTF-8
     bytes, null is empty; windows lie within one document, and matches within the same document count, overlapping
     ones too. Rows are documents even if they repeat an id or a text.
 
     1. Windows are grouped into stretches by their least anchor; anchors that occur once drop out by a count.
-    2. Stretches of equal bytes stand as one, and all their windows are marked.
+    2. Stretches of equal bytes, as a 128-bit digest tells, stand as one, and all their windows are marked.
     3. Of anchors with several surroundings the distinct stretches meet, and suffix arrays with longest previous
-       factors decide on each window. An anchor with over ``GROUP_BYTES`` of them is dealt out by window instead.
+       factors decide on each window.
+    4. An anchor with over ``GROUP_BYTES`` of them is made longer first: its stretches are cut in two by the side on
+       which a window has more room, and meet again by the longer anchor from step 2. Half of the room goes each time,
+       so after eight times an anchor is a window, of which there is one kind.
     """
-    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    often = cut(anchors(rows, length).select("hash").groupBy("hash").count().where("count > 1").select("hash"))
-    found = stored(anchors(rows, length).join(small(often), "hash", "left_semi"), "stretches")
-    place = F.min(F.struct(F.col("doc_id"), F.col("txt"), F.col("lo"), F.col("hi")))
-    each = cut(found.groupBy("hash", "seg").agg(F.count("*").alias("n"), place.alias("at")).select("hash", "seg", "n", "at.*"))
-    copies = found.join(each.where("n > 1").select("hash", "seg", *(F.struct("doc_id", "txt", "lo", "hi").alias("f"),) * keep_first), ["hash", "seg"])
-    if keep_first:
-        copies = copies.where(~F.struct("doc_id", "txt", "lo", "hi").eqNullSafe(F.col("f")))
-    marks = copies.select("doc_id", "txt", "lo", "hi")
-    mixed = each.groupBy("hash").agg(F.count("*").alias("kinds"), F.sum(F.col("hi") - F.col("lo") + length).alias("size")).where("kinds > 1")
-    wanted = each.join(mixed, "hash").select("doc_id", "txt", "hash", "lo", F.col("hi").alias("last"), (F.col("size") > GROUP_BYTES).alias("hot"))
-    by_doc = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("txt", "hash", "lo", "last", "hot")).alias("want")))
-
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = text_rows(docs, id_col, text_col)
+    often = cut(anchors(rows, length, False).select("hash").groupBy("hash").count().where("count > 1").select("hash"))
+    found = stored(anchors(rows, length, True).join(small(often), "hash", "left_semi"), "stretches")
+    each = cut(classes(found))
+    marks, written = [copied(found, each, keep_first)], [found]
+    wanted = in_company(each, length).select("doc_id", "txt", "hash", "lo", F.col("hi").alias("last"), "hot")
+    by_doc = cut(wanted.groupBy("doc_id", "txt").agg(F.collect_list(F.struct("hash", "lo", "last", "hot")).alias("want")))
+    # rows that repeat both id and text give their slices once
+    parts = stored(beside(rows, by_doc, "want").mapInArrow(slicer(length), _PART), "parts")
+    written.append(parts)
+    parts, anchor = parts.dropDuplicates(["hash", "doc_id", "txt", "lo"]), ANCHOR
+    while True:
+        marks.append(sorted_marks(parts.where("not hot"), length, keep_first))
+        hot = parts.where("hot")
+        if not hot.limit(1).count():
+            break
+        split = stored(hot.mapInArrow(splitter(anchor, length), _SPLIT), "split")
+        anchor += (length - anchor + 1) // 2
+        each = stored(classes(split, "at", "bytes"), "classes")
+        marks.append(copied(split, each, keep_first))
+        parts = stored(in_company(each, length).select("hash", "doc_id", "txt", "lo", "at", "bytes", "hot"), "parts")
+        written += [split, each, parts]
+    every = reduce(DataFrame.unionByName, marks)
+    out = cut(every.groupBy("doc_id", "txt").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")))
+    discard(*written)
+    return out
+
+
+_PART = "hash long, doc_id long, txt long, lo long, at long, bytes binary, hot boolean"
+_SPLIT = "hash long, seg long, seg2 long, doc_id long, txt long, lo long, hi long, at long, bytes binary"
+
+
+def slicer(length: int) -> Callable:
+    """From texts with the stretches wanted of them to the bytes of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches):
             out = []
-            for doc, text, want in zip(b.column(0).to_pylist(), strings(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for doc, txt, text, want in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 data = utf8(text)
-                key = text_key(data)
-                out += [(w["hash"], doc, key, w["lo"], data[w["lo"] : w["last"] + length], w["hot"]) for w in want if w["txt"] == key]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["hash", "doc_id", "txt", "lo", "bytes", "hot"])
-
-    want = by_doc.withColumnRenamed("doc_id", "w_id")
-    cutout = concerned(rows, by_doc).join(want, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("doc_id", "text", "want").mapInArrow(slices, "hash long, doc_id long, txt long, lo long, bytes binary, hot boolean")
-    # rows that repeat both id and text give their slices once
-    sliced = stored(cutout, "parts")
-    parts = sliced.dropDuplicates(["hash", "doc_id", "txt", "lo"])
-    cold = sorted_marks(parts.where("not hot").select("hash", "doc_id", "txt", "lo", "bytes").repartition(F.col("hash")), length, keep_first)
-    hot = window_marks(parts.where("hot").select("hash", "doc_id", "txt", "lo", "bytes"), length, keep_first)
-    every = marks.unionByName(cold).unionByName(hot)
-    out = cut(every.groupBy("doc_id").agg(F.collect_list(F.struct("txt", "lo", "hi")).alias("marks")))
-    discard(found, sliced)
-    return out
+                for w in want:
+                    part = data[w["lo"] : w["last"] + length]
+                    at = anchor_place(part, w["last"] - w["lo"] + 1, w["hash"]) if w["hot"] else -1
+                    out.append((w["hash"], doc, txt, w["lo"], at, part, w["hot"]))
+            yield table_batch(out, _PART)
+
+    return run
+
+
+def splitter(anchor: int, length: int) -> Callable:
+    """From stretches of an anchor of so many bytes to those of longer ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches):
+            out = []
+            for doc, txt, lo, at, part in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4, 5)), strict=True):
+                for first, last, place, key in lengthened(part, len(part) - length + 1, at, anchor, length):
+                    name = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True)
+                    sub = part[first : last + length]
+                    seg = digests(sub, np.array([0]), np.array([len(sub)]))[0].tolist()
+                    out.append((name, *seg, doc, txt, lo + first, lo + last, place - first, sub))
+            yield table_batch(out, _SPLIT)
+
+    return run
+
+
+def table_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of longs, binaries and booleans, as the schema names them."""
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
 
 def covered(intervals: list[tuple[int, int]], length: int, size: int) -> list[tuple[int, int]]:
@@ -328,19 +397,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     ``spans`` are the maximal removed runs [begin, end) in bytes, ``kept`` the remaining bytes concatenated. Null and
     empty texts have 0 bytes and no spans. An empty table gives no rows. Other columns are ignored.
     """
-    by_doc = repeated_passages(docs, length, keep_first, id_col, text_col).withColumnRenamed("doc_id", "m_id")
-    rows = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = by_doc.select(F.col("m_id").alias("doc_id"))
-    marked = concerned(rows, ids).join(by_doc, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("doc_id", "text", "marks")
-    joined = marked.unionByName(concerned(rows, ids, False).select("doc_id", "text", F.lit(None).cast(by_doc.schema["marks"].dataType).alias("marks")))
+    by_doc = repeated_passages(docs, length, keep_first, id_col, text_col)
+    rows = text_rows(docs, id_col, text_col)
+    marked = beside(rows, by_doc, "marks").select("doc_id", "text", "marks")
+    joined = marked.unionByName(concerned(rows, by_doc, False).select("doc_id", "text", F.lit(None).cast(by_doc.schema["marks"].dataType).alias("marks")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches):
             size, gone, spans, kept = [], [], [], []
             for text, marks in zip(strings(b.column(1)), b.column(2).to_pylist(), strict=True):
                 data = utf8(text)
-                key = text_key(data) if marks else 0
-                off = covered([(m["lo"], m["hi"]) for m in marks or () if m["txt"] == key], length, len(data))
+                off = covered([(m["lo"], m["hi"]) for m in marks or ()], length, len(data))
                 size.append(len(data))
                 gone.append(sum(y - x for x, y in off))
                 spans.append([{"begin": x, "end": y} for x, y in off])
