@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, components, cut, discard, keyed, mix64, modest, stored, strings, utf8, without
+from millrace.llm.common import bounded, components, cut, discard, keyed, mix64, modest, small, stored, strings, utf8, without
 
 #: Words of a shingle and weighted Jaccard similarity from which two texts are linked.
 WORDS, SIMILARITY = 5, 0.8
@@ -182,7 +182,7 @@ def blocked(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """(cell, id, ..., block, blocks): members dealt by hash over as many blocks as bound their number and bytes."""
     many = cells.join(sizes, "id")
     blocks = many.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_ROWS), F.sum("size") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
-    return many.drop("size").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return many.drop("size").join(small(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
 def star_links(cells: DataFrame, sizes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -262,8 +262,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     docs = text.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats(docs, id_col) else text
     seen = stored(sketches(docs), "sketches")
     some = seen.where(F.size("bands") > 0)
-    heads = some.groupBy("content").agg(F.min("doc_id").alias("head"))
-    member = cut(some.select("doc_id", "content").join(heads, "content").select("doc_id", "head"))
+    # contents of several documents alone, so that a hot one moves once per task and is joined where its documents are
+    heads = cut(some.groupBy("content").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("content", "head"))
+    member = cut(some.select("doc_id", "content").join(small(heads), "content", "left").select("doc_id", F.coalesce("head", "doc_id").alias("head")))
     stand = some.join(member.where("doc_id = head").select("doc_id"), "doc_id", "left_semi")
     spread = stand.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
     shared = cut(spread.join(spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
