@@ -55,7 +55,7 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
-    """``out`` of each item in order, as ``step`` (state, item) -> (state, out) gives it; ``out`` is of type ``kind``.
+    """``out`` of each of the items, of which there are some, in order, as ``step`` (state, item) -> (state, out) gives it; ``out`` is of type ``kind``.
 
     Arrays never change, so adding to one copies it. The items are taken in blocks of about the square root of their
     number, each with an array of its own: n items cost about n ** 1.5 moves of references.
@@ -72,8 +72,7 @@ def running(items: Column, zero: Column, step: Callable[[Column, Column], Column
         return let(block(acc["state"], part), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
 
     start = F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    whole = let(items, lambda xs: let(F.ceil(F.sqrt(F.size(xs))).cast("int"), lambda k: F.aggregate(F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / k).cast("int")), lambda b: F.slice(xs, b * k + 1, k)), start, outer, lambda acc: F.flatten(acc["out"]))))
-    return F.when(F.size(items) > 0, whole).otherwise(empty)
+    return let(items, lambda xs: let(F.ceil(F.sqrt(F.size(xs))).cast("int"), lambda k: F.aggregate(F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / k).cast("int")), lambda b: F.slice(xs, b * k + 1, k)), start, outer, lambda acc: F.flatten(acc["out"]))))
 
 
 def located(text: Column, found: Column, pattern: str) -> Column:
@@ -85,7 +84,8 @@ def located(text: Column, found: Column, pattern: str) -> Column:
         return F.struct(end.alias("state"), F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match")).alias("out"))
 
     pairs = F.slice(F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))), F.lit(1), F.size(found))
-    return running(pairs, F.lit(0), step, "struct<start:int,end:int,match:string>")
+    kind = "struct<start:int,end:int,match:string>"
+    return F.when(F.size(found) > 0, running(pairs, F.lit(0), step, kind)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def blanked(text: Column, found: Column, pattern: str, drop: Callable[[Column], Column] | None = None) -> Column:
@@ -181,11 +181,14 @@ def secrets(docs: DataFrame, allow: str = ALLOW, id_col: str = "doc_id", text_co
             df = df.withColumn(f"m_{n}", F.when(F.size(f"m_{n}") > 0, matches(left, p)).otherwise(F.col(f"m_{n}")))
         df = df.withColumn(f"t_{n}", blanked(F.col(left), F.col(f"m_{n}"), p, keep[n]))
         left = f"t_{n}"
-    df = df.withColumn("m_allow", F.when(F.col(left).rlike(_RUN + "{16}"), matches(left, allow)).otherwise(F.array().cast("array<string>")))
+    # most texts have no run that any class or the allow-list looks at
+    df = df.withColumn("some", F.col(left).rlike(_RUN + "{16}"))
+    none = F.array().cast("array<string>")
+    df = df.withColumn("m_allow", F.when(F.col("some"), matches(left, allow)).otherwise(none))
     df = df.withColumn("t_allow", blanked(F.col(left), F.col("m_allow"), allow))
     left, every = "t_allow", [F.col("base")]
     for k, c in enumerate(CLASSES, len(BASE)):
-        df = df.withColumn(f"m_{k}", matches(left, c.pattern))
+        df = df.withColumn(f"m_{k}", F.when(F.col("some"), matches(left, c.pattern)).otherwise(none))
         df = df.withColumn(f"s_{k}", told(located(F.col(left), F.col(f"m_{k}"), c.pattern), c))
         df = df.withColumn(f"e_{k}", spans(c.name, k, F.col(f"s_{k}")))
         every.append(F.col(f"e_{k}"))
