@@ -284,7 +284,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     more = cut(cross_links(open_, sizes, texts, similarity))
     roots = cut(components(links.unionByName(more)))
     named = member.join(roots.withColumnRenamed("node", "head"), "head", "left").select("doc_id", F.coalesce("root", "head").alias("class_id"))
-    sized = named.join(named.groupBy("class_id").agg(F.count("*").alias("class_size")), "class_id")
+    named = cut(named)
+    sizes = cut(named.groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1"))
+    sized = named.join(small(sizes), "class_id", "left").withColumn("class_size", F.coalesce("class_size", F.lit(1)))
     alone = seen.where(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     out = cut(sized.select("doc_id", "class_id", "class_size").unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("class_id")))
     discard(seen)
