@@ -332,7 +332,7 @@ def _build() -> dict[str, str]:
     updated = f"select k, case when k % 2 = 0 then lower(name) else name end as name, extra from ({evolved}) e"
     out["schema_evolved_read"], out["update_read"] = evolved, updated
     out["merge_read"] = f"select * from ({updated}) u where k < 18 union all select k, 'm-' || name, 'merged' from ({base} where n_nationkey >= 18) n"
-    out["history_ops"] = "select * from (values (cast(0 as bigint), 'OVERWRITE', cast(10 as bigint)), (1, 'APPEND', 5), (2, 'APPEND', 5), (3, 'UPDATE', 20), (4, 'MERGE', 25)) t(version, operation, rows_added)"
+    out["history_ops"] = "select * from (values (cast(0 as bigint), 'OVERWRITE', cast(10 as bigint)), (1, 'APPEND', 5), (2, 'APPEND', 5), (3, 'UPDATE', 0), (4, 'MERGE', 5)) t(version, operation, rows_added)"
     path = "'retail/' || event_type || '/' || cast(event_id as varchar)"
     out["ingest_pending_files"] = f"select event_id, sha256(lower(event_type) || '|' || lower({path}) || '|') as ingestion_id from events where event_id % 3 <> 0 and not (event_id % 5 = 0 and event_id % 10 <> 0)"
     add("run_audit_latest", OPERATIONS["run_audit_latest"], "bronze_rows_ingested silver_valid_rows silver_quarantine_rows")

@@ -1,9 +1,11 @@
 """Versioned Parquet tables: atomic commits, time travel, schema enforcement and evolution, update and merge.
 
-Layout: ``data/<uuid>/part-*.parquet`` and ``_log/<20-digit version>.json``. A commit writes its data, then creates
-the next log file, which fails if another writer was first. Readers take the newest version or the one asked for.
-Paths go through Hadoop's FileSystem, so any scheme that Spark reads will do; commits are atomic where the file
-system refuses to overwrite on create, as local disks and HDFS do. Not for several writers on object stores.
+Layout: ``data/<uuid>/part-*.parquet`` and ``_log/<20-digit version>.json``. A commit writes its data, then a log entry
+aside, which takes its name in one step that fails if another writer was first. So no reader meets half an entry, and
+one that a broken disk cut short is passed over. An entry names the files that it adds and removes; every tenth has
+the whole list. Updates and merges rewrite only files that hold a row to change. Readers take the newest version or
+the one asked for. Paths go through Hadoop's FileSystem, so any scheme that Spark reads will do; commits are atomic
+on local disks and HDFS. Not for several writers on object stores.
 """
 
 from __future__ import annotations
@@ -13,10 +15,15 @@ import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
+#: Every so many versions the log entry has the whole list of files.
+WHOLE_EVERY = 10
+
+
 class ConcurrentCommitError(RuntimeError):
     """Another writer took the version."""
 
@@ -36,24 +43,46 @@ class TableNotFoundError(FileNotFoundError):
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, str(path).rstrip("/")
+        self._known: dict[int, dict] = {}
         jvm = spark.sparkContext._jvm
         self._jpath = jvm.org.apache.hadoop.fs.Path
         self._fs = self._jpath(f"{self.path}/_log").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # log
 
-    def versions(self) -> list[int]:
+    def _numbers(self) -> list[int]:
         at = self._jpath(f"{self.path}/_log")
         if not self._fs.exists(at):
             return []
         names = (s.getPath().getName() for s in self._fs.listStatus(at))
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
+    def versions(self) -> list[int]:
+        """Versions whose entries can be read."""
+        return [v for v in self._numbers() if self._parsed(v) is not None]
+
     def exists(self) -> bool:
-        return bool(self.versions())
+        return any(self._parsed(v) is not None for v in reversed(self._numbers()))
 
     def entry(self, version: int) -> dict:
-        return json.loads(self._load(f"{self.path}/_log/{version:020d}.json"))
+        """The log entry of a version, with all its files as ``live``."""
+        e = self._parsed(version)
+        if e is None:
+            raise TableNotFoundError(f"{self.path}: version {version}")
+        if "live" in e:
+            return e
+        live = self.entry(e["base"])["live"] if e["base"] >= 0 else []
+        gone = set(e["remove"])
+        return e | {"live": [f for f in live if f not in gone] + e["add"]}
+
+    def _parsed(self, version: int) -> dict | None:
+        """An entry as it was written, None if there is none or it is cut short. Entries never change."""
+        if version not in self._known:
+            try:
+                self._known[version] = json.loads(self._load(f"{self.path}/_log/{version:020d}.json"))
+            except (TableNotFoundError, ValueError):
+                return None
+        return self._known[version]
 
     def _load(self, path: str) -> str:
         if not self._fs.exists(self._jpath(path)):
@@ -69,73 +98,102 @@ class VersionedTable:
         return [{"version": v, "file": f"{v:020d}.json", "actions": self.entry(v)} for v in self.versions()]
 
     def history(self) -> DataFrame:
-        """(version, timestamp, operation, rows_added, live_files), newest first."""
+        """(version, timestamp, operation, rows_added, live_files), newest first. Rows that were there before do not count as added."""
         rows = [(e["version"], datetime.fromisoformat(e["timestamp"]), e["operation"], e["rows_added"], len(e["live"])) for e in map(self.entry, reversed(self.versions()))]
         return self.spark.createDataFrame(rows, "version long, timestamp timestamp, operation string, rows_added long, live_files long")
 
-    def _commit(self, operation: str, schema: StructType, live: list[str], rows: int, base: int, at: datetime | None = None) -> int:
-        version = base + 1
+    def _commit(self, operation: str, schema: StructType, add: list[str], remove: list[str], rows: int, base: int, at: datetime | None = None) -> int:
+        """The next version on top of ``base``; fails if there is one already."""
+        numbers = self._numbers()
+        if any(v > base and self._parsed(v) is not None for v in reversed(numbers)):
+            raise ConcurrentCommitError(f"{self.path}: there is a version after {base}")
+        version = max([base, *numbers]) + 1
         at = at or datetime.now(UTC)
-        body = {"version": version, "timestamp": at.isoformat(), "operation": operation, "rows_added": rows, "live": live, "schema": json.loads(schema.json())}
-        target = self._jpath(f"{self.path}/_log/{version:020d}.json")
-        try:
-            out = self._fs.create(target, False)
-        except Exception as e:
-            raise ConcurrentCommitError(f"{self.path}: version {version} exists") from e
+        body = {"version": version, "base": base, "timestamp": at.isoformat(), "operation": operation, "rows_added": rows, "add": add, "remove": remove, "schema": json.loads(schema.json())}
+        if version % WHOLE_EVERY == 0:
+            gone = set(remove)
+            body["live"] = [f for f in (self.entry(base)["live"] if base >= 0 else []) if f not in gone] + add
+        aside = self._jpath(f"{self.path}/_log/.{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(aside, False)
         try:
             out.write(bytearray(json.dumps(body).encode()))
         finally:
             out.close()
+        try:
+            self._name(aside, self._jpath(f"{self.path}/_log/{version:020d}.json"))
+        finally:
+            self._fs.delete(aside, False)
         return version
 
-    def _write(self, df: DataFrame, partition_by: list[str] | None = None) -> tuple[str, int]:
-        """Writes a data folder and counts its rows from what was written."""
+    def _name(self, aside, target) -> None:
+        """Gives a finished file its name, in one step, unless the name is taken."""
+        if self._fs.getUri().getScheme() == "file":
+            file = self.spark.sparkContext._jvm.java.io.File
+            try:  # a rename would replace what is there, a link does not
+                self.spark.sparkContext._jvm.java.nio.file.Files.createLink(file(target.toUri().getPath()).toPath(), file(aside.toUri().getPath()).toPath())
+            except Py4JJavaError as e:
+                raise ConcurrentCommitError(f"{self.path}: {target.getName()} exists") from e
+        elif not self._fs.rename(aside, target):
+            raise ConcurrentCommitError(f"{self.path}: {target.getName()} exists")
+
+    def _write(self, df: DataFrame) -> tuple[list[str], int]:
+        """Writes a data folder; its files, and their rows as the footers count them."""
         name = f"data/{uuid.uuid4().hex}"
-        writer = df.write
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.path}/{name}")
-        return name, self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}").count()
+        df.write.parquet(f"{self.path}/{name}")
+        files, found = self._fs.listFiles(self._jpath(f"{self.path}/{name}"), True), []
+        while files.hasNext():
+            part = files.next().getPath().getName()
+            if part.endswith(".parquet"):
+                found.append(f"{name}/{part}")
+        return found, self._rows(found, df.schema)
+
+    def _rows(self, files: list[str], schema: StructType) -> int:
+        return self._files(files, schema).count() if files else 0
+
+    def _files(self, files: list[str], schema: StructType) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in files))
+
+    @staticmethod
+    def _touched(rows: DataFrame) -> list[str]:
+        """Files of this table that the rows stand in; a list of names, as long as the files are many."""
+        return ["data/" + r[0].rsplit("/data/", 1)[1] for r in rows.select(F.col("_file")).distinct().collect()]
 
     # reads
 
     def latest(self) -> int:
-        versions = self.versions()
-        if not versions:
-            raise TableNotFoundError(self.path)
-        return versions[-1]
+        for v in reversed(self._numbers()):
+            if self._parsed(v) is not None:
+                return v
+        raise TableNotFoundError(self.path)
 
     def resolve(self, version: int | None = None, as_of: datetime | str | None = None) -> int:
         if version is not None:
-            if version not in self.versions():
+            if self._parsed(version) is None:
                 raise TableNotFoundError(f"{self.path}: version {version}")
             return version
         if as_of is None:
             return self.latest()
         moment = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
         moment = moment if moment.tzinfo else moment.replace(tzinfo=UTC)
-        known = [v for v in self.versions() if datetime.fromisoformat(self.entry(v)["timestamp"]) <= moment]
+        known = [v for v in self.versions() if datetime.fromisoformat(self._parsed(v)["timestamp"]) <= moment]
         if not known:
             raise TableNotFoundError(f"{self.path}: nothing as of {moment}")
         return known[-1]
 
     def schema(self, version: int | None = None) -> StructType:
-        return StructType.fromJson(self.entry(self.resolve(version))["schema"])
+        return StructType.fromJson(self._parsed(self.resolve(version))["schema"])
 
     def read(self, version: int | None = None, as_of: datetime | str | None = None) -> DataFrame:
         """The table now, at a version or as of a moment. Columns that older files lack are NULL."""
         e = self.entry(self.resolve(version, as_of))
-        schema = StructType.fromJson(e["schema"])
-        if not e["live"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*(f"{self.path}/{d}" for d in e["live"]))
+        return self._files(e["live"], StructType.fromJson(e["schema"]))
 
     # writes
 
     def overwrite(self, df: DataFrame, operation: str = "OVERWRITE") -> int:
-        base = self.versions()[-1] if self.exists() else -1
-        name, rows = self._write(df)
-        return self._commit(operation, df.schema, [name], rows, base)
+        return self.replace(df, operation, self.latest() if self.exists() else -1)
 
     def append(self, df: DataFrame, merge_schema: bool = False) -> int:
         """Adds rows. Unknown or retyped columns raise unless ``merge_schema`` admits new ones; missing ones are NULL."""
@@ -151,24 +209,25 @@ class VersionedTable:
             raise SchemaMismatchError(f"{self.path}: retyped {retyped}, unknown {[f.name for f in extra]}")
         merged = StructType([*schema.fields, *extra])
         have = set(df.columns)
-        name, rows = self._write(df.select(*(F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in merged)))
-        return self._commit("APPEND", merged, [*e["live"], name], rows, base)
+        files, rows = self._write(df.select(*(F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in merged)))
+        return self._commit("APPEND", merged, files, [], rows, base)
 
     def update(self, condition: Column, values: dict[str, Column]) -> int:
-        """Sets columns where the condition is true."""
-        base, df = self.latest(), self.read()
-        hit = F.coalesce(condition, F.lit(False))
+        """Sets columns where the condition is true. Files without such a row stay as they are."""
+        base, hit = self.latest(), F.coalesce(condition, F.lit(False))
+        touched = self._touched(self.read(base).withColumn("_file", F.col("_metadata.file_path")).where(hit))
+        df = self._files(touched, self.schema(base))
         new = df.select(*(F.when(hit, values[c]).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c in values else F.col(c) for c in df.columns))
-        name, rows = self._write(new)
-        return self._commit("UPDATE", df.schema, [name], rows, base)
+        files = self._write(new)[0] if touched else []
+        return self._commit("UPDATE", df.schema, files, touched, 0, base)
 
     def replace(self, df: DataFrame, operation: str, base: int) -> int:
         """A new content computed from version ``base``; fails if that is no longer the newest."""
-        name, rows = self._write(df)
-        return self._commit(operation, df.schema, [name], rows, base)
+        files, rows = self._write(df)
+        return self._commit(operation, df.schema, files, self.entry(base)["live"] if base >= 0 else [], rows, base)
 
     def merge(self, source: DataFrame, key: str, when: Callable[[str, str], Column] | None = None, keep: tuple[str, ...] = ()) -> int:
-        """Upsert on ``key`` in one commit; creates the table if there is none.
+        """Upsert on ``key`` in one commit, which rewrites only files with a row that changes; creates the table if there is none.
 
         Matched rows take the source's columns (but ``keep``) if ``when("t", "s")`` is true or not given; rows with a
         key that the table lacks are inserted. A NULL key matches nothing. Several source rows for a key raise.
@@ -178,9 +237,17 @@ class VersionedTable:
             raise AmbiguousMergeError(f"{self.path}: several source rows for {key} = {twice[0]!r}")
         if not self.exists():
             return self.overwrite(source, "CREATE")
-        base, target = self.latest(), self.read()
-        new = merged(target, source.select(*target.columns), key, when, keep)
-        return self.replace(new, "MERGE", base)
+        base = self.latest()
+        schema = self.schema(base)
+        target, new = self.read(base), source.select(*schema.names)
+        # files with a row that the source changes, and source rows that the table lacks: only keys, and what ``when`` looks at, are read
+        pairs = target.withColumn("_file", F.col("_metadata.file_path")).alias("t").join(new.alias("s"), F.col(f"t.{key}") == F.col(f"s.{key}"))
+        touched = self._touched(pairs.where(F.coalesce(when("t", "s"), F.lit(False))) if when else pairs)
+        old = self._files(touched, schema)
+        fresh = new.join(target.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+        changed = merged(old, new.join(old.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_semi"), key, when, keep)
+        files, rows = self._write(changed.unionByName(fresh) if touched else fresh)
+        return self._commit("MERGE", schema, files, touched, rows - self._rows(touched, schema), base)
 
 
 def merged(target: DataFrame, source: DataFrame, key: str, when: Callable[[str, str], Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

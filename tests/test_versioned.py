@@ -58,6 +58,39 @@ def test_merge(spark, tmp_path):
     assert rows(t.read())[0] == (1, "z")
 
 
+def test_one_row_rewrites_one_file(spark, tmp_path):
+    t = VersionedTable(spark, tmp_path / "t")
+    t.overwrite(spark.range(0, 4000, 1, 8).selectExpr("id", "cast(id as string) as name"))
+    before = t.entry(0)["live"]
+    t.merge(people(spark, (17, "new")), "id")
+    e = t.entry(1)
+    assert len(before) == 8 and len(e["remove"]) == 1 and set(before) - set(e["remove"]) < set(e["live"])
+    t.merge(people(spark, (9000, "far"), (9001, "off")), "id")
+    assert t.entry(2)["remove"] == [] and t.entry(2)["rows_added"] == 2 and e["rows_added"] == 0
+    t.update(F.col("id") == 2500, {"name": F.lit("set")})
+    assert len(t.entry(3)["remove"]) == 1
+    t.update(F.col("id") < 0, {"name": F.lit("no")})
+    assert t.entry(4)["remove"] == [] == t.entry(4)["add"]
+    got = dict(rows(t.read()))
+    assert len(got) == 4002 and (got[17], got[18], got[9000], got[2500]) == ("new", "18", "far", "set")
+    assert t.read(version=0).count() == 4000 and dict(rows(t.read(version=0)))[17] == "17"
+
+
+def test_log_grows_by_what_changes_and_broken_entries_are_passed_over(spark, tmp_path):
+    t = VersionedTable(spark, tmp_path / "t")
+    for k in range(23):
+        t.append(people(spark, (k, "x")))
+    assert [v for v in t.versions() if "live" in t._parsed(v)] == [0, 10, 20]
+    assert t.read(version=14).count() == 15 and t.read().count() == 23
+    (tmp_path / "t" / "_log" / f"{23:020d}.json").write_text('{"version": 23, "li')
+    (tmp_path / "t" / "_log" / f"{24:020d}.json").write_text("")
+    again = VersionedTable(spark, tmp_path / "t")
+    assert again.latest() == 22 and again.read().count() == 23
+    again.append(people(spark, (99, "y")))
+    assert again.latest() == 25 and VersionedTable(spark, tmp_path / "t").read().count() == 24
+    assert not [p for p in (tmp_path / "t" / "_log").iterdir() if p.name.endswith(".tmp")]
+
+
 def test_lost_race(spark, tmp_path):
     a, b = VersionedTable(spark, tmp_path / "t"), VersionedTable(spark, tmp_path / "t")
     a.overwrite(people(spark, (1, "a")))
