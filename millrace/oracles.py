@@ -6,7 +6,7 @@ import re
 
 from millrace.bindings.retail import VIEWS
 from millrace.operators.rules import ORDER
-from millrace.plans.serving import KPI_QUERIES, KPI_VIEWS, OPERATIONS, REPORTS, STAR_QUERIES, STAR_VIEWS
+from millrace.plans.serving import REPORTS
 
 #: Intermediate tables by name; each may use the others and the retail tables.
 TABLES: dict[str, str] = dict(VIEWS)
@@ -219,7 +219,10 @@ def _build() -> dict[str, str]:
 
     add("revenue_by_region_channel", REPORTS["revenue_by_region"].replace("cast(sum(net_sales) / count(distinct order_id) as decimal(10,2))", half_up("sum(net_sales)", "count(distinct order_id)")), "total_orders", "regional_net_revenue regional_gross_profit avg_order_value")
     add("daily_revenue", REPORTS["daily_revenue"].replace("cast(avg(net_sales) as decimal(10,2))", half_up("sum(net_sales)", "count(*)")), "order_year order_month total_orders unique_customers total_units_sold", "total_gross_revenue total_discounts total_net_revenue avg_line_item_value")
-    add("top_products_per_category", REPORTS["top_products"], "category_revenue_rank units_sold", "total_net_revenue total_profit")
+    add("top_products_per_category", """
+      with t as (select category, product_id, product_name, sum(quantity) as units_sold, cast(sum(net_sales) as decimal(14,2)) as total_net_revenue, cast(sum(gross_profit) as decimal(14,2)) as total_profit from curated_lines group by 1, 2, 3)
+      select category, (select count(distinct b.total_net_revenue) + 1 from t b where b.category is not distinct from a.category and b.total_net_revenue > a.total_net_revenue) as category_revenue_rank, product_id, product_name, units_sold, total_net_revenue, total_profit
+      from t a qualify dense_rank() over (partition by category order by total_net_revenue desc) <= 5""", "category_revenue_rank units_sold", "total_net_revenue total_profit")
     add("category_return_rate", REPORTS["category_returns"], "total_items_sold total_returned_items", "return_rate_percent category_net_revenue total_refunded_amount final_net_realized_revenue")
     add("curated_sales_lines", """
       select l.order_item_id, l.order_id, l.customer_id, gross_sales, discount_amount, net_sales, cost_amount, gross_profit, order_year, order_month, order_day, customer_order_sequence, days_since_prior_order, customer_running_spend, category_product_rank
@@ -235,7 +238,7 @@ def _build() -> dict[str, str]:
     add("conform_valid", "select customer_id, first_name, last_name, concat_ws(' ', first_name, last_name) as full_name, email, phone, address, city, state, country, postal_code, signup_date, loyalty_tier from batch_customers where reason is null")
     add("conform_quarantine", "select customer_id, reason as quarantine_reason, raw_date as delivered_signup_date, raw_email as delivered_email from batch_customers where reason is not null")
     add("json_quarantine_payload", "select customer_id as record_id, 'customers' as source_dataset, reason as rejection_reason, raw_date as raw_signup_date from batch_customers where reason is not null")
-    add("quality_metrics", " union all ".join(f"select '{n}' as dataset_name, count(*) as source_row_count, count(*) filter (reason is null) as valid_row_count, count(*) filter (reason is not null) as quarantine_row_count, count(*) filter (reason like 'DUPLICATE%') as duplicate_count, count(*) filter (reason like 'NULL_MANDATORY%') as null_mandatory_count, count(*) filter (reason like 'ORPHAN%') as referential_orphan_count from batch_{n}" for n in ("customers", "products", "stores", "employees")))
+    add("quality_metrics", " union all ".join(f"select '{n}' as dataset_name, count(*) as source_row_count, count(*) filter (reason is null) as valid_row_count, count(*) filter (reason is not null) as quarantine_row_count, count(*) filter (reason like 'DUPLICATE%') as duplicate_count, count(*) filter (reason like 'NULL_MANDATORY%') as null_mandatory_count, count(*) filter (reason like 'ORPHAN%') as referential_orphan_count from batch_{n}" for n in ORDER))
     out["dedup_latest_lineitem"] = "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc nulls last, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) as rn from lineitem) q where rn = 1"
     out["orphan_probe_anti"] = "select o_orderkey, o_custkey from orders where not exists (select 1 from customer where c_custkey = o_custkey and c_custkey % 10 <> 3)"
     out["fk_valid_semi"] = "select o_orderkey, o_custkey from orders where exists (select 1 from customer where c_custkey = o_custkey and c_custkey % 10 <> 3)"
@@ -253,15 +256,18 @@ def _build() -> dict[str, str]:
     }
     for name, (table, ints, money) in gold.items():
         add(name, f"select * from {table}", ints, money)
-    q = KPI_QUERIES
-    add("margin_last30", q["margin_last30"].replace("gross_profit / nullif(net_sales, 0) * 100", "cast(gross_profit as decimal(18,2)) / nullif(net_sales, 0) * 100"), "total_orders total_units_sold returns_count", "gross_revenue total_discounts net_sales total_cogs gross_profit total_refunded_amount gross_margin_pct")
-    add("monthly_retained", q["monthly_retained"], "year month total_orders total_units_sold", "total_net_revenue total_refunded_amount net_retained_revenue")
-    add("store_rank_top20", q["store_rank_top20"], "total_orders revenue_rank", "total_net_revenue avg_order_value")
-    add("category_risk", q["category_risk"], "units_sold units_returned", "gross_revenue net_revenue total_refunded_amount return_rate_pct")
-    add("vip_top50", q["vip_top50"], "total_orders", "lifetime_spend avg_order_value")
-    add("return_share", q["return_share"], "return_count", "total_refund_amount avg_refund_amount pct_of_total_returns")
-    add("view_monthly_revenue", KPI_VIEWS["monthly_revenue"], "year month total_orders total_units_sold", "total_net_revenue total_refunded_amount net_retained_revenue")
-    add("view_return_refund_performance", KPI_VIEWS["return_refund_performance"], "return_count", "total_refund_amount avg_refund_amount")
+    # KPI queries and views, each in words of its own
+    daily, monthly, stores, kinds, spenders, reasons = (t for t, _, _ in gold.values())
+    retained = "total_net_revenue - total_refunded_amount"
+    add("margin_last30", f"select order_date, total_orders, total_units_sold, gross_revenue, total_discounts, net_sales, total_cogs, gross_profit, case when net_sales <> 0 then round(cast(gross_profit as decimal(18,2)) * 100 / net_sales, 2) end as gross_margin_pct, returns_count, total_refunded_amount from {daily} where order_date in (select order_date from {daily} order by order_date desc limit 30)", "total_orders total_units_sold returns_count", "gross_revenue total_discounts net_sales total_cogs gross_profit total_refunded_amount gross_margin_pct")
+    add("monthly_retained", f"select year, month, total_orders, total_units_sold, total_net_revenue, total_refunded_amount, {retained} as net_retained_revenue from {monthly}", "year month total_orders total_units_sold", "total_net_revenue total_refunded_amount net_retained_revenue")
+    add("store_rank_top20", f"select store_id, store_name, state, country, total_orders, total_net_revenue, avg_order_value, (select count(distinct b.total_net_revenue) + 1 from {stores} b where b.total_net_revenue > a.total_net_revenue) as revenue_rank from {stores} a order by total_net_revenue desc, store_id limit 20", "total_orders revenue_rank", "total_net_revenue avg_order_value")
+    add("category_risk", f"select * exclude (total_discounts) from {kinds}" if "total_discounts" in TABLES[kinds] else f"select * from {kinds}", "units_sold units_returned", "gross_revenue net_revenue total_refunded_amount return_rate_pct")
+    add("vip_top50", f"select customer_id, first_name, last_name, email, loyalty_tier, total_orders, lifetime_spend, avg_order_value, first_order_date, latest_order_date from {spenders} where loyalty_tier = 'GOLD' or loyalty_tier = 'PLATINUM' order by lifetime_spend desc, customer_id limit 50", "total_orders", "lifetime_spend avg_order_value")
+    add("return_share", f"select return_reason, return_count, total_refund_amount, avg_refund_amount, round(100.0 * return_count / (select sum(return_count) from {reasons}), 2) as pct_of_total_returns from {reasons}", "return_count", "total_refund_amount avg_refund_amount pct_of_total_returns")
+    for view, name in (("daily_sales_performance", "gold_daily"), ("revenue_by_store_region", "gold_store_region"), ("category_revenue_performance", "gold_category"), ("customer_spending_summary", "gold_customer"), ("return_refund_performance", "gold_returns")):
+        out[f"view_{view}"] = out[name]
+    add("view_monthly_revenue", f"select *, {retained} as net_retained_revenue from {monthly}", "year month total_orders total_units_sold", "total_net_revenue total_refunded_amount net_retained_revenue")
 
     out["dim_date"] = longs(calendar("2020-01-01", "2030-12-31"), _DATE_INTS)
     add("dim_store", "select * from dim_store", "store_key")
@@ -289,13 +295,41 @@ def _build() -> dict[str, str]:
     add("scd2_recovery", f"select {_SCD2} from scd2_healed", "customer_key version_number")
     add("fact_sales_pit", "select * from fact_sales", *_FACT)
     add("fact_returns", "select * from fact_returns", "customer_key product_key store_key return_date_key", "refund_amount")
-    s = STAR_QUERIES
-    add("star_sales_by_tier", s["star_sales_by_tier"], "year total_orders total_units_sold", "total_gross_sales total_discounts total_net_sales total_cogs total_profit")
-    add("star_category_profit", s["star_category_profit"], "items_sold_count total_quantity", "gross_revenue total_discounts_given net_sales_revenue total_category_profit")
-    add("star_store_month", s["star_store_month"].replace("cast(sum(s.net_amount) / nullif(count(distinct s.order_id), 0) as decimal(18,2))", half_up("sum(s.net_amount)", "count(distinct s.order_id)")), "year order_volume", "monthly_net_sales monthly_store_profit avg_order_value")
-    add("star_return_rate", s["star_return_rate"], "total_sold_items returned_items_count", "total_refunds_issued")
-    add("sales_detail_view", STAR_VIEWS["sales_detail"], "quantity order_date_key order_year customer_key product_key store_key", "unit_price gross_amount discount_amount net_amount cost_amount profit_amount product_current_unit_price")
-    add("returns_detail_view", STAR_VIEWS["returns_detail"], "return_date_key return_year customer_key product_key store_key", "refund_amount")
+    # the star, by joining every line first and summing afterwards
+    joined = "(select * from fact_sales f left join dim_date on date_key = order_date_key)"
+    add("star_sales_by_tier", f"""
+      select loyalty_tier, year, quarter_name, count(distinct order_id) as total_orders, sum(quantity) as total_units_sold, sum(gross_amount) as total_gross_sales, sum(discount_amount) as total_discounts,
+        sum(net_amount) as total_net_sales, sum(cost_amount) as total_cogs, sum(profit_amount) as total_profit, round(sum(profit_amount)::double / sum(net_amount)::double * 100, 2) as profit_margin_pct
+      from {joined} l, (select customer_key as k, loyalty_tier from dim_customer) c where k = customer_key group by 1, 2, 3""", "year total_orders total_units_sold", "total_gross_sales total_discounts total_net_sales total_cogs total_profit")
+    add("star_category_profit", """
+      select category, subcategory, count(*) as items_sold_count, sum(quantity) as total_quantity, sum(gross_amount) as gross_revenue, sum(discount_amount) as total_discounts_given, sum(net_amount) as net_sales_revenue,
+        sum(profit_amount) as total_category_profit, round(avg(discount_amount::double / gross_amount::double) * 100, 2) as avg_discount_pct
+      from fact_sales f, (select product_key as k, category, subcategory from dim_product) p where k = product_key group by 1, 2""", "items_sold_count total_quantity", "gross_revenue total_discounts_given net_sales_revenue total_category_profit")
+    add("star_store_month", f"""
+      select region, store_name, year, month_name, count(distinct order_id) as order_volume, sum(net_amount) as monthly_net_sales, sum(profit_amount) as monthly_store_profit, {half_up("sum(net_amount)", "count(distinct order_id)")} as avg_order_value
+      from {joined} l, (select store_key as k, region, store_name from dim_store) s where k = store_key group by 1, 2, 3, 4""", "year order_volume", "monthly_net_sales monthly_store_profit avg_order_value")
+    add("star_return_rate", """
+      select category, count(distinct sold) as total_sold_items, count(distinct return_id) as returned_items_count, round(count(distinct return_id) / count(distinct sold) * 100, 2) as return_rate_pct, coalesce(sum(refund_amount), 0) as total_refunds_issued
+      from (select product_key as k, category from dim_product) p, (select f.order_item_id as sold, f.product_key, r.return_id, r.refund_amount from fact_sales f left join fact_returns r on r.order_item_id = f.order_item_id) l where k = product_key group by 1""", "total_sold_items returned_items_count", "total_refunds_issued")
+    who = "c.customer_id, c.first_name as customer_first_name, c.last_name as customer_last_name, c.loyalty_tier as customer_historical_loyalty_tier"
+    what = "p.product_id, p.product_sku, p.product_name, p.category as product_category, p.subcategory as product_subcategory"
+    where = "w.store_id, w.store_name, w.store_type, w.region as store_region, w.state as store_state, w.country as store_country"
+    # keys are looked up again from ids and times, not taken from the facts; days outside the calendar are the unknown one
+    def day(ts: str) -> str:
+        return f"dim_date d on d.date_key = case when {ts} >= timestamp '1992-01-01' and {ts} < timestamp '2000-01-01' then cast(strftime({ts}, '%Y%m%d') as int) else 0 end"
+
+    version = "dim_customer c on c.customer_id = f.customer_id and f.order_timestamp >= c.effective_from and f.order_timestamp < coalesce(c.effective_to, timestamp '9999-01-01')"
+    parents = f"join dim_product p on p.product_id = f.product_id join dim_store w on w.store_id = f.store_id join {version}"
+    add("sales_detail_view", f"""
+      select f.order_item_id, f.order_id, f.order_timestamp, f.order_status, f.channel, f.quantity, f.unit_price, f.gross_amount, f.discount_amount, f.net_amount, f.cost_amount, f.profit_amount,
+        d.date_key as order_date_key, d.full_date as order_date, d.year as order_year, d.quarter_name as order_quarter, d.month_name as order_month, d.day_name as order_day_of_week, d.is_weekend as is_weekend_order,
+        c.customer_key, {who}, c.email as customer_email, c.city as customer_historical_city, c.state as customer_historical_state, c.postal_code as customer_historical_postal_code,
+        p.product_key, {what}, p.unit_price as product_current_unit_price, w.store_key, {where}
+      from fact_sales f {parents} join {day("f.order_timestamp")}""", "quantity order_date_key order_year customer_key product_key store_key", "unit_price gross_amount discount_amount net_amount cost_amount profit_amount product_current_unit_price")
+    add("returns_detail_view", f"""
+      select r.return_id, r.order_item_id, f.order_id, r.return_timestamp, r.return_reason, r.return_status, r.refund_amount, d.date_key as return_date_key, d.full_date as return_date, d.year as return_year,
+        d.month_name as return_month, c.customer_key, {who}, p.product_key, {what}, w.store_key, {where}
+      from c_returns r join fact_sales f on f.order_item_id = r.order_item_id {parents} join {day("r.return_timestamp")}""", "return_date_key return_year customer_key product_key store_key", "refund_amount")
     out["pit_versions"] = """
       with v as (select user_id, event_id as version_id, ts as a, lead(ts) over (partition by user_id order by ts, event_id) as b from events where event_type in ('signup', 'error'))
       select e.event_id, coalesce(v.version_id, -1) as version_id from events e left join v on e.user_id = v.user_id and e.ts >= v.a and (v.b is null or e.ts < v.b) where e.event_type = 'purchase'"""
@@ -307,36 +341,50 @@ def _build() -> dict[str, str]:
     unique = [("dim_product", "product_key"), ("dim_product", "product_id"), ("dim_store", "store_key"), ("dim_store", "store_id"), ("dim_date", "date_key"), ("dim_customer", "customer_key"), ("fact_sales", "order_item_id"), ("fact_returns", "return_id")]
     full = {(t, c): check(f"completeness_{c}", t, f"select count(*) from {t} where {c} is null") for t, cs in complete.items() for c in cs.split()}
     single = {(t, c): check(f"uniqueness_{c}", t, f"select count({c}) - count(distinct {c}) from {t}") for t, c in unique}
-    add("quality_completeness", " union all ".join(full.values()))
-    add("quality_uniqueness", " union all ".join(single.values()))
-    add("quality_ri", " union all ".join(check(f"referential_integrity_{c}", "fact_sales", f"select count(*) from fact_sales f where {c} <> 0 and not exists (select 1 from {t} d where d.{k} = f.{c})") for c, t, k in (("product_key", "dim_product", "product_key"), ("store_key", "dim_store", "store_key"), ("customer_key", "dim_customer", "customer_key"), ("order_date_key", "dim_date", "date_key"))))
-    add("quality_unknown", " union all ".join(check(f"unknown_member_{c}", t, f"select count(*) from {t} where {c} = 0") for t, d in (("fact_sales", "order_date_key"), ("fact_returns", "return_date_key")) for c in ("customer_key", "product_key", "store_key", d)))
-    add("quality_scd2", " union all ".join((
-        check("scd2_one_current", "dim_customer", "select count(*) from (select customer_id from dim_customer group by 1 having count(*) filter (is_current) <> 1) c"),
-        check("scd2_current_open", "dim_customer", "select count(*) from dim_customer where is_current and effective_to is not null"),
-        check("scd2_ended_forward", "dim_customer", "select count(*) from dim_customer where not is_current and (effective_to is null or effective_from >= effective_to)"),
-        check("scd2_no_overlap", "dim_customer", "select count(*) from (select effective_from, lag(effective_to) over (partition by customer_id order by effective_from) as b from dim_customer) o where b is not null and effective_from < b"),
-    )))
-    add("quality_measures", " union all ".join((check("positive_quantity", "fact_sales", "select count(*) from fact_sales where not coalesce(quantity > 0, false)"), check("net_is_gross_less_discount", "fact_sales", "select count(*) from fact_sales where net_amount <> gross_amount - discount_amount"))))
-    parts = [f"select check_name, table_name, '{kind}' as check_type, 'CRITICAL' as severity, passed, failed_rows as failed_row_count from ({v}) x" for kind, group in (("COMPLETENESS", full), ("UNIQUENESS", single)) for (t, _), v in group.items() if t in ("dim_product", "dim_store", "dim_date")]
-    add("quality_gate_log", " union all ".join(parts))
+    keys = (("product_key", "dim_product", "product_key"), ("store_key", "dim_store", "store_key"), ("customer_key", "dim_customer", "customer_key"), ("order_date_key", "dim_date", "date_key"))
+    groups = {
+        "completeness": list(full.values()),
+        "uniqueness": list(single.values()),
+        "ri": [check(f"referential_integrity_{c}", "fact_sales", f"select count(*) from fact_sales f where {c} <> 0 and not exists (select 1 from {t} d where d.{k} = f.{c})") for c, t, k in keys],
+        "unknown": [check(f"unknown_member_{c}", t, f"select count(*) from {t} where {c} = 0") for t, d in (("fact_sales", "order_date_key"), ("fact_returns", "return_date_key")) for c in ("customer_key", "product_key", "store_key", d)],
+        "scd2": [
+            check("scd2_one_current", "dim_customer", "select count(*) from (select customer_id from dim_customer group by 1 having count(*) filter (is_current) <> 1) c"),
+            check("scd2_current_open", "dim_customer", "select count(*) from dim_customer where is_current and effective_to is not null"),
+            check("scd2_ended_forward", "dim_customer", "select count(*) from dim_customer where not is_current and (effective_to is null or effective_from >= effective_to)"),
+            check("scd2_no_overlap", "dim_customer", "select count(*) from (select effective_from, lag(effective_to) over (partition by customer_id order by effective_from) as b from dim_customer) o where b is not null and effective_from < b"),
+        ],
+        "measures": [check("positive_quantity", "fact_sales", "select count(*) from fact_sales where not coalesce(quantity > 0, false)"), check("net_is_gross_less_discount", "fact_sales", "select count(*) from fact_sales where net_amount <> gross_amount - discount_amount")],
+    }
+    kind = {"completeness": "COMPLETENESS", "uniqueness": "UNIQUENESS", "ri": "REFERENTIAL_INTEGRITY", "unknown": "UNKNOWN_MEMBER", "scd2": "SCD2_INVARIANT", "measures": "MEASURE"}
+    for name, group in groups.items():
+        add(f"quality_{name}", " union all ".join(group))
+    add("quality_gate_log", " union all ".join(f"select check_name, table_name, '{kind[name]}' as check_type, 'CRITICAL' as severity, passed, failed_rows as failed_row_count from ({v}) x" for name, group in groups.items() for v in group))
     sums = "count(*) as n, cast(sum(quantity * unit_price) as decimal(18,2)) as gross, cast(sum(discount_amount) as decimal(18,2)) as discount, cast(sum(net_amount) as decimal(18,2)) as net"
     add("warehouse_reconciliation", f"""
       select f.n as fact_n, f.gross as fact_gross, f.discount as fact_discount, f.net as fact_net, s.n as source_n, s.gross as source_gross, s.discount as source_discount, s.net as source_net,
         f.n = s.n and f.gross = s.gross and f.discount = s.discount and f.net = s.net as reconciled
       from (select {sums} from fact_sales) f, (select {sums} from c_order_items) s""")
 
-    base = "select cast(n_nationkey as bigint) as k, n_name as name from nation"
-    out["time_travel_v0"] = f"{base} where n_nationkey < 10"
-    evolved = f"select k, name, case when k >= 15 then 'new' end as extra from ({base} where n_nationkey < 20) n"
-    updated = f"select k, case when k % 2 = 0 then lower(name) else name end as name, extra from ({evolved}) e"
+    placed = "select cast(o_orderkey as bigint) as k, o_orderpriority as name from orders"
+    later = f"{placed} union all select cast(-o_orderkey as bigint), 'later' from orders"
+    out["time_travel_v0"], out["time_travel_at"] = placed, later
+    evolved = f"select k, name, cast(null as varchar) as extra from ({later}) b union all select cast(1000000000000 + c_custkey as bigint), c_name, 'new' from customer"
+    updated = f"select k, case name when '1-URGENT' then '1-urgent' else name end as name, extra from ({evolved}) e"
     out["schema_evolved_read"], out["update_read"] = evolved, updated
-    out["merge_read"] = f"select * from ({updated}) u where k < 18 union all select k, 'm-' || name, 'merged' from ({base} where n_nationkey >= 18) n"
-    out["history_ops"] = "select * from (values (cast(0 as bigint), 'OVERWRITE', cast(10 as bigint)), (1, 'APPEND', 5), (2, 'APPEND', 5), (3, 'UPDATE', 0), (4, 'MERGE', 5)) t(version, operation, rows_added)"
+    out["merge_read"] = f"""
+      select k, name, extra from ({updated}) u where k < 1000000000000 union all select cast(1000000000000 + c_custkey as bigint), 'm-' || c_name, 'merged' from customer
+      union all select cast(2000000000000 + s_suppkey as bigint), 'm-' || s_name, 'merged' from supplier"""
+    n = {t: f"(select count(*) from {t})" for t in ("orders", "customer", "supplier")}
+    out["history_ops"] = f"select * from (values (cast(0 as bigint), 'OVERWRITE', {n['orders']}), (1, 'APPEND', {n['orders']}), (2, 'APPEND', {n['customer']}), (3, 'UPDATE', 0), (4, 'MERGE', {n['supplier']})) t(version, operation, rows_added)"
+    out["partitioned_sink"] = "select event_type, count(*) as n, cast(sum(event_id) as bigint) as sum_ids, min(user_id) as least_user from events group by 1"
+    add("scan_csv", "select coalesce(nullif(trim(order_status), ''), '-') as status, count(*) as n, count(nullif(order_id, '')) as ids, count(total_amount) as totals from r_orders group by 1")
+    add("scan_json", "select coalesce(loyalty_tier, '-') as tier, count(*) as n, count(email) as emails from r_customers group by 1")
+    out["fact_upsert_rerun"] = out["fact_sales_pit"]
     path = "'retail/' || event_type || '/' || cast(event_id as varchar)"
     out["ingest_pending_files"] = f"select event_id, sha256(lower(event_type) || '|' || lower({path}) || '|') as ingestion_id from events where event_id % 3 <> 0 and not (event_id % 5 = 0 and event_id % 10 <> 0)"
-    add("run_audit_latest", OPERATIONS["run_audit_latest"], "bronze_rows_ingested silver_valid_rows silver_quarantine_rows")
-    add("quarantine_trend", OPERATIONS["quarantine_trend"], "total_runs valid_rows quarantine_rows")
+    shown = "orchestration_run_id, environment, final_status, started_at, duration_seconds, bronze_rows_ingested, silver_valid_rows, silver_quarantine_rows, quarantine_rate, failure_task, failure_classification"
+    add("run_audit_latest", f"select {shown} from (select *, row_number() over (order by started_at desc, orchestration_run_id) as nth from job_run_audit) r where nth <= 20", "bronze_rows_ingested silver_valid_rows silver_quarantine_rows")
+    add("quarantine_trend", "select ingestion_date, count(*) as total_runs, sum(silver_valid_rows) as valid_rows, sum(silver_quarantine_rows) as quarantine_rows, round(sum(silver_quarantine_rows)::double * 100 / sum(silver_valid_rows + silver_quarantine_rows), 2) as quarantine_pct, if(bool_or(quarantine_alert_triggered), 'YES', 'NO') as any_alert from job_run_audit group by 1", "total_runs valid_rows quarantine_rows")
     out["event_props"] = "select event_type, cast(sum(try_cast(json_extract_string(props, '$.k') as bigint)) as bigint) as sum_k, count(try_cast(json_extract_string(props, '$.k') as decimal(10,2))) as n from events group by 1"
     return out
 
