@@ -18,6 +18,7 @@ from millrace.operators.conform import ReconciliationError
 from millrace.operators.dimensions import TemporalOrderError
 from millrace.plans import layers, warehouse
 from millrace.sources.landing import LandingIncompleteError, LandingPathError, assert_complete, discover, joined_uri, redacted
+from millrace.sources.schema import DATASETS
 from millrace.sources.versioned import ConcurrentCommitError, SchemaMismatchError, TableNotFoundError, VersionedTable
 
 TRANSIENT, DATA_QUALITY, CONFIGURATION, DEPENDENCY, UNKNOWN = "TRANSIENT", "DATA_QUALITY", "CONFIGURATION", "DEPENDENCY", "UNKNOWN"
@@ -101,7 +102,11 @@ class Run:
     threshold: float = 0.20
     allow_unknown: bool = False
     orchestration_run_id: str = field(default_factory=lambda: f"run-{uuid.uuid4().hex[:12]}")
+    job_id: str = "local"
+    job_run_id: str = "local"
+    started: datetime = field(default_factory=lambda: datetime.now(UTC))
     values: TaskValues = field(default_factory=TaskValues)
+    tasks: tuple[str, ...] = ()
 
 
 @dataclass
@@ -154,9 +159,28 @@ def star(run: Run) -> None:
 
 
 def final_gate(run: Run) -> None:
-    v = run.values
-    if not v.get("silver", "valid") or v.get("gold", "tables") != 6 or v.get("warehouse", "quality") != "PASSED":
-        raise FinalGateError("a layer is empty, incomplete or did not pass its checks")
+    """What every layer published must add up; says all that does not."""
+    v = run.values.get
+    wrong = [
+        what
+        for what, bad in (
+            ("landing: datasets are missing", v("validate_landing", "datasets") != len(DATASETS)),
+            ("bronze: no count of rows", v("bronze", "rows") is None or v("bronze", "rows") < 0),
+            ("silver: no valid rows", not v("silver", "valid")),
+            ("silver: too many rejected rows", v("silver", "alert") is not False),
+            ("gold: tables are missing", v("gold", "tables") != len(layers.KPI)),
+            ("warehouse: checks did not pass", v("warehouse", "quality") != "PASSED"),
+            ("warehouse: no facts", not v("warehouse", "fact_sales")),
+        )
+        if bad
+    ]
+    if wrong:
+        raise FinalGateError("; ".join(wrong))
+
+
+def publish_summary(run: Run) -> None:
+    """Upserts the run's audit row from what the tasks published, so that a repaired run has one."""
+    record_run(run)
 
 
 TASKS = (
@@ -167,7 +191,9 @@ TASKS = (
     Task("warehouse", star, ("silver",)),
     Task("final_gate", final_gate, ("gold", "warehouse")),
 )
-RUN_SCHEMA = """orchestration_run_id string, environment string, ingestion_date string, adf_run_id string, started_at timestamp, completed_at timestamp,
+#: Runs after all others, whatever became of them.
+SUMMARY = Task("publish_summary", publish_summary, tuple(t.name for t in TASKS), always=True)
+RUN_SCHEMA = """orchestration_run_id string, job_id string, job_run_id string, environment string, ingestion_date string, adf_run_id string, started_at timestamp, completed_at timestamp,
  final_status string, duration_seconds double, landing_ready boolean, discovered_dataset_count int, bronze_rows_ingested long, silver_valid_rows long,
  silver_quarantine_rows long, gold_tables_generated int, fact_sales_rows long, quality_status string, quarantine_rate double,
  quarantine_alert_triggered boolean, failure_task string, failure_classification string, error_message string"""
@@ -188,20 +214,23 @@ def ordered(tasks: tuple[Task, ...]) -> list[Task]:
 
 
 def run_job(run: Run, tasks: tuple[Task, ...] = TASKS, policy: RetryPolicy = RetryPolicy()) -> dict[str, Outcome]:
-    """Runs the graph. A failure skips what depends on it, and no more; the audit row is written in any case."""
-    started, done = datetime.now(UTC), {}
-    for t in ordered(tasks):
+    """Runs the graph, then the summary, which runs in any case. A failure skips what depends on it, and no more."""
+    done: dict[str, Outcome] = {}
+    run.tasks = tuple(t.name for t in ordered(tasks))
+    for t in [*ordered(tasks), Task(SUMMARY.name, SUMMARY.action, run.tasks, always=True)]:
         blocked = [n for n in t.needs if done[n].state != SUCCESS]
-        if blocked and not t.always:
-            done[t.name] = Outcome(t.name, SKIPPED, failure=DEPENDENCY, message=f"{blocked} did not succeed")
-            continue
         began = time.monotonic()
-        try:
-            _, retries = policy.run(lambda t=t: t.action(run))
-            done[t.name] = Outcome(t.name, SUCCESS, time.monotonic() - began, retries)
-        except Exception as e:
-            done[t.name] = Outcome(t.name, FAILED, time.monotonic() - began, getattr(e, "retries", 0), classify(e), redacted(str(e))[:2000])
-    record_run(run, done, started)
+        if blocked and not t.always:
+            out = Outcome(t.name, SKIPPED, failure=DEPENDENCY, message=f"{blocked} did not succeed")
+        else:
+            try:
+                _, retries = policy.run(lambda t=t: t.action(run))
+                out = Outcome(t.name, SUCCESS, time.monotonic() - began, retries)
+            except Exception as e:
+                out = Outcome(t.name, FAILED, time.monotonic() - began, getattr(e, "retries", 0), classify(e), redacted(str(e))[:2000])
+        done[t.name] = out
+        for key, value in (("state", out.state), ("failure", out.failure), ("message", out.message)):
+            run.values.set(t.name, key, value)
     return done
 
 
@@ -210,16 +239,26 @@ def root_failure(done: dict[str, Outcome]) -> Outcome | None:
     return next((o for o in done.values() if o.state == FAILED), None)
 
 
-def record_run(run: Run, done: dict[str, Outcome], started: datetime) -> None:
+def root_cause(run: Run) -> tuple[str | None, str | None, str | None]:
+    """(task, failure class, message) from what the tasks published: the first that failed, else the first that told no
+    end, as one does whose machine went away. Skipped tasks are no cause. Nothing if all succeeded."""
+    v = run.values.get
+    for t in run.tasks:
+        if v(t, "state") == FAILED:
+            return t, v(t, "failure") or UNKNOWN, v(t, "message") or f"{t} failed"
+    for t in run.tasks:
+        if v(t, "state") is None:
+            return t, UNKNOWN, f"{t} told no end: it was interrupted, or never began"
+    return None, None, None
+
+
+def record_run(run: Run) -> None:
     """Upserts the run's audit row, so that a repaired run has one."""
-    bad, v, now = root_failure(done), run.values.get, datetime.now(UTC)
-    ready = done.get("validate_landing")
-    star_done = done.get("warehouse")
+    cause, v, now = root_cause(run), run.values.get, datetime.now(UTC)
     row = (
-        run.orchestration_run_id, run.environment, run.ingestion_date, run.run_id or "*", started, now, FAILED if bad else SUCCESS, (now - started).total_seconds(),
-        bool(ready and ready.state == SUCCESS), v("validate_landing", "datasets"), v("bronze", "rows"), v("silver", "valid"), v("silver", "quarantine"), v("gold", "tables"),
-        v("warehouse", "fact_sales"), v("warehouse", "quality") or (star_done.state if star_done else SKIPPED), v("silver", "rate"), v("silver", "alert"),
-        bad and bad.task, bad and bad.failure, bad and bad.message,
+        run.orchestration_run_id, run.job_id, run.job_run_id, run.environment, run.ingestion_date, run.run_id or "*", run.started, now, FAILED if cause[0] else SUCCESS,
+        (now - run.started).total_seconds(), v("validate_landing", "state") == SUCCESS, v("validate_landing", "datasets"), v("bronze", "rows"), v("silver", "valid"),
+        v("silver", "quarantine"), v("gold", "tables"), v("warehouse", "fact_sales"), v("warehouse", "quality") or v("warehouse", "state") or SKIPPED, v("silver", "rate"), v("silver", "alert"), *cause,
     )
     VersionedTable(run.spark, joined_uri(run.root, "operations", "job_run_audit")).merge(run.spark.createDataFrame([row], RUN_SCHEMA), "orchestration_run_id")
 

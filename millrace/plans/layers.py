@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,17 +31,44 @@ def load(spark: SparkSession, root: str, layer: str, name: str) -> DataFrame:
     return table.read()
 
 
-def with_lineage(df: DataFrame, f: LandingFile, at: datetime) -> DataFrame:
-    return df.withColumns(
-        {
-            "_ingestion_id": F.lit(f.ingestion_id),
-            "_source_file": F.lit(f.file_name),
-            "_source_path": F.lit(f.path),
-            "_ingestion_date": F.lit(f.ingestion_date),
-            "_adf_run_id": F.lit(f.run_id),
-            "_ingested_timestamp": F.lit(at).cast("timestamp"),
-        }
-    )
+def merge_silver(spark: SparkSession, root: str, name: str, rows: DataFrame) -> int:
+    """Upserts conformed rows into a Silver table on the dataset's key; every matched row takes what is delivered."""
+    return VersionedTable(spark, joined_uri(root, "silver", name)).merge(rows, SILVER[name].key)
+
+
+def merge_customers(spark: SparkSession, root: str, rows: DataFrame) -> int:
+    return merge_silver(spark, root, "customers", rows)
+
+
+def merge_products(spark: SparkSession, root: str, rows: DataFrame) -> int:
+    return merge_silver(spark, root, "products", rows)
+
+
+def merge_orders(spark: SparkSession, root: str, rows: DataFrame) -> int:
+    return merge_silver(spark, root, "orders", rows)
+
+
+def with_lineage(df: DataFrame, files: DataFrame, at: datetime) -> DataFrame:
+    """Rows of a scan with where each came from, by the path of its file in the manifest."""
+    lineage = files.select(F.col("source_path").alias("_source_path"), F.col("ingestion_id").alias("_ingestion_id"), F.col("file_name").alias("_source_file"), F.col("ingestion_date").alias("_ingestion_date"), F.col("adf_run_id").alias("_adf_run_id"))
+    path = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "^file:/+", "/")
+    cols = [c for c in df.columns]
+    # the manifest has one short row for each file of this call
+    out = df.withColumn("_path", path).join(F.broadcast(lineage), F.col("_path") == F.regexp_replace("_source_path", "^file:/+", "/"))
+    return out.select(*cols, "_ingestion_id", "_source_file", "_source_path", "_ingestion_date", "_adf_run_id", F.lit(at).cast("timestamp").alias("_ingested_timestamp"))
+
+
+def scanned(spark: SparkSession, dataset: str, files: list[LandingFile], at: datetime) -> DataFrame:
+    """All rows of the files: one scan for those of the same format and columns, whatever their number."""
+    groups: dict[tuple, list[LandingFile]] = {}
+    for f in files:
+        columns = () if f.file_format == "json" else tuple(scan_as_text(spark, f.path, f.file_format).columns)
+        groups.setdefault((f.file_format, columns), []).append(f)
+    parts = []
+    for (file_format, _), mine in groups.items():
+        df = scan_as_text(spark, [f.path for f in mine], file_format)
+        parts.append(_declared(with_lineage(df, manifest(spark, mine), at), dataset))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _declared(df: DataFrame, dataset: str) -> DataFrame:
@@ -73,15 +101,13 @@ def ingest_bronze(spark: SparkSession, root: str, files: list[LandingFile], forc
         table = bronze_table(spark, root, dataset)
         present: set[str] = set()
         if table.exists():
-            held = table.read().where(F.col("_ingestion_id").isin([f.ingestion_id for f in mine])).select("_ingestion_id").distinct()
+            wanted = F.broadcast(manifest(spark, mine).select(F.col("ingestion_id").alias("_ingestion_id")))
+            held = table.read().select("_ingestion_id").join(wanted, "_ingestion_id", "left_semi").distinct()
             present = {r[0] for r in held.collect()}
-        frames = [with_lineage(_declared(scan_as_text(spark, f.path, f.file_format), dataset), f, at) for f in mine if f.ingestion_id not in present]
+        fresh = [f for f in mine if f.ingestion_id not in present]
         added[dataset] = 0
-        if frames:
-            df = frames[0]
-            for other in frames[1:]:
-                df = df.unionByName(other, allowMissingColumns=True)
-            version = table.append(df, merge_schema=True)
+        if fresh:
+            version = table.append(scanned(spark, dataset, fresh, at), merge_schema=True)
             added[dataset] = table.entry(version)["rows_added"]
     if todo:
         rows = [(f.ingestion_id, f.path, f.dataset, f.ingestion_date, f.run_id, f.file_name, f.sha256, SUCCESS, at) for f in todo]

@@ -18,13 +18,14 @@ def table(spark: SparkSession, root: str, name: str) -> VersionedTable:
     return VersionedTable(spark, joined_uri(root, "warehouse", name))
 
 
-def _type1(t: VersionedTable, incoming, build, natural: str, surrogate: str) -> None:
+def _type1(t: VersionedTable, incoming, build, natural: str, surrogate: str, always: bool = False) -> None:
+    """Members whose attributes differ are overwritten, or ``always`` all that are delivered; keys stay."""
     if not t.exists():
         t.overwrite(build(incoming, None))
         return
     existing = t.read()
     attributes = [c for c in existing.columns if c not in (natural, surrogate)]
-    t.merge(build(incoming, existing), natural, lambda a, b: dims.changed(a, b, attributes), keep=(surrogate,))
+    t.merge(build(incoming, existing), natural, None if always else lambda a, b: dims.changed(a, b, attributes), keep=(surrogate,))
 
 
 def upsert_customers(t: VersionedTable, customers: DataFrame, at: datetime, history_start: datetime) -> str:

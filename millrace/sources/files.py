@@ -14,12 +14,12 @@ def scan(spark: SparkSession, path: str, dataset: Dataset | str) -> DataFrame:
     return reader.json(path) if d.file_format == "json" else reader.options(header="true", mode="PERMISSIVE").csv(path)
 
 
-def scan_as_text(spark: SparkSession, path: str, file_format: str) -> DataFrame:
-    """A landed file with its own columns, all text: nothing is inferred but the names."""
+def scan_as_text(spark: SparkSession, path: str | list[str], file_format: str) -> DataFrame:
+    """A landed file, or several of the same columns, with their own columns, all text: nothing is inferred but the names."""
     if file_format == "json":
         return spark.read.option("primitivesAsString", "true").json(path)
     if file_format == "parquet":
-        df = spark.read.parquet(path)
+        df = spark.read.parquet(*([path] if isinstance(path, str) else path))
         return df.select(*(df[c].cast("string").alias(c) for c in df.columns))
     return spark.read.options(header="true", inferSchema="false", mode="PERMISSIVE").csv(path)
 

@@ -85,27 +85,44 @@ def parse_path(path: str, strict: bool = True) -> LandingFile:
     return LandingFile(path, PurePosixPath(path).stem, datetime.now(UTC).date().isoformat(), "local-batch", name, kind or "csv")
 
 
+#: Bytes of a file that an executor may hold at once to hash it.
+VALUE_BYTES = 256 << 20
+
+
+def streamed_sha256(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file read as a stream, of which a few kilobytes are held at a time."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 def discover(spark: SparkSession, root: str, datasets: list[str] | None = None, strict: bool = True) -> list[LandingFile]:
     """Files below ``root`` in order of path, with SHA-256 of their bytes; hidden names (``.x``, ``_x``) are passed over.
 
     Listing and hashing are Spark's (the binaryFile source), so any scheme it reads will do, and hashing is spread
-    over the executors; only one row per file comes back.
+    over the executors; only one row per file comes back. Files of over ``VALUE_BYTES`` are hashed as streams.
     """
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root))
-        rows = files.select("path", F.sha2("content", 256).alias("sha")).collect()
+        # the scan looks at no content of files beyond the limit, which a binary value could not hold
+        rows = [tuple(r) for r in files.where(F.col("length") <= VALUE_BYTES).select("path", F.sha2("content", 256)).collect()]
+        rows += [(r["path"], streamed_sha256(spark, r["path"])) for r in files.where(F.col("length") > VALUE_BYTES).select("path").collect()]
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return []
         raise LandingDiscoveryError(redacted(f"{root}: {e}")[:2000]) from None
     out = []
-    for r in sorted(rows, key=lambda r: r["path"]):
-        path = re.sub(r"^file:/+", "/", r["path"])
+    for path, sha in sorted(rows):
+        path = re.sub(r"^file:/+", "/", path)
         if PurePosixPath(path).name.startswith((".", "_")):
             continue
         f = parse_path(path, strict or ("://" in str(root) and not str(root).startswith("file:")))
         if datasets is None or f.dataset in datasets:
-            out.append(LandingFile(f.path, f.dataset, f.ingestion_date, f.run_id, f.file_name, f.file_format, r["sha"]))
+            out.append(LandingFile(f.path, f.dataset, f.ingestion_date, f.run_id, f.file_name, f.file_format, sha))
     return out
 
 

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import json
+from datetime import datetime
+
 import pytest
 
 from millrace.operators.checks import QualityGateError
-from millrace.plans import jobs, layers
+from millrace.plans import jobfile, jobs, layers
 from millrace.plans.batch import register_views, run_batch, run_reports
 from millrace.operators.dimensions import unknown_member
 from millrace.plans.serving import STAR_VIEWS, create_views, register
@@ -130,3 +133,89 @@ def test_stream_ingests_once(spark, delivered, tmp_path):
         ingest_available(spark, delivered, str(tmp_path), "stores").awaitTermination()
     rows = layers.load(spark, str(tmp_path), "bronze", "stores")
     assert rows.count() == 3 and rows.first()["_adf_run_id"] == "r1"
+
+
+def test_summary_runs_whatever_happens_and_names_the_cause(spark, tmp_path):
+    def fail(_):
+        raise QualityGateError("bad rows")
+
+    run = Run(spark, "", str(tmp_path), DAY, job_id="j1", job_run_id="r9")
+    done = run_job(run, (Task("a", fail), Task("b", lambda _: None, ("a",))))
+    assert [o.state for o in done.values()] == ["FAILED", "SKIPPED", "SUCCESS"]
+    row = VersionedTable(spark, f"{tmp_path}/operations/job_run_audit").read().first()
+    assert (row.final_status, row.failure_task, row.failure_classification, row.error_message, row.job_id, row.job_run_id) == ("FAILED", "a", "DATA_QUALITY", "bad rows", "j1", "r9")
+    assert len(row) == 23
+    lost = Run(spark, "", str(tmp_path), DAY, tasks=("a", "b"))
+    lost.values.set("a", "state", "SUCCESS")
+    assert jobs.root_cause(lost)[:2] == ("b", "UNKNOWN")
+
+
+def test_final_gate_looks_at_all_layers(spark, tmp_path):
+    run = Run(spark, "", str(tmp_path), DAY)
+    good = {("validate_landing", "datasets"): 8, ("bronze", "rows"): 0, ("silver", "valid"): 5, ("silver", "alert"): False, ("gold", "tables"): 6, ("warehouse", "quality"): "PASSED", ("warehouse", "fact_sales"): 3}
+    for (t, k), v in good.items():
+        run.values.set(t, k, v)
+    jobs.final_gate(run)
+    for (t, k), v in good.items():
+        run.values.set(t, k, None)
+        with pytest.raises(jobs.FinalGateError, match=t.split("_")[-1]):
+            jobs.final_gate(run)
+        run.values.set(t, k, v)
+
+
+def test_job_files():
+    good = jobfile.job_file()
+    assert jobfile.checked(good)["task_keys"][-1] == "publish_summary" and jobfile.checked(json.dumps({"resources": good}))["job_key"] == "retail"
+
+    def spoiled(change):
+        d = json.loads(json.dumps(good))
+        change(d["jobs"]["retail"])
+        return " ".join(jobfile.problems(d))
+
+    def task(j, name):
+        return next(t for t in j["tasks"] if t["task_key"] == name)
+
+    for change, what in (
+        (lambda j: task(j, "bronze")["depends_on"].append({"task_key": "gold"}), "cycle"),
+        (lambda j: j["tasks"].append(j["tasks"][0]), "twice"),
+        (lambda j: task(j, "gold")["depends_on"].append({"task_key": "nowhere"}), "nowhere"),
+        (lambda j: j["tasks"].remove(task(j, "gold")), "gold"),
+        (lambda j: j["parameters"].pop(), "catalog_name"),
+        (lambda j: task(j, "publish_summary").pop("run_if"), "ALL_DONE"),
+        (lambda j: task(j, "gold").update(condition_task={"op": "EQ"}), "condition"),
+        (lambda j: task(j, "gold")["depends_on"][0].update(outcome="maybe"), "maybe"),
+        (lambda j: j.update(tag="{{run_id}}"), "out of use"),
+        (lambda j: j.update(tag="{{secrets.x}}"), "must begin"),
+        (lambda j: j.update(path="/mnt/x"), "mount"),
+        (lambda j: j.update(owner="some.body@work.org"), "address"),
+        (lambda j: j.update(tasks=[]), "no tasks"),
+    ):
+        assert what in spoiled(change), what
+    assert jobfile.problems("{") and jobfile.problems("{}") == ["it has no jobs"]
+
+
+def test_merges_into_silver(spark, tmp_path):
+    customers = spark.createDataFrame([("C1", "a"), ("C2", "b")], "customer_id string, city string")
+    layers.merge_customers(spark, str(tmp_path), customers)
+    layers.merge_customers(spark, str(tmp_path), spark.createDataFrame([("C2", "B"), ("C3", "c")], "customer_id string, city string"))
+    assert sorted(map(tuple, layers.load(spark, str(tmp_path), "silver", "customers").collect())) == [("C1", "a"), ("C2", "B"), ("C3", "c")]
+    layers.merge_products(spark, str(tmp_path), spark.createDataFrame([("P1", 1)], "product_id string, n int"))
+    layers.merge_orders(spark, str(tmp_path), spark.createDataFrame([("O1", 1)], "order_id string, n int"))
+    assert layers.load(spark, str(tmp_path), "silver", "orders").count() == 1
+
+
+def test_large_files_are_hashed_as_streams(spark, tmp_path, monkeypatch):
+    write_files(spark, f"{tmp_path}/in", "sample")
+    whole = landing.discover(spark, f"{tmp_path}/in", strict=False)
+    monkeypatch.setattr(landing, "VALUE_BYTES", 2000)
+    assert landing.discover(spark, f"{tmp_path}/in", strict=False) == whole and all(f.sha256 for f in whole)
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    files = []
+    for k in range(6):
+        (tmp_path / f"in {k}+.csv").write_text(("store_id,store_name\n" if k < 5 else "store_name,store_id,more\n") + f"S{k},n{k}" + (",x" if k == 5 else "") + "\n")
+        files.append(landing.LandingFile(str(tmp_path / f"in {k}+.csv"), "stores", DAY, "r", f"in {k}+.csv", "csv", str(k)))
+    df = layers.scanned(spark, "stores", files, datetime(2026, 1, 1))
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert sorted((r.store_id, r._source_file) for r in df.collect()) == sorted([*((f"S{k}", f"in {k}+.csv") for k in range(5)), ("n5", "in 5+.csv")])
