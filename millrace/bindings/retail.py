@@ -6,8 +6,12 @@ r_<dataset> and c_<dataset>. Defects of order items and returns depend on their
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import sql_over
+
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -136,9 +140,7 @@ VIEWS = RAW | CLEAN
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A retail table of a data folder; Catalyst drops the columns and sources that a query does not use."""
-    for source in SOURCES:
-        spark.read.parquet(f"{sf_dir}/{source}.parquet").createOrReplaceTempView(source)
-    return spark.sql(VIEWS[name])
+    return sql_over(spark, {source: spark.read.parquet(f"{sf_dir}/{source}.parquet") for source in SOURCES if re.search(rf"\b{source}\b", VIEWS[name])}, VIEWS[name])
 
 
 def frames(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:

@@ -16,8 +16,8 @@ from millrace.operators.curate import curated_sales, order_metrics, product_rank
 from millrace.operators.keys import surrogate_keys
 from millrace.operators.kpi import KPI
 from millrace.operators.rules import BATCH, ORDER, SILVER
-from millrace.plans.serving import KPI_QUERIES, KPI_VIEWS, OPERATIONS, REPORTS, STAR_QUERIES, STAR_VIEWS, with_views
-from millrace.session import shared_dir
+from millrace.plans.serving import KPI_QUERIES, KPI_VIEWS, OPERATIONS, REPORTS, STAR_QUERIES, STAR_VIEWS
+from millrace.session import shared_dir, sql_over
 from millrace.sources.files import scan, scan_as_text, write
 from millrace.sources.landing import pending
 from millrace.sources.schema import DATASETS
@@ -58,7 +58,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(name: str) -> Query:
-    return lambda spark, sf_dir: as_long(with_views(spark, {"v_curated_sales": _lines(spark, sf_dir), "v_returns": frame(spark, sf_dir, "c_returns")}, REPORTS[name]))
+    return lambda spark, sf_dir: as_long(sql_over(spark, {"v_curated_sales": _lines(spark, sf_dir), "v_returns": frame(spark, sf_dir, "c_returns")}, REPORTS[name]))
 
 
 QUERIES["revenue_by_region_channel"] = _report("revenue_by_region")
@@ -90,13 +90,24 @@ def category_product_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 # conformance
 
 
-def conformed(spark: SparkSession, sf_dir: str, specs: dict, name: str) -> Conformed:
-    """A dataset with its parents, and theirs, conformed first."""
+def conformed(spark: SparkSession, sf_dir: str, specs: dict, name: str, done: dict[str, Conformed] | None = None) -> Conformed:
+    """A dataset with its parents, and theirs, conformed first; those that are ``done`` are taken as they are."""
     spec = specs[name]
-    parents = {p.parent: conformed(spark, sf_dir, specs, p.parent).valid for p in spec.parents}
+    parents = {p.parent: (done[p.parent] if done and p.parent in done else conformed(spark, sf_dir, specs, p.parent, done)).valid for p in spec.parents}
     return conform(frame(spark, sf_dir, f"r_{name}"), spec, parents)
 
 
+def all_conformed(spark: SparkSession, sf_dir: str, specs: dict) -> dict[str, Conformed]:
+    """Every dataset conformed once, parents first, each written to the shared folder without what was delivered."""
+    done: dict[str, Conformed] = {}
+    for name in ORDER:
+        tagged = conformed(spark, sf_dir, specs, name, done).tagged.drop("_raw")
+        path = _place(spark, name)
+        tagged.write.parquet(path)
+        done[name] = Conformed(specs[name], spark.read.schema(tagged.schema).parquet(path))
+    return done
+
+
 def _reasons(specs: dict, name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tagged = conformed(spark, sf_dir, specs, name).tagged
@@ -132,11 +143,12 @@ def json_quarantine_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of each dataset, in one pass over each."""
+    done = all_conformed(spark, sf_dir, BATCH)
 
     def one(name: str) -> DataFrame:
         r, n = F.col("_reason"), F.count("*")
         return (
-            conformed(spark, sf_dir, BATCH, name)
+            done[name]
             .tagged.agg(
                 n.alias("source_row_count"),
                 F.count_if(r.isNull()).alias("valid_row_count"),
@@ -208,7 +220,7 @@ for _name, _table in GOLD.items():
 def _kpi_query(sql: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = _kpi_tables(spark, sf_dir)
-        return as_long(with_views(spark, {n: build(t) for n, build in KPI.items() if n in sql}, sql))
+        return as_long(sql_over(spark, {n: build(t) for n, build in KPI.items() if n in sql}, sql))
 
     return run
 
@@ -336,7 +348,7 @@ def fact_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _star_query(sql: str) -> Query:
-    return lambda spark, sf_dir: as_long(with_views(spark, star(spark, sf_dir), sql))
+    return lambda spark, sf_dir: as_long(sql_over(spark, star(spark, sf_dir), sql))
 
 
 for _name, _sql in STAR_QUERIES.items():
@@ -378,7 +390,7 @@ for _name, _kind, _save in (
 def quality_gate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of all 49 checks, as the operational query shows it."""
     log = checks.evaluated(checks.warehouse_checks(star(spark, sf_dir, STAR))).withColumnRenamed("failed_rows", "failed_row_count")
-    return as_long(with_views(spark, {"quality_audit": log}, OPERATIONS["quality_gate_log"]))
+    return as_long(sql_over(spark, {"quality_audit": log}, OPERATIONS["quality_gate_log"]))
 
 
 @query
@@ -515,12 +527,12 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_audit_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_long(with_views(spark, {"job_run_audit": _runs(spark, sf_dir)}, OPERATIONS["run_audit_latest"]))
+    return as_long(sql_over(spark, {"job_run_audit": _runs(spark, sf_dir)}, OPERATIONS["run_audit_latest"]))
 
 
 @query
 def quarantine_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_long(with_views(spark, {"job_run_audit": _runs(spark, sf_dir)}, OPERATIONS["quarantine_trend"]))
+    return as_long(sql_over(spark, {"job_run_audit": _runs(spark, sf_dir)}, OPERATIONS["quarantine_trend"]))
 
 
 @query

@@ -46,3 +46,11 @@ def reliable(df: DataFrame) -> DataFrame:
     """``df`` computed once, as a checkpoint in the shared folder: later uses agree, and a lost executor costs nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sql_over(spark: SparkSession, tables: dict[str, DataFrame], sql: str, args: dict | None = None) -> DataFrame:
+    """``sql`` over DataFrames under names of its own; the session's views stay as they are. ``:name`` takes ``args``."""
+    pattern = rf"\b(from|join)(\s+)({'|'.join(map(re.escape, tables))})\b"
+    text = re.sub(pattern, r"\1\2{\3}", sql.replace("{", "{{").replace("}", "}}"), flags=re.I)
+    used = {n: df for n, df in tables.items() if f"{{{n}}}" in text}
+    return spark.sql(text, args=args or {}, **used) if used else spark.sql(sql, args=args or {})
