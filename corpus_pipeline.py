@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the
 columns of documents; the last returns one row of token ids for each document.
+
+Defined for any table: rows of null or repeated ids are judged by their own texts and lose nothing but themselves, null
+texts count as empty ones (which are one class of equal texts), extra columns go along unread, empty documents give no
+rows, and labels or benchmark items that are empty, null or without an id reject nothing.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.bpe import encode_ids
-from millrace.llm.common import stored, table
+from millrace.llm.common import discard, stored, table
 from millrace.llm.decontaminate import drop_contaminated
 from millrace.llm.exact import drop_exact
 from millrace.llm.near import drop_near
@@ -48,8 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet in the shared folder and read again.
+
+    A stage's files go when the next stage has written its own; those of the last but one stay, as the result reads them.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
