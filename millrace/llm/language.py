@@ -149,10 +149,10 @@ class CrossParser:
 
 
 def learn(docs: DataFrame, rows_each: int = ROWS_EACH, bytes_each: int = BYTES_EACH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Labelled text by language: at most ``rows_each`` rows of ``bytes_each`` bytes in all, drawn by hash of the id."""
+    """Labelled text by language: at most ``rows_each`` rows of ``bytes_each`` bytes in all, drawn by hash of id and text, ids null or repeated included."""
     rows = training_rows(docs, id_col).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     samples: dict[str, list[bytes]] = {}
-    for r in hash_sample(rows.select("doc_id", "lang", F.substring("text", 1, bytes_each).alias("text")), "lang", rows_each).orderBy("lang", F.xxhash64(F.col("doc_id").cast("string"))).toLocalIterator():
+    for r in hash_sample(rows.select("doc_id", "lang", F.substring("text", 1, bytes_each).alias("text")), "lang", rows_each).orderBy("lang", F.xxhash64(F.col("doc_id").cast("string"), "text"), "text").toLocalIterator():
         samples.setdefault(r["lang"], []).append(folded(r["text"]))
     size = min(bytes_each, BYTES_ALL // max(1, len(samples)))
     return {lang: joined for lang, parts in samples.items() if (joined := share(parts, size))}

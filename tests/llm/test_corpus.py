@@ -351,3 +351,30 @@ def test_stages_judge_rows_of_repeated_and_null_ids(spark):
         assert after("decontaminate", [(1, base + " " + item), (1, base), (None, item), (None, lone), (1, base)]) == some((1, base), (1, base), (None, lone))
     finally:
         p.table = real
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline as p
+
+    def after(name, docs, labels, items):
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        return p.run(spark, f"{tmp_path}/{name}")
+
+    labels = spark.createDataFrame([(None, 1), (4, None), (None, None)], "doc_id long, quality int")
+    items = spark.createDataFrame([(None, "plain words"), (1, None), (2, ""), (3, "one two three")], "item_id long, text string")
+    assert after("empty", empty, labels.where("false"), items.where("false")).count() == 0
+    # labels that teach nothing reject nothing; null and empty texts are one, of equal texts the greatest id stays, 7 holds an item
+    got = sorted((r.doc_id or 0, r.n_tokens > 0) for r in after("odd", odd, labels, items).collect())
+    assert [i for i, _ in got] == [0, 2, 3, 5, 6, 8] and not dict(got)[2]
+
+
+def test_run_leaves_no_stage_behind_but_the_last(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    written, gone = [], []
+    stored, discard = p.stored, p.discard
+    monkeypatch.setattr(p, "stored", lambda df, name: written.append(stored(df, name)) or written[-1])
+    monkeypatch.setattr(p, "discard", lambda *frames: gone.extend(frames) or discard(*frames))
+    out = p.run(spark, DATA)
+    assert len(written) == 4 and gone == written[:3] and out.count() == written[3].count() > 0

@@ -61,6 +61,16 @@ def test_language_of_odd_rows(odd, empty):
     assert {r.lang_pred for r in language.language_report(odd).collect()} == {"und"}  # nothing was labelled
 
 
+@pytest.mark.parametrize("i", [None, next(k for k in range(9) if not outside(k))])
+def test_language_learns_from_rows_of_one_id(spark, i):
+    words = {"aa": "the cat sat on the mat", "bb": "la casa de la luna"}
+    rows = [(i, f"{t} {k}", lang) for lang, t in words.items() for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert set(language.learn(docs)) == {"aa", "bb"} and language.learn(docs) == language.learn(docs.repartition(5))
+    got = {(r.text, p.lang_pred) for r, p in zip(docs.limit(5).collect(), language.identify(docs.limit(5), language.learn(docs)).collect(), strict=True)}
+    assert all(t.startswith(words[lang]) for t, lang in got)
+
+
 # quality
 
 
