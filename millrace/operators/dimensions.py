@@ -146,7 +146,7 @@ def scd2_apply(existing: DataFrame, customers: DataFrame, at: datetime | str) ->
         return None
     block = F.when(F.col("change") == "new", "0").when(F.col("change") == "changed", "1").otherwise("2")
     top = existing.agg(F.max("customer_key")).first()[0] or 0
-    numbered = dense_numbers(todo.withColumn("_by", F.concat(block, F.col("customer_id"))), "_by", "customer_key", top + 1)
+    numbered = dense_numbers(todo.withColumn("_by", F.concat(block, F.col("customer_id"))), "_by", "customer_key", top + 1, rows=n)
     ended = todo.where("change = 'changed'").select("customer_id").withColumn("_ended", F.lit(True))
     old = existing.join(ended, "customer_id", "left").withColumn("_ends", F.coalesce("_ended", F.lit(False)) & F.col("is_current"))
     kept = old.select(*(F.when(F.col("_ends"), when).otherwise(F.col("effective_to")).alias(c) if c == "effective_to" else F.when(F.col("_ends"), F.lit(False)).otherwise(F.col(c)).alias(c) if c == "is_current" else F.col(c) for c in CUSTOMER_COLUMNS))
