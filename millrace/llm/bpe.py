@@ -20,6 +20,9 @@ from millrace.llm.common import bounded, modest, strings, utf8
 CACHE = 36_000_000
 #: Bytes of a cache entry beside its strings, and symbols from which a stretch is never kept and merges through a heap.
 ENTRY, LONG = 350, 128
+#: Ids are numbers of so many bits, so that two fit one; what stands for a pair that does not merge.
+BITS = 20
+MASK, NEVER = (1 << BITS) - 1, 1 << 62
 
 
 def word_vocabulary() -> str:
@@ -76,14 +79,20 @@ class ForcedBoundaryBpe:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
-        self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.symbols = byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"])
-        self.adjacent = {pair for token in self.ids for pair in self.pairs(token)}
+        self.plain = [self.ids[c] for c in self.symbols]  # ids of the bytes, within a word and at its end
+        self.final = [self.ids[c + self.suffix] for c in self.symbols]
+        self.id_text = {i: str(i) for i in self.ids.values()}
+        #: Of each two ids that may stand together in a token: rank and id of their merge, or NEVER; other pairs are certain cuts.
+        self.pair = {self.ids[x] << BITS | self.ids[y]: NEVER for token in self.ids for x, y in self.pairs(token)}
+        for rank, m in enumerate(model["merges"]):
+            x, y = m if isinstance(m, list) else m.split(" ")
+            self.pair[self.ids[x] << BITS | self.ids[y]] = rank << BITS | self.ids[x + y]
         self.fragment = Generations(self.merge, cache)
         self.words = Generations(self.encode_word, cache)
         self.chunk = Generations(self.encode_chunk, cache)
@@ -98,60 +107,65 @@ class ForcedBoundaryBpe:
             return [*body[:-1], body[-1] + self.suffix]
         return list(token)
 
-    def merge(self, symbols: tuple[str, ...]) -> tuple[str, str]:
-        """Ids and tokens of one fragment: the adjacent pair of least rank, leftmost first, merges until none can."""
-        if len(symbols) > LONG:
-            return self.merge_long(symbols)
-        parts, get, never = list(symbols), self.rank.get, len(self.rank)
-        ranks = [get(p, never) for p in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            least = min(ranks)
-            if least == never:
+    def merge(self, symbols: tuple[int, ...]) -> tuple[str, str]:
+        """Ids and tokens of one fragment."""
+        return self.merge_found(list(symbols), [self.pair.get(x << BITS | y, NEVER) for x, y in zip(symbols, symbols[1:], strict=False)])
+
+    def merge_found(self, parts: list[int], found: list[int]) -> tuple[str, str]:
+        """The adjacent pair of least rank, leftmost first, merges until none can; ``found`` holds what ``pair`` says of each."""
+        if len(parts) > LONG:
+            return self.merge_long(parts)
+        get = self.pair.get
+        while found:
+            least = min(found)
+            if least == NEVER:
                 break
-            at = ranks.index(least)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del ranks[at]
+            at = found.index(least)
+            del found[at], parts[at]
+            parts[at] = new = least & MASK
             if at:
-                ranks[at - 1] = get((parts[at - 1], parts[at]), never)
-            if at < len(ranks):
-                ranks[at] = get((parts[at], parts[at + 1]), never)
-        return " ".join([str(self.ids[t]) for t in parts]), " ".join(parts)
+                found[at - 1] = get(parts[at - 1] << BITS | new, NEVER)
+            if at < len(found):
+                found[at] = get(new << BITS | parts[at + 1], NEVER)
+        return self.shown(parts)
 
-    def merge_long(self, symbols: tuple[str, ...]) -> tuple[str, str]:
+    def merge_long(self, symbols: list[int]) -> tuple[str, str]:
         """As ``merge``, in n log n: pairs wait in a heap, by rank and place, and are skipped if they are no more."""
-        parts: list[str | None] = list(symbols)
-        n, rank = len(parts), self.rank
+        parts: list[int | None] = list(symbols)
+        n, get = len(parts), self.pair.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank[p], k) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank]
+        heap = [(f, k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if (f := get(x << BITS | y, NEVER)) != NEVER]
         heapq.heapify(heap)
         while heap:
             least, k = heapq.heappop(heap)
             j = after[k]
-            if parts[k] is None or j >= n or rank.get((parts[k], parts[j])) != least:
+            if parts[k] is None or j >= n or get(parts[k] << BITS | parts[j]) != least:
                 continue
-            parts[k], parts[j] = parts[k] + parts[j], None
+            parts[k], parts[j] = least & MASK, None
             after[k] = j = after[j]
             if j < n:
                 before[j] = k
-                if (r := rank.get((parts[k], parts[j]))) is not None:
-                    heapq.heappush(heap, (r, k))
+                if (f := get(parts[k] << BITS | parts[j], NEVER)) != NEVER:
+                    heapq.heappush(heap, (f, k))
             i = before[k]
-            if i >= 0 and (r := rank.get((parts[i], parts[k]))) is not None:
-                heapq.heappush(heap, (r, i))
-        found = [t for t in parts if t is not None]
-        return " ".join([str(self.ids[t]) for t in found]), " ".join(found)
+            if i >= 0 and (f := get(parts[i] << BITS | parts[k], NEVER)) != NEVER:
+                heapq.heappush(heap, (f, i))
+        return self.shown([t for t in parts if t is not None])
+
+    def shown(self, parts: list[int]) -> tuple[str, str]:
+        return " ".join([self.id_text[t] for t in parts]), " ".join([self.strings[t] for t in parts])
 
     def encode_word(self, word: str) -> tuple[str, str]:
         """Ids and tokens of one word of the pattern: its fragments' results, one after another."""
-        s = [self.symbols[b] for b in utf8(word)]
-        s[-1] += self.suffix
-        adjacent, begin, found = self.adjacent, 0, []
-        for k, pair in enumerate(zip(s, s[1:], strict=False), 1):
-            if pair not in adjacent:
-                found.append(self.fragment[tuple(s[begin:k])])
-                begin = k
-        found.append(self.merge(tuple(s)) if not begin else self.fragment[tuple(s[begin:])])
-        return joined(found)
+        data = utf8(word)
+        s = [self.plain[b] for b in data]
+        s[-1] = self.final[data[-1]]
+        get = self.pair.get
+        pairs = [get(x << BITS | y) for x, y in zip(s, s[1:], strict=False)]
+        if None not in pairs:
+            return self.merge_found(s, pairs)
+        cuts = [0, *(k for k, p in enumerate(pairs, 1) if p is None), len(s)]
+        return joined([self.fragment[tuple(s[i:k])] for i, k in zip(cuts, cuts[1:], strict=False)])
 
     def encode_chunk(self, chunk: str) -> tuple[str, str]:
         """Ids and tokens of a stretch without white space."""
