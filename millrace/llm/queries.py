@@ -76,6 +76,12 @@ def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op13_ranking_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.ranking import line_places
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_importance_resample": op11_importance_resample,
+    "op12_simhash_dedup": op12_simhash_dedup,
     "op13_ranking_ties": op13_ranking_ties,
 }
 
