@@ -129,11 +129,11 @@ def scd2_changes(existing: DataFrame, customers: DataFrame) -> DataFrame:
     return rows.withColumn("change", change).where(F.col("change").isNotNull()).withColumn("next_version", F.coalesce("last_version", F.lit(0)) + 1)
 
 
-def scd2_apply(existing: DataFrame, customers: DataFrame, at: datetime | str) -> DataFrame | None:
-    """The whole history after a batch at ``at``; None if nothing changes. Raises before anything is built on a bad date.
+def scd2_batch(existing: DataFrame, customers: DataFrame, at: datetime | str) -> tuple[DataFrame, DataFrame] | None:
+    """(customer_id of the current versions that end at ``at``, the versions that begin then); None if nothing changes.
 
-    New keys follow the maximum: first new customers, then changed, then recovered ones, each by customer_id. Changed
-    customers' current versions end at ``at``; intervals are half-open.
+    Raises before anything is built on a bad date. New keys follow the maximum: first new customers, then changed, then
+    recovered ones, each by customer_id. Intervals are half-open. Both are read from a checkpoint.
     """
     assert_unique(customers.select(*PROFILE).distinct(), "customer_id", "customers")
     when = F.lit(at).cast("timestamp")
@@ -147,10 +147,24 @@ def scd2_apply(existing: DataFrame, customers: DataFrame, at: datetime | str) ->
     block = F.when(F.col("change") == "new", "0").when(F.col("change") == "changed", "1").otherwise("2")
     top = existing.agg(F.max("customer_key")).first()[0] or 0
     numbered = dense_numbers(todo.withColumn("_by", F.concat(block, F.col("customer_id"))), "_by", "customer_key", top + 1, rows=n)
-    ended = todo.where("change = 'changed'").select("customer_id").withColumn("_ended", F.lit(True))
-    old = existing.join(ended, "customer_id", "left").withColumn("_ends", F.coalesce("_ended", F.lit(False)) & F.col("is_current"))
-    kept = old.select(*(F.when(F.col("_ends"), when).otherwise(F.col("effective_to")).alias(c) if c == "effective_to" else F.when(F.col("_ends"), F.lit(False)).otherwise(F.col(c)).alias(c) if c == "is_current" else F.col(c) for c in CUSTOMER_COLUMNS))
-    return kept.unionByName(_version(numbered, F.col("next_version"), when))
+    return todo.where("change = 'changed'").select("customer_id"), _version(numbered, F.col("next_version"), when)
+
+
+def ending(at: datetime | str) -> dict[str, Column]:
+    """What a version gets that ends at ``at``."""
+    return {"effective_to": F.lit(at).cast("timestamp"), "is_current": F.lit(False)}
+
+
+def scd2_apply(existing: DataFrame, customers: DataFrame, at: datetime | str) -> DataFrame | None:
+    """The whole history after a batch at ``at``; None if nothing changes."""
+    batch = scd2_batch(existing, customers, at)
+    if batch is None:
+        return None
+    ended, versions = batch
+    old = existing.join(ended.withColumn("_ended", F.lit(True)), "customer_id", "left").withColumn("_ends", F.coalesce("_ended", F.lit(False)) & F.col("is_current"))
+    new = ending(at)
+    kept = old.select(*(F.when(F.col("_ends"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in CUSTOMER_COLUMNS))
+    return kept.unionByName(versions)
 
 
 def valid_at(time: Column, start: Column, end: Column) -> Column:

@@ -29,15 +29,19 @@ def _type1(t: VersionedTable, incoming, build, natural: str, surrogate: str, alw
 
 
 def upsert_customers(t: VersionedTable, customers: DataFrame, at: datetime, history_start: datetime) -> str:
-    """Creates or advances the type 2 history in one commit; says which, or that nothing changed."""
+    """Creates or advances the type 2 history in one commit; says which, or that nothing changed.
+
+    Only files with a version that ends are rewritten; those that hold no current version of a changed customer are not opened for it.
+    """
     if not t.exists():
         t.overwrite(dims.scd2_initial(customers, history_start))
         return "created"
     base = t.latest()
-    new = dims.scd2_apply(t.read(), customers, at)
-    if new is None:
+    batch = dims.scd2_batch(t.read(base), customers, at)
+    if batch is None:
         return "unchanged"
-    t.replace(new, "SCD2", base)
+    ended, versions = batch
+    t.revise(ended, "customer_id", "is_current", dims.ending(at), versions, "SCD2", base)
     return "advanced"
 
 

@@ -3,25 +3,30 @@
 Layout: ``data/<uuid>/part-*.parquet`` and ``_log/<20-digit version>.json``. A commit writes its data, then a log entry
 aside, which takes its name in one step that fails if another writer was first. So no reader meets half an entry, and
 one that a broken disk cut short is passed over. An entry names the files that it adds and removes; every tenth has
-the whole list. Updates and merges rewrite only files that hold a row to change. Readers take the newest version or
-the one asked for. Paths go through Hadoop's FileSystem, so any scheme that Spark reads will do; commits are atomic
+the whole list. Updates and merges rewrite only files that hold a row to change, and merges open only files that may
+hold a key of the source, as an index of key ranges and Bloom filters beside the log tells. Readers take the newest
+version or the one asked for. Paths go through Hadoop's FileSystem, so any scheme that Spark reads will do; commits are atomic
 on local disks and HDFS. Not for several writers on object stores.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from millrace.sources.filestats import Index, describe, holders, indexable
 
 #: Every so many versions the log entry has the whole list of files.
 WHOLE_EVERY = 10
+#: A table of fewer files has no index; all are opened.
+INDEXED_FILES = 16
 
 
 class ConcurrentCommitError(RuntimeError):
@@ -65,15 +70,19 @@ class VersionedTable:
         return any(self._parsed(v) is not None for v in reversed(self._numbers()))
 
     def entry(self, version: int) -> dict:
-        """The log entry of a version, with all its files as ``live``."""
+        """The log entry of a version, with all its files as ``live``, and the paths and files of each index."""
         e = self._parsed(version)
         if e is None:
             raise TableNotFoundError(f"{self.path}: version {version}")
         if "live" in e:
-            return e
-        live = self.entry(e["base"])["live"] if e["base"] >= 0 else []
+            return e | {"index": e.get("index", {})}
+        was = self.entry(e["base"]) if e["base"] >= 0 else {"live": [], "index": {}}
         gone = set(e["remove"])
-        return e | {"live": [f for f in live if f not in gone] + e["add"]}
+        index = dict(was["index"])
+        for name, new in e.get("index", {}).items():
+            old = index.get(name, {"paths": [], "files": []})
+            index[name] = {"paths": old["paths"] + new["paths"], "files": [f for f in old["files"] if f not in gone] + new["files"]}
+        return e | {"live": [f for f in was["live"] if f not in gone] + e["add"], "index": index}
 
     def _parsed(self, version: int) -> dict | None:
         """An entry as it was written, None if there is none or it is cut short. Entries never change."""
@@ -102,17 +111,29 @@ class VersionedTable:
         rows = [(e["version"], datetime.fromisoformat(e["timestamp"]), e["operation"], e["rows_added"], len(e["live"])) for e in map(self.entry, reversed(self.versions()))]
         return self.spark.createDataFrame(rows, "version long, timestamp timestamp, operation string, rows_added long, live_files long")
 
-    def _commit(self, operation: str, schema: StructType, add: list[str], remove: list[str], rows: int, base: int, at: datetime | None = None) -> int:
-        """The next version on top of ``base``; fails if there is one already."""
+    def _commit(self, operation: str, schema: StructType, add: list[str], remove: list[str], rows: int, base: int, at: datetime | None = None, index: dict[str, dict] | None = None, opened: int | None = None) -> int:
+        """The next version on top of ``base``; fails if there is one already.
+
+        ``index`` has what was built for files that were there before, ``opened`` how many files were looked into.
+        """
         numbers = self._numbers()
         if any(v > base and self._parsed(v) is not None for v in reversed(numbers)):
             raise ConcurrentCommitError(f"{self.path}: there is a version after {base}")
         version = max([base, *numbers]) + 1
         at = at or datetime.now(UTC)
         body = {"version": version, "base": base, "timestamp": at.isoformat(), "operation": operation, "rows_added": rows, "add": add, "remove": remove, "schema": json.loads(schema.json())}
+        if opened is not None:
+            body["opened"] = opened
+        was, gone = self.entry(base) if base >= 0 else {"live": [], "index": {}}, set(remove)
+        body["index"] = {n: {"paths": list(x["paths"]), "files": [f for f in x["files"] if f not in gone]} for n, x in (index or {}).items()}
+        for name in {**was["index"], **body["index"]}:
+            if add and indexable(schema, Index.named(name).key):
+                x = body["index"].setdefault(name, {"paths": [], "files": []})
+                x["paths"].append(self._describe(self._files(add, schema), Index.named(name)))
+                x["files"] += add
         if version % WHOLE_EVERY == 0:
-            gone = set(remove)
-            body["live"] = [f for f in (self.entry(base)["live"] if base >= 0 else []) if f not in gone] + add
+            body["live"] = [f for f in was["live"] if f not in gone] + add
+            body["index"] = {n: self._compact(n, was["index"].get(n), body["index"].get(n), set(body["live"])) for n in {**was["index"], **body["index"]}}
         aside = self._jpath(f"{self.path}/_log/.{uuid.uuid4().hex}.tmp")
         out = self._fs.create(aside, False)
         try:
@@ -155,6 +176,40 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in files))
 
+    # index
+
+    def _describe(self, rows: DataFrame, index: Index) -> str:
+        """Writes the index rows of the files that ``rows`` are read from; where they are."""
+        local = lambda path: F.concat(F.lit("data/"), F.element_at(F.split(path, "/data/"), -1))
+        return self._keep(describe(rows, index, local))
+
+    def _keep(self, index_rows: DataFrame) -> str:
+        name = f"_index/{uuid.uuid4().hex}"
+        index_rows.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _compact(self, name: str, old: dict | None, new: dict | None, live: set[str]) -> dict:
+        """An index as one Parquet folder, less the files that are no more."""
+        paths = [p for x in (old, new) if x for p in x["paths"]]
+        files = [f for x in (old, new) if x for f in x["files"] if f in live]
+        if len(paths) > 1:
+            there = self.spark.createDataFrame([(f,) for f in files], "file string")
+            paths = [self._keep(self.spark.read.parquet(*(f"{self.path}/{p}" for p in paths)).join(there, "file", "left_semi"))]
+        return {"paths": paths, "files": files}
+
+    def _possible(self, entry: dict, index: Index, keys: DataFrame) -> tuple[list[str], dict[str, dict]]:
+        """Files that may hold a row of the index with one of ``keys``, and what had to be built to tell."""
+        live, schema = entry["live"], StructType.fromJson(entry["schema"])
+        if len(live) < INDEXED_FILES or not indexable(schema, index.key):
+            return live, {}
+        known = entry["index"].get(index.name, {"paths": [], "files": []})
+        missing = sorted(set(live) - set(known["files"]))
+        built = {index.name: {"paths": [self._describe(self._files(missing, schema), index)], "files": missing}} if missing else {}
+        paths = known["paths"] + [p for x in built.values() for p in x["paths"]]
+        rows = self.spark.read.parquet(*(f"{self.path}/{p}" for p in paths))
+        wanted = keys.select(F.col(index.key).cast(schema[index.key].dataType).alias(index.key))
+        return sorted({r.file for r in holders(rows, wanted, index.key).collect()} & set(live)), built
+
     @staticmethod
     def _touched(rows: DataFrame) -> list[str]:
         """Files of this table that the rows stand in; a list of names, as long as the files are many."""
@@ -230,24 +285,60 @@ class VersionedTable:
         """Upsert on ``key`` in one commit, which rewrites only files with a row that changes; creates the table if there is none.
 
         Matched rows take the source's columns (but ``keep``) if ``when("t", "s")`` is true or not given; rows with a
-        key that the table lacks are inserted. A NULL key matches nothing. Several source rows for a key raise.
+        key that the table lacks are inserted. A NULL key matches nothing. Several source rows for a key raise. The source
+        is computed once, and only files that may hold one of its keys are opened.
         """
-        twice = source.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key).first()
-        if twice is not None:
-            raise AmbiguousMergeError(f"{self.path}: several source rows for {key} = {twice[0]!r}")
-        if not self.exists():
-            return self.overwrite(source, "CREATE")
-        base = self.latest()
-        schema = self.schema(base)
-        target, new = self.read(base), source.select(*schema.names)
-        # files with a row that the source changes, and source rows that the table lacks: only keys, and what ``when`` looks at, are read
-        pairs = target.withColumn("_file", F.col("_metadata.file_path")).alias("t").join(new.alias("s"), F.col(f"t.{key}") == F.col(f"s.{key}"))
-        touched = self._touched(pairs.where(F.coalesce(when("t", "s"), F.lit(False))) if when else pairs)
-        old = self._files(touched, schema)
-        fresh = new.join(target.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
-        changed = merged(old, new.join(old.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_semi"), key, when, keep)
-        files, rows = self._write(changed.unionByName(fresh) if touched else fresh)
-        return self._commit("MERGE", schema, files, touched, rows - self._rows(touched, schema), base)
+        base = self.latest() if self.exists() else -1
+        wanted = source if base < 0 else source.select(*self.schema(base).names)
+        with self._once(wanted) as new:
+            twice = new.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key).first()
+            if twice is not None:
+                raise AmbiguousMergeError(f"{self.path}: several source rows for {key} = {twice[0]!r}")
+            if base < 0:
+                return self.overwrite(new, "CREATE")
+            e = self.entry(base)
+            schema = StructType.fromJson(e["schema"])
+            possible, built = self._possible(e, Index(key), new)
+            if not possible:
+                files, rows = self._write(new)
+                return self._commit("MERGE", schema, files, [], rows, base, index=built, opened=0)
+            # files with a row that the source changes, and source rows that the table lacks: only keys, and what ``when`` looks at, are read
+            target = self._files(possible, schema)
+            pairs = target.withColumn("_file", F.col("_metadata.file_path")).alias("t").join(new.alias("s"), F.col(f"t.{key}") == F.col(f"s.{key}"))
+            touched = self._touched(pairs.where(F.coalesce(when("t", "s"), F.lit(False))) if when else pairs)
+            old = self._files(touched, schema)
+            fresh = new.join(target.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+            changed = merged(old, new.join(old.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_semi"), key, when, keep)
+            files, rows = self._write(changed.unionByName(fresh) if touched else fresh)
+            return self._commit("MERGE", schema, files, touched, rows - self._rows(touched, schema), base, index=built, opened=len(possible))
+
+    def revise(self, keys: DataFrame, key: str, where: str, values: dict[str, Column], added: DataFrame, operation: str, base: int) -> int:
+        """Sets columns of the rows ``where`` a condition holds and the key is one of ``keys``, and adds rows, in one commit.
+
+        Only files that may hold such a row are opened, and only those that do are rewritten; fails if ``base`` is no longer
+        the newest version. ``keys`` are read several times.
+        """
+        e = self.entry(base)
+        schema = StructType.fromJson(e["schema"])
+        keys = keys.select(key).where(F.col(key).isNotNull()).distinct()
+        possible, built = self._possible(e, Index(key, where), keys)
+        touched = self._touched(self._files(possible, schema).withColumn("_file", F.col("_metadata.file_path")).where(where).join(keys, key, "left_semi")) if possible else []
+        rows = self._files(touched, schema).join(keys.withColumn("_hit", F.lit(True)), key, "left")
+        hit = F.col("_hit").isNotNull() & F.coalesce(F.expr(where), F.lit(False))
+        changed = rows.select(*(F.when(hit, values[c]).otherwise(F.col(c)).cast(schema[c].dataType).alias(c) if c in values else F.col(c) for c in schema.names))
+        added = added.select(*schema.names)
+        files, n = self._write(changed.unionByName(added) if touched else added)
+        return self._commit(operation, schema, files, touched, n - self._rows(touched, schema), base, index=built, opened=len(possible))
+
+    @contextlib.contextmanager
+    def _once(self, df: DataFrame) -> Iterator[DataFrame]:
+        """``df`` computed once, as files of its own beside the table until the end of the block."""
+        path = f"{self.path}/_source/{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(path)
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            self._fs.delete(self._jpath(path), True)
 
 
 def merged(target: DataFrame, source: DataFrame, key: str, when: Callable[[str, str], Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
