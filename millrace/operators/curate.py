@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.expr import narrowed
+from millrace.operators.blocks import dense_ranks, running
+from millrace.operators.keys import RANGE_ROWS
 
 
 def _step(c: Column) -> Column:
@@ -34,27 +36,23 @@ def sales_lines(orders: DataFrame, items: DataFrame, products: DataFrame, custom
     )
 
 
-def order_metrics(lines: DataFrame) -> DataFrame:
-    """(customer_id, order_id): sequence of the customer's orders, days since the one before, running spend."""
-    orders = lines.groupBy("customer_id", "order_id", "order_timestamp", "order_date").agg(F.sum("net_sales").alias("spend"))
-    w = Window.partitionBy("customer_id").orderBy("order_timestamp", "order_id")
-    return orders.select(
-        "customer_id",
-        "order_id",
-        F.row_number().over(w).alias("customer_order_sequence"),
-        F.datediff("order_date", F.lag("order_date").over(w)).alias("days_since_prior_order"),
-        F.sum("spend").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("decimal(14,2)").alias("customer_running_spend"),
-    )
+def order_metrics(lines: DataFrame, orders: DataFrame | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+    """(customer_id, order_id): sequence of the customer's orders, days since the one before, running spend.
+
+    A customer of over ``rows`` orders, as ``orders`` counts them, is worked on in blocks of time.
+    """
+    totals = lines.groupBy("customer_id", "order_id", "order_timestamp", "order_date").agg(F.sum("net_sales").alias("spend"))
+    found = running(totals, ["customer_id"], "order_timestamp", ["order_id"], "customer_order_sequence", {"_spent": "spend"}, {"_prior": "order_date"}, rows, orders)
+    return found.select("customer_id", "order_id", "customer_order_sequence", F.datediff("order_date", "_prior").alias("days_since_prior_order"), F.col("_spent").cast("decimal(14,2)").alias("customer_running_spend"))
 
 
-def product_ranks(lines: DataFrame) -> DataFrame:
-    """(category, product_id, category_product_rank) by net sales; ties share a rank."""
-    totals = lines.groupBy("category", "product_id").agg(F.sum("net_sales").alias("total"))
-    rank = F.dense_rank().over(Window.partitionBy("category").orderBy(F.desc("total")))
-    return totals.select("category", "product_id", rank.alias("category_product_rank"))
+def product_ranks(lines: DataFrame, products: DataFrame | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+    """(category, product_id, category_product_rank) by net sales; ties share a rank. ``products`` counts those of a category."""
+    totals = lines.groupBy("category", "product_id").agg(F.sum("net_sales").alias("_total"))
+    return dense_ranks(totals, ["category"], "_total", "category_product_rank", True, rows, products).drop("_total")
 
 
 def curated_sales(orders: DataFrame, items: DataFrame, products: DataFrame, customers: DataFrame, stores: DataFrame) -> DataFrame:
     """``sales_lines`` with order metrics and product ranks brought back to each line."""
     lines = sales_lines(orders, items, products, customers, stores)
-    return lines.join(order_metrics(lines), ["customer_id", "order_id"]).join(product_ranks(lines), ["category", "product_id"], "left")
+    return lines.join(order_metrics(lines, orders), ["customer_id", "order_id"]).join(product_ranks(lines, products), ["category", "product_id"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType
 
 from millrace.functions.expr import narrowed
+from millrace.operators.blocks import as_of
 from millrace.operators.keys import dense_numbers, surrogate_keys
 from millrace.session import reliable
 
@@ -167,21 +168,15 @@ def scd2_apply(existing: DataFrame, customers: DataFrame, at: datetime | str) ->
     return kept.unionByName(versions)
 
 
-def valid_at(time: Column, start: Column, end: Column) -> Column:
-    """``time`` lies in [start, end), an end of NULL being open."""
-    return (time >= start) & (end.isNull() | (time < end))
-
-
 def fact_sales(items: DataFrame, orders: DataFrame, customers: DataFrame, products: DataFrame, stores: DataFrame, dates: DataFrame) -> DataFrame:
     """One row per valid order item, with the customer version of the time of sale. What is not found has key 0."""
     lines = items.select("order_item_id", "order_id", "product_id", "quantity", "unit_price", "discount_amount", "net_amount").join(
         orders.select("order_id", "customer_id", "store_id", "order_timestamp", "order_date", "channel", "order_status"), "order_id"
     )
-    c = customers.select(F.col("customer_id").alias("c_id"), "customer_key", "effective_from", "effective_to")
     p = products.select("product_id", "product_key", "cost_price")
     s = stores.select("store_id", "store_key")
     d = dates.select(F.col("full_date").alias("order_date"), F.col("date_key").alias("order_date_key"))
-    out = lines.join(c, (F.col("customer_id") == F.col("c_id")) & valid_at(F.col("order_timestamp"), F.col("effective_from"), F.col("effective_to")), "left")
+    out = as_of(lines, customers, "customer_id", "order_timestamp", "customer_id", "effective_from", "effective_to", ["customer_key"])
     out = out.join(p, "product_id", "left").join(s, "store_id", "left").join(d, "order_date", "left")
     cost = F.col("quantity").cast("int") * F.coalesce("cost_price", F.lit(0).cast("decimal(10,2)"))
     zero = {k: F.coalesce(k, F.lit(0)).cast("int") for k in ("customer_key", "product_key", "store_key", "order_date_key")}

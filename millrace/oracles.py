@@ -6,7 +6,6 @@ import re
 
 from millrace.bindings.retail import VIEWS
 from millrace.operators.rules import ORDER
-from millrace.plans.serving import REPORTS
 
 #: Intermediate tables by name; each may use the others and the retail tables.
 TABLES: dict[str, str] = dict(VIEWS)
@@ -165,7 +164,7 @@ def _define() -> None:
     number = "cast(substring(customer_id, 6) as int)"
     first = f"select row_number() over (order by customer_id) as customer_key, {fields}, {hashed}, {start} as effective_from, cast(null as timestamp) as effective_to, true as is_current, 1 as version_number from c_customers"
     TABLES["scd2_all"] = first
-    TABLES["scd2_first"] = f"{first} where {number} % 11 <> 5"
+    TABLES["scd2_first"] = f"{first} where {number} % 100 <> 0"
     TABLES["scd2_batch"] = f"""
       select n.*, f.version_number as last, case when f.customer_id is null then '0' when f.attribute_hash <> n.attribute_hash then '1' end as kind
       from (select {fields}, {hashed} from c_customers_next) n left join scd2_first f on n.customer_id = f.customer_id"""
@@ -217,13 +216,28 @@ def _build() -> dict[str, str]:
     def add(name: str, sql: str, bigint: str = "", decimal: str = "", double: str = "") -> None:
         out[name] = with_tables(longs(sql, bigint, decimal, double) if bigint or decimal or double else sql)
 
-    add("revenue_by_region_channel", REPORTS["revenue_by_region"].replace("cast(sum(net_sales) / count(distinct order_id) as decimal(10,2))", half_up("sum(net_sales)", "count(distinct order_id)")), "total_orders", "regional_net_revenue regional_gross_profit avg_order_value")
-    add("daily_revenue", REPORTS["daily_revenue"].replace("cast(avg(net_sales) as decimal(10,2))", half_up("sum(net_sales)", "count(*)")), "order_year order_month total_orders unique_customers total_units_sold", "total_gross_revenue total_discounts total_net_revenue avg_line_item_value")
+    add("revenue_by_region_channel", f"""
+      select store_region, channel, count(*) as total_orders, sum(net) as regional_net_revenue, sum(profit) as regional_gross_profit, {half_up('sum(net)', 'count(*)')} as avg_order_value
+      from (select store_region, channel, order_id, sum(net_sales) as net, sum(gross_profit) as profit from curated_lines group by 1, 2, 3) o group by 1, 2""",
+        "total_orders", "regional_net_revenue regional_gross_profit avg_order_value")
+    add("daily_revenue", f"""
+      select year(order_date) as order_year, month(order_date) as order_month, order_date, len(list_distinct(list(order_id))) as total_orders, len(list_distinct(list(customer_id))) as unique_customers, sum(quantity) as total_units_sold,
+        sum(gross_sales) as total_gross_revenue, sum(discount_amount) as total_discounts, sum(net_sales) as total_net_revenue, {half_up('sum(net_sales)', 'count(*)')} as avg_line_item_value
+      from curated_lines group by order_date""",
+        "order_year order_month total_orders unique_customers total_units_sold", "total_gross_revenue total_discounts total_net_revenue avg_line_item_value")
     add("top_products_per_category", """
       with t as (select category, product_id, product_name, sum(quantity) as units_sold, cast(sum(net_sales) as decimal(14,2)) as total_net_revenue, cast(sum(gross_profit) as decimal(14,2)) as total_profit from curated_lines group by 1, 2, 3)
       select category, (select count(distinct b.total_net_revenue) + 1 from t b where b.category is not distinct from a.category and b.total_net_revenue > a.total_net_revenue) as category_revenue_rank, product_id, product_name, units_sold, total_net_revenue, total_profit
       from t a qualify dense_rank() over (partition by category order by total_net_revenue desc) <= 5""", "category_revenue_rank units_sold", "total_net_revenue total_profit")
-    add("category_return_rate", REPORTS["category_returns"], "total_items_sold total_returned_items", "return_rate_percent category_net_revenue total_refunded_amount final_net_realized_revenue")
+    add("category_return_rate", """
+      select category, sum(sold) as total_items_sold, sum(back) as total_returned_items, round(sum(back) * 100.0 / sum(sold), 2) as return_rate_percent,
+        sum(net) as category_net_revenue, sum(refund) as total_refunded_amount, sum(net) - sum(refund) as final_net_realized_revenue
+      from (
+        select category, 1 as sold, net_sales as net, 0 as back, 0::decimal(14,2) as refund from curated_lines
+        union all
+        select category, 0, 0, 1, refund_amount from c_returns r, curated_lines l where r.order_item_id = l.order_item_id and return_status = 'APPROVED') e
+      group by category""",
+        "total_items_sold total_returned_items", "return_rate_percent category_net_revenue total_refunded_amount final_net_realized_revenue")
     add("curated_sales_lines", """
       select l.order_item_id, l.order_id, l.customer_id, gross_sales, discount_amount, net_sales, cost_amount, gross_profit, order_year, order_month, order_day, customer_order_sequence, days_since_prior_order, customer_running_spend, category_product_rank
       from curated_lines l join line_metrics m on l.customer_id = m.customer_id and l.order_id = m.order_id left join line_ranks r on l.category = r.category and l.product_id = r.product_id""",
@@ -240,8 +254,8 @@ def _build() -> dict[str, str]:
     add("json_quarantine_payload", "select customer_id as record_id, 'customers' as source_dataset, reason as rejection_reason, raw_date as raw_signup_date from batch_customers where reason is not null")
     add("quality_metrics", " union all ".join(f"select '{n}' as dataset_name, count(*) as source_row_count, count(*) filter (reason is null) as valid_row_count, count(*) filter (reason is not null) as quarantine_row_count, count(*) filter (reason like 'DUPLICATE%') as duplicate_count, count(*) filter (reason like 'NULL_MANDATORY%') as null_mandatory_count, count(*) filter (reason like 'ORPHAN%') as referential_orphan_count from batch_{n}" for n in ORDER))
     out["dedup_latest_lineitem"] = "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc nulls last, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) as rn from lineitem) q where rn = 1"
-    out["orphan_probe_anti"] = "select o_orderkey, o_custkey from orders where not exists (select 1 from customer where c_custkey = o_custkey and c_custkey % 10 <> 3)"
-    out["fk_valid_semi"] = "select o_orderkey, o_custkey from orders where exists (select 1 from customer where c_custkey = o_custkey and c_custkey % 10 <> 3)"
+    out["orphan_probe_anti"] = "select o_orderkey, o_custkey from orders where not exists (select 1 from customer where c_custkey = o_custkey and c_custkey % 100 <> 0)"
+    out["fk_valid_semi"] = "select o_orderkey, o_custkey from orders where exists (select 1 from customer where c_custkey = o_custkey and c_custkey % 100 <> 0)"
     out["payment_reconcile"] = """
       select case when paid is null then 'NO_PAYMENT' when abs(paid - total) > total * 0.1 then 'UNRECONCILED' else 'RECONCILED' end as state, count(*) as n
       from (select o_orderkey, cast(o_totalprice as decimal(12,2)) as total from orders) o left join (select l_orderkey, sum(cast(l_extendedprice as decimal(12,2))) as paid from lineitem group by 1) l on o_orderkey = l_orderkey group by 1"""
@@ -276,22 +290,26 @@ def _build() -> dict[str, str]:
     add("unknown_member_row", "select store_key, store_id, region from dim_store union all select 0, 'Unknown', 'Unknown'", "store_key")
     add("surrogate_keys_initial", "select customer_id, row_number() over (order by customer_id) as customer_key from c_customers")
     add("surrogate_keys_incremental", """
-      select customer_id, case when old then row_number() over (partition by old order by customer_id) else (select count(*) from c_customers where cast(substring(customer_id, 6) as int) % 3 <> 0) + row_number() over (partition by old order by customer_id) end as customer_key
-      from (select customer_id, cast(substring(customer_id, 6) as int) % 3 <> 0 as old from c_customers) c""")
+      select customer_id, case when old then row_number() over (partition by old order by customer_id) else (select count(*) from c_customers where cast(substring(customer_id, 6) as int) % 100 <> 0) + row_number() over (partition by old order by customer_id) end as customer_key
+      from (select customer_id, cast(substring(customer_id, 6) as int) % 100 <> 0 as old from c_customers) c""")
     add("scd1_merge", """
       with p as (select product_id, unit_price, cast(substring(product_id, 6) as int) as n from c_products),
-      old as (select *, row_number() over (order by product_id) as product_key from p where n % 4 <> 3),
-      new as (select product_id, n, case when n % 5 = 1 then unit_price + 1 else unit_price end as unit_price from p where n % 7 <> 2),
+      old as (select *, row_number() over (order by product_id) as product_key from p where n % 100 <> 0),
+      new as (select product_id, n, case when n % 5 = 1 then unit_price + 1 else unit_price end as unit_price from p where n % 100 <> 50),
       fresh as (select product_id, (select max(product_key) from old) + row_number() over (order by product_id) as product_key from new where product_id not in (select product_id from old))
       select coalesce(o.product_id, n.product_id) as product_id, coalesce(n.unit_price, o.unit_price) as unit_price, coalesce(o.product_key, f.product_key) as product_key
       from old o full join new n on o.product_id = n.product_id left join fresh f on n.product_id = f.product_id""", "product_key", "unit_price")
     out["upsert_merge"] = """
       select coalesce(o.o_orderkey, n.o_orderkey) as o_orderkey, case when n.o_orderkey is not null and (o.o_orderkey is null or n.total > 100000) then 'X' else o.o_orderstatus end as o_orderstatus,
         case when n.o_orderkey is not null and (o.o_orderkey is null or n.total > 100000) then n.total else o.total end as total
-      from (select o_orderkey, o_orderstatus, cast(o_totalprice as decimal(18,2)) as total from orders where o_orderkey % 5 <> 0) o
-      full join (select o_orderkey, cast(o_totalprice as decimal(18,2)) as total from orders where o_orderkey % 3 = 0) n on o.o_orderkey = n.o_orderkey"""
+      from (select o_orderkey, o_orderstatus, cast(o_totalprice as decimal(18,2)) as total from orders where o_orderkey % 100 <> 0) o
+      full join (select o_orderkey, cast(o_totalprice as decimal(18,2)) as total from orders) n on o.o_orderkey = n.o_orderkey"""
+    out["indexed_merge_read"] = """
+      select o_orderkey, case when o_orderkey % 100 = 0 then 'X' else o_orderstatus end as o_orderstatus, cast(o_totalprice as decimal(18,2)) as total from orders
+      union all select 1000000000000 + c_custkey, 'N', cast(c_acctbal as decimal(18,2)) from customer where c_custkey % 100 = 0"""
     add("scd2_initial", f"select {_SCD2} from scd2_all", "customer_key version_number")
     add("scd2_incremental", f"select {_SCD2} from dim_customer", "customer_key version_number")
+    out["scd2_in_place"] = out["scd2_incremental"]
     add("scd2_recovery", f"select {_SCD2} from scd2_healed", "customer_key version_number")
     add("fact_sales_pit", "select * from fact_sales", *_FACT)
     add("fact_returns", "select * from fact_returns", "customer_key product_key store_key return_date_key", "refund_amount")

@@ -17,7 +17,8 @@ from millrace.operators.checks import QualityGateError, ReconciliationGateError,
 from millrace.operators.conform import ReconciliationError
 from millrace.operators.dimensions import TemporalOrderError
 from millrace.plans import layers, warehouse
-from millrace.sources.landing import LandingIncompleteError, LandingPathError, assert_complete, discover, joined_uri, redacted
+from millrace.functions.secrets import redacted
+from millrace.sources.landing import LandingIncompleteError, LandingPathError, assert_complete, discover, joined_uri
 from millrace.sources.schema import DATASETS
 from millrace.sources.versioned import ConcurrentCommitError, SchemaMismatchError, TableNotFoundError, VersionedTable
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from millrace.bindings.retail import frame, frames
 from millrace.functions.expr import money
 from millrace.operators import checks, dimensions as dims
+from millrace.operators.blocks import as_of
 from millrace.operators.conform import Conformed, conform, latest, orphans, referenced
 from millrace.operators.curate import curated_sales, order_metrics, product_ranks, sales_lines
 from millrace.operators.keys import surrogate_keys
@@ -74,7 +75,7 @@ def curated_sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metric(column: str) -> Query:
-    return lambda spark, sf_dir: as_long(order_metrics(_lines(spark, sf_dir)).select("customer_id", "order_id", column))
+    return lambda spark, sf_dir: as_long(order_metrics(_lines(spark, sf_dir), frame(spark, sf_dir, "c_orders")).select("customer_id", "order_id", column))
 
 
 QUERIES["customer_order_sequence"] = _metric("customer_order_sequence")
@@ -84,7 +85,7 @@ QUERIES["running_spend"] = _metric("customer_running_spend")
 
 @query
 def category_product_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_long(product_ranks(_lines(spark, sf_dir)))
+    return as_long(product_ranks(_lines(spark, sf_dir), frame(spark, sf_dir, "c_products")))
 
 
 # conformance
@@ -169,7 +170,7 @@ def dedup_latest_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _known_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source(spark, sf_dir, "customer").where("c_custkey % 10 <> 3")
+    return source(spark, sf_dir, "customer").where("c_custkey % 100 <> 0")
 
 
 @query
@@ -263,32 +264,32 @@ def surrogate_keys_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def surrogate_keys_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = frame(spark, sf_dir, "c_customers").where("cast(substring(customer_id, 6) as int) % 3 <> 0")
+    first = frame(spark, sf_dir, "c_customers").where("cast(substring(customer_id, 6) as int) % 100 <> 0")
     return as_long(surrogate_keys(surrogate_keys(None, first, "customer_id", "customer_key"), frame(spark, sf_dir, "c_customers"), "customer_id", "customer_key"))
 
 
 def _products_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A later delivery: some prices differ, and products that the first lacked are there."""
+    """A later delivery: some prices differ, products that the first lacked are there, and some of the first are not."""
     new = F.when(F.expr("cast(substring(product_id, 6) as int) % 5 = 1"), (F.col("unit_price") + 1).cast("decimal(10,2)")).otherwise(F.col("unit_price"))
-    return frame(spark, sf_dir, "c_products").where("cast(substring(product_id, 6) as int) % 7 <> 2").withColumn("unit_price", new)
+    return frame(spark, sf_dir, "c_products").where("cast(substring(product_id, 6) as int) % 100 <> 50").withColumn("unit_price", new)
 
 
 @query
 def scd1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = dims.dim_product(frame(spark, sf_dir, "c_products").where("cast(substring(product_id, 6) as int) % 4 <> 3"))
+    first = dims.dim_product(frame(spark, sf_dir, "c_products").where("cast(substring(product_id, 6) as int) % 100 <> 0"))
     return as_long(dims.type1(first, _products_next(spark, sf_dir), "product_id", "product_key").select("product_id", "unit_price", "product_key"))
 
 
 @query
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders merged with a later state of some of them."""
-    old = source(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
-    new = source(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
+    """Orders merged with a later state of all; the first delivery lacks some."""
+    old = source(spark, sf_dir, "orders").where("o_orderkey % 100 <> 0").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
+    new = source(spark, sf_dir, "orders").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
     return merged(old, new, "o_orderkey", lambda t, s: F.col(f"{s}.total") > 100000)
 
 
 def _dim_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = frame(spark, sf_dir, "c_customers").where("cast(substring(customer_id, 6) as int) % 11 <> 5")
+    first = frame(spark, sf_dir, "c_customers").where("cast(substring(customer_id, 6) as int) % 100 <> 0")
     existing = _written(spark, "dim_customer_first", dims.scd2_initial(first, HISTORY_START))  # a batch meets a table, which it reads several times
     return dims.scd2_apply(existing, frame(spark, sf_dir, "c_customers_next"), SECOND_BATCH)
 
@@ -306,6 +307,17 @@ def scd2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_long(_dim_customer(spark, sf_dir).select(*_SCD2))
 
 
+@query
+def scd2_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same history, in a versioned table of which only files with an ended version are rewritten."""
+    t = VersionedTable(spark, _place(spark, "dim_customer"))
+    first = frame(spark, sf_dir, "c_customers").where("cast(substring(customer_id, 6) as int) % 100 <> 0")
+    t.overwrite(dims.scd2_initial(first, HISTORY_START).repartitionByRange(MERGED_FILES, "customer_id"))
+    ended, versions = dims.scd2_batch(t.read(), frame(spark, sf_dir, "c_customers_next"), SECOND_BATCH)
+    t.revise(ended, "customer_id", "is_current", dims.ending(SECOND_BATCH), versions, "SCD2", 0)
+    return as_long(t.read().select(*_SCD2))
+
+
 @query
 def scd2_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers whose current version was closed without a successor get a next one."""
@@ -363,7 +375,7 @@ def pit_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     v = e.where("event_type in ('signup', 'error')").select(F.col("user_id").alias("v_user"), F.col("event_id").alias("version_id"), F.col("ts").alias("effective_from"), F.lead("ts").over(w).alias("effective_to"))
     buys = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    out = buys.join(v, (F.col("user_id") == F.col("v_user")) & dims.valid_at(F.col("ts"), F.col("effective_from"), F.col("effective_to")), "left")
+    out = as_of(buys, v, "user_id", "ts", "v_user", "effective_from", "effective_to", ["version_id"], few=0)
     return out.select("event_id", F.coalesce("version_id", F.lit(-1)).cast("bigint").alias("version_id"))
 
 
@@ -498,6 +510,23 @@ def merge_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _story(spark, sf_dir).read()
 
 
+#: Files of a table that is to be merged into, enough for it to have an index.
+MERGED_FILES = 24
+
+
+@query
+def indexed_merge_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in files by key, merged with a later state of some and with keys that are new: files without such a key stay unopened."""
+    t = VersionedTable(spark, _place(spark, "orders"))
+    orders = source(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
+    t.overwrite(orders.repartitionByRange(MERGED_FILES, "o_orderkey"))
+    late = orders.where("o_orderkey % 100 = 0").withColumn("o_orderstatus", F.lit("X"))
+    new = source(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select((F.col("c_custkey") + PEOPLE).cast("bigint").alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), F.col("c_acctbal").cast("decimal(18,2)").alias("total"))
+    t.merge(new, "o_orderkey")
+    t.merge(late, "o_orderkey")
+    return t.read()
+
+
 @query
 def history_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _story(spark, sf_dir).history().select("version", "operation", "rows_added")

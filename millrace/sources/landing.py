@@ -10,17 +10,13 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.functions.secrets import redacted
 from millrace.sources.schema import DATASETS
 
 EXTENSIONS = {".csv": "csv", ".json": "json", ".jsonl": "json", ".parquet": "parquet"}
 AUDIT_SCHEMA = "ingestion_id string, source_path string, dataset_name string, ingestion_date string, adf_run_id string, file_name string, file_sha256 string, status string, ingested_at timestamp"
 SUCCESS = "SUCCESS"
 _CONTRACT = re.compile(r"(?:^|/)retail/([^/]*)/ingestion_date=([^/]*)/run_id=([^/]*)/([^/]+)$")
-_SECRETS = (
-    (re.compile(r"(?i)(sig|sharedaccesssignature|password|token|secret|account_?key)=([^;&\s]+)"), r"\1=REDACTED"),
-    (re.compile(r"dapi[0-9a-f]{32}"), "dapi[REDACTED]"),
-    (re.compile(r"eyJ[\w-]{20,}\.[\w.-]{20,}"), "[REDACTED_JWT]"),
-)
 
 
 class LandingPathError(ValueError):
@@ -35,12 +31,6 @@ class LandingIncompleteError(RuntimeError):
     """A batch lacks datasets."""
 
 
-def redacted(text: str) -> str:
-    for pattern, put in _SECRETS:
-        text = pattern.sub(put, text)
-    return text
-
-
 def joined_uri(root: str, *parts: str) -> str:
     """Parts below a root, whose scheme stays as it is."""
     out = str(root).rstrip("/") if str(root) != "/" else ""
