@@ -250,6 +250,19 @@ def test_bpe_caches_stay_within_their_bytes(words):
     assert all(c.size <= 50_000 and len(c) + len(c.old) <= 2 * 50_000 // bpe.ENTRY for c in (small.chunk, small.words, small.fragment))
 
 
+def test_bpe_of_every_code_point(words):
+    """Letters, numbers and capitals as the library has them, whatever Unicode this Python and its modules are of."""
+    mine, library = words
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    later = [c for c in every if mine.later.match(c)]
+    assert len(later) == 17_507
+    texts = [f"Ab{c}Cd" for c in every] + [form.format(c) for c in later for form in ("{0}", "{0}{0}.", "7{0}7 x{0}", "é{0}Ä!{0}1")]
+    for k in range(0, len(texts), 20_000):
+        some = texts[k : k + 20_000]
+        for text, want in zip(some, library.encode_batch(some, add_special_tokens=False), strict=True):
+            assert mine.encode(text)[0] == " ".join(map(str, want.ids)), ascii(text)
+
+
 def test_bpe_of_odd_rows(odd, empty):
     rows = bpe.encode_digests(odd).collect()
     nothing = hashlib.sha256(b"").hexdigest()
