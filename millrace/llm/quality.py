@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, modest, small, strings, utf8
+from millrace.llm.common import bounded, cut, modest, small, strings, utf8
 from millrace.llm.samples import hash_sample, held_out, training_rows
 
 #: Labelled rows drawn for each of the two labels, and bytes of their texts; the network learns from no more than these.
@@ -145,9 +145,24 @@ def fit(texts: list[bytes], labels: np.ndarray, odds: float = 1.0, updates: int
     return net
 
 
+def fitting(rows: list[tuple[int, int, int, int]], bytes_each: int) -> set[tuple[int, int]]:
+    """(label, id) of the rows (label, draw, id, bytes) that fit into ``bytes_each`` of their label, in the order of the draw; the shortest if none does."""
+    left: dict[int, int] = {}
+    taken = set()
+    for label, _, i, size in sorted(rows):
+        if size <= left.setdefault(label, bytes_each):
+            left[label] -= size
+            taken.add((label, i))
+    some = {label for label, _, i, size in rows if size <= bytes_each}
+    for label in left.keys() - some:
+        taken.add((label, min((size, draw, i) for k, draw, i, size in rows if k == label)[2]))
+    return taken
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows_each: int = ROWS_EACH, bytes_each: int = BYTES_EACH, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteNet:
     """A network fitted to at most ``rows_each`` labelled rows, and ``bytes_each`` bytes, of either label, drawn by hash of the id.
 
+    A text that does not fit into what is left of the bytes is passed over; if no text of a label fits, its shortest one teaches.
     Rows without id or label teach nothing; a null text is empty; of an id that is repeated the text that sorts first counts. Without rows of both labels the score is constant.
     """
     marked = training_rows(labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))).distinct()
@@ -156,9 +171,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows_each: int = ROWS_EACH, bytes_
     chosen = hash_sample(marked, "label", rows_each)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(small(chosen, 2 * rows_each), "doc_id")
     # one text for each id, however often it is repeated
-    rows = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).withColumn("_draw", F.xxhash64("doc_id", F.lit("bytes")))
-    sized = rows.withColumn("_bytes", F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy("_draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
-    found = sorted((r["doc_id"], r["label"], r["text"]) for r in sized.where(F.col("_bytes") <= bytes_each).toLocalIterator())
+    rows = cut(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).withColumn("_draw", F.xxhash64("doc_id", F.lit("bytes"))))
+    taken = fitting([tuple(r) for r in rows.select("label", "_draw", "doc_id", F.octet_length("text")).collect()], bytes_each)  # 2 * rows_each rows at most
+    texts = rows.where(F.col("doc_id").isin([i for _, i in taken])).toLocalIterator() if taken else []
+    found = sorted((r["doc_id"], r["label"], r["text"]) for r in texts if (r["label"], r["doc_id"]) in taken)
     return fit([utf8(t) for _, _, t in found], np.array([k for _, k, _ in found], np.float32), odds)
 
 
