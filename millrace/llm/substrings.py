@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded, cut, discard, mix64, modest, small, stored, strings, utf8
+from millrace.llm.common import bounded, cut, discard, keyed, mix64, modest, small, stored, strings, utf8
 
 #: Bytes of a passage that counts as repeated.
 LENGTH = 200
@@ -205,10 +205,11 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _PLACE = ("doc_id", "txt", "lo", "hi")
 
 
-def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, txt, text) of every row. ``txt``, a hash of the text, tells rows of one id apart."""
+def text_rows(docs: DataFrame, id_col: str, text_col: str, own: str | None = None) -> DataFrame:
+    """(doc_id, txt, text) of every row, and as ``own`` another id. ``txt``, a hash of the text, tells rows of one id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("txt"), text.alias("text"))
+    more = [F.col(own).cast("long").alias("own")] if own else []
+    return modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("txt"), text.alias("text"), *more)
 
 
 def anchors(rows: DataFrame, length: int, digest: bool) -> DataFrame:
@@ -329,7 +330,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, keep_first: bool =
         parts = stored(in_company(each, length).select("hash", "doc_id", "txt", "lo", "at", "bytes", "hot"), "parts")
         written += [split, each, parts]
     every = reduce(DataFrame.unionByName, marks)
-    out = cut(every.groupBy("doc_id", "txt").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")))
+    # rows that repeat both id and text give the same intervals, which count once
+    out = cut(every.groupBy("doc_id", "txt").agg(F.collect_set(F.struct("lo", "hi")).alias("marks")))
     discard(*written)
     return out
 
@@ -395,12 +397,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept bytes) of every row, without the passages that stand elsewhere.
 
     ``spans`` are the maximal removed runs [begin, end) in bytes, ``kept`` the remaining bytes concatenated. Null and
-    empty texts have 0 bytes and no spans. An empty table gives no rows. Other columns are ignored.
+    empty texts have 0 bytes and no spans. An empty table gives no rows. Other columns are ignored. With ``keep_first``, rows of
+    null or repeated ids are told apart by a number given as they are written once, and the first is that of the least
+    number; those files stay.
     """
-    by_doc = repeated_passages(docs, length, keep_first, id_col, text_col)
-    rows = text_rows(docs, id_col, text_col)
-    marked = beside(rows, by_doc, "marks").select("doc_id", "text", "marks")
-    joined = marked.unionByName(concerned(rows, by_doc, False).select("doc_id", "text", F.lit(None).cast(by_doc.schema["marks"].dataType).alias("marks")))
+    docs, key = keyed(docs.select(id_col, text_col), id_col) if keep_first else (docs, id_col)
+    by_doc = repeated_passages(docs, length, keep_first, key, text_col)
+    rows = text_rows(docs, key, text_col, id_col)
+    marked = beside(rows, by_doc, "marks").select("own", "text", "marks")
+    joined = marked.unionByName(concerned(rows, by_doc, False).select("own", "text", F.lit(None).cast(by_doc.schema["marks"].dataType).alias("marks")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches):

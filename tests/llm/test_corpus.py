@@ -217,6 +217,21 @@ def test_passages_of_rows_without_ids(spark):
     assert got == sorted((i or 0, *v[:2]) for (i, _), v in zip(rows, brute_removal([(k, t) for k, (_, t) in enumerate(rows)], substrings.LENGTH), strict=True))
 
 
+def test_the_first_of_repeated_rows_stays(spark):
+    """Rows that are equal in id and text, or have no id: one copy is kept whole, all others go."""
+    r = random.Random(4)
+    t, u = (" ".join(f"{r.randrange(10**6)}" for _ in range(80)) for _ in range(2))
+    rows = [(1, t), (1, t), (None, u), (None, u), (None, u), (2, "short")]
+    got = [(x.doc_id, x.n_bytes, x.n_removed) for x in substrings.remove_repeats(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, len(t), 0), (1, len(t), len(t)), (None, len(u), 0), (None, len(u), len(u)), (None, len(u), len(u)), (2, 5, 0)], key=str)
+
+
+def test_repeated_rows_give_their_intervals_once(spark):
+    t = " ".join(str(k * 7919) for k in range(90))
+    one, many = (substrings.repeated_passages(docs(spark, [(None, t)] * n + [(1, t)]), keep_first=False) for n in (1, 5))
+    assert {r.doc_id: len(r.marks) for r in one.collect()} == {r.doc_id: len(r.marks) for r in many.collect()}
+
+
 # benchmark items
 
 

@@ -10,8 +10,10 @@ import zlib
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe, html, language, quality, tokencount
+from millrace.llm.samples import hash_sample
 
 DATA = "/root/testdata/sf0.01"
 
@@ -74,6 +76,17 @@ def test_language_learns_from_rows_of_one_id(spark, i):
 # quality
 
 
+def test_language_learns_from_a_text_that_many_rows_repeat(spark):
+    """3000 rows of one text without an id beside 300 of another language: both can be predicted."""
+    zz, en = "zork plugh xyzzy frotz gnusto ", "the cat sat on the mat and slept "
+    rows = [(None, zz * 4, "zz")] * 3000 + [(i, f"{en * 3}{i}", "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.language_report(df).groupBy(F.col("doc_id").isNull().alias("repeated"), "lang_pred").count().collect()
+    assert sorted(map(tuple, found)) == [(False, "en", 300), (True, "zz", 3000)]
+    taken = hash_sample(df, "lang", 60)
+    assert {r["lang"]: r["count"] for r in taken.groupBy("lang").count().collect()} == {"zz": 1, "en": 60}
+
+
 def test_quality_of_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
     truth = {r.doc_id: r.quality for r in labels.collect()}
@@ -144,6 +157,19 @@ def test_gradients_match_differences():
         assert abs((up - down) / (2 * eps) - g[at]) < 0.05 * abs(g[at]) + 2e-4
 
 
+def test_quality_passes_over_texts_that_do_not_fit(spark):
+    """One labelled text of more bytes than all may have, wherever the draw puts it, leaves the others to teach."""
+    good, bad = "a careful account of the matter, ", "$$ BUY NOW 0x1 "
+    rows = [(i, (good if i % 2 else bad) * (i % 5 + 2) * (4000 if i in (5, 6, 7, 8) else 1)) for i in range(0, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    net = quality.learn(docs, labels, bytes_each=50_000)
+    assert net.scores([good.encode() * 3])[0] > 0.6 > 0.4 > net.scores([bad.encode() * 3])[0]
+    # sizes: the order of the draw, whatever fits, and the shortest where nothing does
+    assert quality.fitting([(0, 1, 7, 90), (0, 2, 8, 20), (0, 3, 9, 85), (0, 4, 6, 70), (1, 1, 5, 300), (1, 2, 4, 200)], 100) == {(0, 7), (1, 4)}
+    assert quality.fitting([], 100) == set()
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (5, 1), (6, 0), (None, 1), (7, None)], "doc_id long, quality int")
     assert quality.quality_report(odd, labels).count() == odd.count()
