@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
-from collections.abc import Generator, Iterator
+from collections.abc import Generator, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -15,6 +15,8 @@ from millrace.llm.common import bounded, modest, strings
 # Fixed values of the HTML standard: which elements are void, raw, hidden, blocks, and which tags imply an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
+#: Levels of lists that are shown by indentation; deeper ones stand as far in.
+DEEPEST = 40
 HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist object svg math audio video canvas".split())
 HEAD_ONLY = frozenset("base basefont bgsound link meta noframes script style template title".split())
 BLOCKS = frozenset("html body address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing main menu nav ol optgroup option p plaintext pre search section summary table caption tbody thead tfoot tr td th ul xmp".split())
@@ -77,6 +79,8 @@ class TreeBuilder:
     def __init__(self):
         self.root = Node("html", {})
         self.stack = [self.root]
+        #: Where on the stack the elements of each tag stand, but for the root: depth costs nothing to look through.
+        self.open: dict[str, list[int]] = {}
         self.in_head = True
 
     def top(self) -> Node:
@@ -101,24 +105,31 @@ class TreeBuilder:
     def body(self, attrs: dict[str, str]) -> None:
         if self.in_head:
             self.in_head = False
-            del self.stack[1:]
+            self.cut(1)
             self.push(Node("body", attrs))
 
     def push(self, node: Node) -> None:
         if node.tag in TABLE_PARTS:
             node.home = self.top().home or (self.top() if node.tag == "table" else None)
         self.add(node)
+        self.open.setdefault(node.tag, []).append(len(self.stack))
         self.stack.append(node)
 
+    def cut(self, size: int) -> None:
+        """Close all but the outermost ``size`` elements."""
+        while len(self.stack) > size:
+            places = self.open[self.stack.pop().tag]
+            places.pop()
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of ``tags``, 0 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
     def close(self, tags: tuple[str, ...], barriers: tuple[str, ...]) -> None:
         """Close the innermost open element of ``tags`` and all in it, unless a barrier stands between."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[k].tag
-            if tag in tags:
-                del self.stack[k:]
-                return
-            if tag in barriers or tag in SCOPE:
-                return
+        k = self.innermost(tags)
+        if k and k >= self.innermost(barriers) and k >= self.innermost(SCOPE):
+            self.cut(k)
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag == "html":
@@ -140,7 +151,7 @@ class TreeBuilder:
         if tag in ENDS_P:
             self.close(("p",), ())
         if tag in HEADINGS and self.top().tag in HEADINGS:
-            self.stack.pop()
+            self.cut(len(self.stack) - 1)
         if tag in IMPLIED_END:
             tags, barriers = IMPLIED_END[tag]
             if tag in ("tr", "tbody", "thead", "tfoot"):
@@ -166,34 +177,31 @@ class TreeBuilder:
 
     def back_to_table(self, tags: tuple[str, ...]) -> None:
         """Close open cells, rows and sections of the innermost table, as far as ``tags``."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in tags:
-                del self.stack[k + 1 :]
-                return
-            if self.stack[k].tag == "table":
-                return
+        k = self.innermost(tags)
+        if k and k >= self.innermost(("table",)):
+            self.cut(k + 1)
 
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
         if tag == "head":
             if self.in_head and len(self.stack) > 1 and self.stack[1].tag == "head":
-                del self.stack[1:]
+                self.cut(1)
             return
         if tag == "br":
             self.start("br", {})
             return
         same = HEADINGS if tag in HEADINGS else (tag,)
-        for k in range(len(self.stack) - 1, 0, -1):
-            here = self.stack[k].tag
-            if here in same:
-                del self.stack[k:]
-                return
-            if here in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption") or here == "table" or tag in FORMATTING and here in BLOCKS:
-                break
-        if tag == "p":
+        k, wall = self.innermost(same), self.innermost(("table",))
+        if tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption"):
+            wall = max(wall, self.innermost(SCOPE))
+        if tag in FORMATTING:
+            wall = max(wall, self.innermost(BLOCKS))
+        if k and k >= wall:
+            self.cut(k)
+        elif tag == "p":
             self.start("p", {})
-            self.stack.pop()
+            self.cut(len(self.stack) - 1)
 
 
 def parse(page: str) -> Node:
@@ -370,7 +378,7 @@ def rendered(node: Node, seen: bool = True) -> Generator:
                 if isinstance(c, Node) and c.tag == "li":
                     if tag == "ol" and re.fullmatch(r"-?\d{1,9}", c.attrs.get("value", "")):
                         number = int(c.attrs["value"])
-                    c.attrs = c.attrs | {" mark": "  " * depth + (f"{number}. " if tag == "ol" else "- ")}
+                    c.attrs = c.attrs | {" mark": "  " * min(depth, DEEPEST) + (f"{number}. " if tag == "ol" else "- ")}
                     number += 1
         if tag == "li" and seen and any(isinstance(c, Node) or c.strip() for c in item.children):
             out.put(item.attrs.get(" mark", "- "))

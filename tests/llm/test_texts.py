@@ -414,3 +414,16 @@ def test_pages_of_odd_rows(spark, empty):
     rows = html.page_texts(pages).collect()
     assert len(rows) == 4 and [r.text for r in rows[:3]] == ["", "", "x"] and rows[3].n_chars > 90_000
     assert html.page_texts(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "words"),
+    [("<div>" * 200_000 + "x", ["x"]), ("<span>" * 90_000 + "</q>" * 90_000 + "x", ["x"]), ("<ul><li>" * 110_000 + "x", ["-", "x"]), ("<b><p>x" * 100_000, ["x"] * 100_000), ("<blockquote>" * 80_000 + "x</p>y", ["x", "y"]), ("<table><tr><td>" * 60_000 + "x", ["x"]), ("</p>" * 250_000 + "x", ["x"])],
+    ids=["div", "end tags", "lists", "formatting", "quotes", "tables", "p"],
+)
+def test_deep_pages_take_time_in_proportion(page, words):
+    """About a megabyte of open elements, or of end tags for none of them."""
+    begin = time.perf_counter()
+    found = html.extract(page).split()
+    assert time.perf_counter() - begin < 20
+    assert found == words if words != ["-", "x"] else set(found) == {"-", "x"} and found.count("x") == 1
