@@ -270,6 +270,11 @@ def _build() -> dict[str, str]:
     }
     for name, (table, ints, money) in gold.items():
         add(name, f"select * from {table}", ints, money)
+        out[f"{name}_refreshed"] = out[name]  # what a second delivery brings up to date is what is built whole
+    turn = "cast(substring(order_id, 5) as bigint) % 100"
+    add("change_feed", f"""
+      select order_id, order_date, store_id, 'insert' as _change, 1 as _copies from c_orders where {turn} <= 1
+      union all select order_id, order_date - 40, 'STR-00001', 'delete', 1 from c_orders where {turn} = 1""", "_copies")
     # KPI queries and views, each in words of its own
     daily, monthly, stores, kinds, spenders, reasons = (t for t, _, _ in gold.values())
     retained = "total_net_revenue - total_refunded_amount"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators.conform import Conformed, ReconciliationError, conform
+from millrace.operators.incremental import KEPT
 from millrace.operators.kpi import KPI
 from millrace.operators.rules import ORDER, SILVER
 from millrace.sources.files import scan_as_text
@@ -150,11 +152,50 @@ def assert_adds_up(name: str, source: int, valid: int, rejected: int) -> None:
         raise ReconciliationError(f"{name}: {source} source rows, {valid} valid and {rejected} quarantined")
 
 
+def _silver_tables(spark: SparkSession, root: str) -> dict[str, VersionedTable]:
+    return {n: VersionedTable(spark, joined_uri(root, "silver", n)) for n in ("customers", "products", "stores", "orders", "order_items", "returns")}
+
+
+def build_kpi(gold: VersionedTable, name: str, silver: dict[str, VersionedTable]) -> int:
+    """A KPI table built whole; its rows. The entry notes which version of each Silver table it shows."""
+    at = {n: silver[n].latest() for n in KEPT[name].uses}
+    rows = KPI[name]({n: silver[n].read(v) for n, v in at.items()})
+    return gold.entry(gold.overwrite(rows, notes={"sources": at}))["rows_added"]
+
+
+def refresh_kpi(gold: VersionedTable, name: str, silver: dict[str, VersionedTable]) -> int | None:
+    """Brings a KPI table up to the newest versions of its Silver tables; how many of its keys were computed anew.
+
+    What changed since the versions that it shows names these keys; their rows are replaced in one commit, which notes the new
+    versions, so a refresh that is cut off changes nothing and the next makes up for it. A table that is not there, shows
+    versions that are not there any more, or has other columns by now is built whole, and None returned.
+    """
+    kept, build = KEPT[name], KPI[name]
+    at = {n: silver[n].latest() for n in kept.uses}
+    now = {n: silver[n].read(v) for n, v in at.items()}
+    base = gold.latest() if gold.exists() else -1
+    shown = gold.entry(base).get("notes", {}).get("sources", {}) if base >= 0 else {}
+    known = set(shown) == set(at) and all(v in silver[n].versions() and v <= at[n] for n, v in shown.items())
+    if not known or gold.schema(base).names != build(now).columns:
+        build_kpi(gold, name, silver)
+        return None
+    if shown == at:
+        return 0
+    with contextlib.ExitStack() as stack:
+        # changes are read several times, so they are written once; the size of what was written tells which joins may broadcast
+        changed = {n: silver[n].changes(shown[n], at[n], columns) for n, columns in kept.uses.items()}
+        changed = {n: stack.enter_context(gold.once(df)) if shown[n] != at[n] else df for n, df in changed.items()}
+        keys = kept.touched(now, changed).select(*kept.key)
+        return gold.exchange(keys, lambda wanted: build(kept.only(now, wanted)), "REFRESH", base, {"sources": at})
+
+
 def build_gold(spark: SparkSession, root: str) -> dict[str, int]:
     """The six KPI tables from Silver; returns their rows."""
-    t = {n: load(spark, root, "silver", n) for n in ("customers", "products", "stores", "orders", "order_items", "returns")}
-    out = {}
-    for name, build in KPI.items():
-        table = VersionedTable(spark, joined_uri(root, "gold", name))
-        out[name] = table.entry(table.overwrite(build(t)))["rows_added"]
-    return out
+    silver = _silver_tables(spark, root)
+    return {name: build_kpi(VersionedTable(spark, joined_uri(root, "gold", name)), name, silver) for name in KPI}
+
+
+def refresh_gold(spark: SparkSession, root: str) -> dict[str, int | None]:
+    """The six KPI tables brought up to Silver; returns how many keys of each were computed anew, None for one built whole."""
+    silver = _silver_tables(spark, root)
+    return {name: refresh_kpi(VersionedTable(spark, joined_uri(root, "gold", name)), name, silver) for name in KPI}

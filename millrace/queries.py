@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -14,9 +14,11 @@ from millrace.operators import checks, dimensions as dims
 from millrace.operators.blocks import as_of
 from millrace.operators.conform import Conformed, conform, latest, orphans, referenced
 from millrace.operators.curate import curated_sales, order_metrics, product_ranks, sales_lines
+from millrace.operators.incremental import KEPT
 from millrace.operators.keys import surrogate_keys
 from millrace.operators.kpi import KPI
 from millrace.operators.rules import BATCH, ORDER, SILVER
+from millrace.plans.layers import refresh_kpi
 from millrace.plans.serving import KPI_QUERIES, KPI_VIEWS, OPERATIONS, REPORTS, STAR_QUERIES, STAR_VIEWS
 from millrace.session import shared_dir, sql_over
 from millrace.sources.files import scan, scan_as_text, write
@@ -229,6 +231,56 @@ for _name, _sql in KPI_VIEWS.items():
     QUERIES[f"view_{_name}"] = _kpi_query(_sql)
 
 
+#: Keys of datasets, and how rows of a first delivery differ from those of the second where they do.
+EARLIER = {
+    "customers": ("customer_id", {"loyalty_tier": "'NONE'"}),
+    "products": ("product_id", {"cost_price": "cost_price + 1", "subcategory": "'none'"}),
+    "stores": ("store_id", {"region": "'NONE'"}),
+    "orders": ("order_id", {"order_date": "date_add(order_date, -40)", "store_id": "'STR-00001'", "customer_id": "'CUST-000001'"}),
+    "order_items": ("order_item_id", {"quantity": "quantity + 1", "net_amount": "net_amount + 5"}),
+    "returns": ("return_id", {"return_reason": "'OTHER'", "refund_amount": "refund_amount + 1"}),
+}
+
+
+def _two_deliveries(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> Iterator[dict[str, VersionedTable]]:
+    """Silver tables after a first delivery, which lacks rows and has others in an earlier state; then after the second."""
+    silver, late = {}, {}
+    for name in names:
+        key, was = EARLIER[name]
+        now = frame(spark, sf_dir, f"c_{name}")
+        turn = F.regexp_replace(key, "[^0-9]", "").cast("bigint") % 100
+        silver[name] = VersionedTable(spark, _place(spark, f"silver_{name}"))
+        early = {c: F.when(turn == 1, F.expr(e).cast(now.schema[c].dataType)).otherwise(F.col(c)) for c, e in was.items()}
+        silver[name].overwrite(now.where(turn != 0).withColumns(early))
+        late[name] = now.where(turn <= 1)
+    yield silver
+    for name, rows in late.items():
+        silver[name].merge(rows, EARLIER[name][0])
+    yield silver
+
+
+def _refreshed(table: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The KPI table of a first delivery, brought up to the second: only keys that it touches are computed anew."""
+        gold = VersionedTable(spark, _place(spark, table))
+        for silver in _two_deliveries(spark, sf_dir, KEPT[table].uses):
+            refresh_kpi(gold, table, silver)
+        return as_long(gold.read())
+
+    return run
+
+
+for _name, _table in GOLD.items():
+    QUERIES[f"{_name}_refreshed"] = _refreshed(_table)
+
+
+@query
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second delivery of orders changed, without what was only copied to other files."""
+    *_, silver = _two_deliveries(spark, sf_dir, ["orders"])
+    return silver["orders"].changes(0, columns=["order_id", "order_date", "store_id"]).select("order_id", "order_date", "store_id", "_change", "_copies")
+
+
 # dimensions and facts
 
 

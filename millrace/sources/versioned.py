@@ -14,8 +14,9 @@ from __future__ import annotations
 import contextlib
 import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from datetime import UTC, datetime
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -111,10 +112,11 @@ class VersionedTable:
         rows = [(e["version"], datetime.fromisoformat(e["timestamp"]), e["operation"], e["rows_added"], len(e["live"])) for e in map(self.entry, reversed(self.versions()))]
         return self.spark.createDataFrame(rows, "version long, timestamp timestamp, operation string, rows_added long, live_files long")
 
-    def _commit(self, operation: str, schema: StructType, add: list[str], remove: list[str], rows: int, base: int, at: datetime | None = None, index: dict[str, dict] | None = None, opened: int | None = None) -> int:
+    def _commit(self, operation: str, schema: StructType, add: list[str], remove: list[str], rows: int, base: int, at: datetime | None = None, index: dict[str, dict] | None = None, opened: int | None = None, notes: dict | None = None) -> int:
         """The next version on top of ``base``; fails if there is one already.
 
-        ``index`` has what was built for files that were there before, ``opened`` how many files were looked into.
+        ``index`` has what was built for files that were there before, ``opened`` how many files were looked into; ``notes``
+        are kept in the entry.
         """
         numbers = self._numbers()
         if any(v > base and self._parsed(v) is not None for v in reversed(numbers)):
@@ -124,6 +126,8 @@ class VersionedTable:
         body = {"version": version, "base": base, "timestamp": at.isoformat(), "operation": operation, "rows_added": rows, "add": add, "remove": remove, "schema": json.loads(schema.json())}
         if opened is not None:
             body["opened"] = opened
+        if notes:
+            body["notes"] = notes
         was, gone = self.entry(base) if base >= 0 else {"live": [], "index": {}}, set(remove)
         body["index"] = {n: {"paths": list(x["paths"]), "files": [f for f in x["files"] if f not in gone]} for n, x in (index or {}).items()}
         for name in {**was["index"], **body["index"]}:
@@ -245,10 +249,35 @@ class VersionedTable:
         e = self.entry(self.resolve(version, as_of))
         return self._files(e["live"], StructType.fromJson(e["schema"]))
 
+    def changes(self, since: int, until: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """What differs between two versions: rows of ``columns`` (all if not given), ``_change`` and ``_copies``.
+
+        ``_change`` is insert or delete, ``_copies`` the number of equal rows that came or went; an updated row is a deletion and
+        an insertion. Only files that one version has and the other lacks are read, and of them only ``columns``. Rows that were
+        copied from file to file, or that differ in other columns alone, cancel out in one aggregation, whose partial sums
+        take up repeated rows before the shuffle. Columns that the older version lacks are NULL in it; retyped ones raise.
+        """
+        until = self.resolve(until)
+        if until < since:
+            raise ValueError(f"{self.path}: version {until} is before {since}")
+        old, new = self.entry(since), self.entry(until)
+        schema, was = StructType.fromJson(new["schema"]), StructType.fromJson(old["schema"])
+        names = list(columns or schema.names)
+        retyped = [n for n in names if n in was.names and was[n].dataType.simpleString() != schema[n].dataType.simpleString()]
+        if retyped:
+            raise SchemaMismatchError(f"{self.path}: retyped {retyped}")
+
+        def side(files: set[str], sign: int) -> DataFrame:
+            return self._files(sorted(files), schema).select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.lit(sign).alias("sign"))
+
+        live = set(old["live"]), set(new["live"])
+        net = side(live[0] - live[1], -1).unionByName(side(live[1] - live[0], 1)).groupBy("row").agg(F.sum("sign").alias("net")).where("net <> 0")
+        return net.select("row.*", F.when(F.col("net") > 0, "insert").otherwise("delete").alias("_change"), F.abs("net").alias("_copies"))
+
     # writes
 
-    def overwrite(self, df: DataFrame, operation: str = "OVERWRITE") -> int:
-        return self.replace(df, operation, self.latest() if self.exists() else -1)
+    def overwrite(self, df: DataFrame, operation: str = "OVERWRITE", notes: dict | None = None) -> int:
+        return self.replace(df, operation, self.latest() if self.exists() else -1, notes)
 
     def append(self, df: DataFrame, merge_schema: bool = False) -> int:
         """Adds rows. Unknown or retyped columns raise unless ``merge_schema`` admits new ones; missing ones are NULL."""
@@ -276,10 +305,10 @@ class VersionedTable:
         files = self._write(new)[0] if touched else []
         return self._commit("UPDATE", df.schema, files, touched, 0, base)
 
-    def replace(self, df: DataFrame, operation: str, base: int) -> int:
+    def replace(self, df: DataFrame, operation: str, base: int, notes: dict | None = None) -> int:
         """A new content computed from version ``base``; fails if that is no longer the newest."""
         files, rows = self._write(df)
-        return self._commit(operation, df.schema, files, self.entry(base)["live"] if base >= 0 else [], rows, base)
+        return self._commit(operation, df.schema, files, self.entry(base)["live"] if base >= 0 else [], rows, base, notes=notes)
 
     def merge(self, source: DataFrame, key: str, when: Callable[[str, str], Column] | None = None, keep: tuple[str, ...] = ()) -> int:
         """Upsert on ``key`` in one commit, which rewrites only files with a row that changes; creates the table if there is none.
@@ -290,7 +319,7 @@ class VersionedTable:
         """
         base = self.latest() if self.exists() else -1
         wanted = source if base < 0 else source.select(*self.schema(base).names)
-        with self._once(wanted) as new:
+        with self.once(wanted) as new:
             twice = new.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key).first()
             if twice is not None:
                 raise AmbiguousMergeError(f"{self.path}: several source rows for {key} = {twice[0]!r}")
@@ -330,8 +359,33 @@ class VersionedTable:
         files, n = self._write(changed.unionByName(added) if touched else added)
         return self._commit(operation, schema, files, touched, n - self._rows(touched, schema), base, index=built, opened=len(possible))
 
+    def exchange(self, keys: DataFrame, build: Callable[[DataFrame], DataFrame], operation: str, base: int, notes: dict | None = None) -> int:
+        """Rows whose key is one of ``keys`` give way to the rows that ``build(keys)`` makes, in one commit; how many keys.
+
+        The columns of ``keys`` are the key; it is NULL-safe. ``keys`` are computed once. Only files with such a row are rewritten;
+        of a key of one column only those that may hold one are opened. Fails if ``base`` is no longer the newest version.
+        """
+        e = self.entry(base)
+        schema, on = StructType.fromJson(e["schema"]), keys.columns
+        with self.once(keys.distinct()) as wanted:
+            n = wanted.count()
+            if not n:
+                self._commit(operation, schema, [], [], 0, base, notes=notes)
+                return 0
+            possible, built = e["live"], {}
+            if len(on) == 1 and not wanted.where(F.col(on[0]).isNull()).head(1):
+                possible, built = self._possible(e, Index(on[0]), wanted)
+            renamed = wanted.select(*(F.col(c).alias(f"_key{k}") for k, c in enumerate(on)))
+            same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_key{k}")) for k, c in enumerate(on)))
+            touched = self._touched(self._files(possible, schema).withColumn("_file", F.col("_metadata.file_path")).join(renamed, same, "left_semi")) if possible else []
+            rest = self._files(touched, schema).join(renamed, same, "left_anti")
+            new = build(wanted).select(*schema.names)
+            files, rows = self._write(rest.unionByName(new) if touched else new)
+            self._commit(operation, schema, files, touched, rows - self._rows(touched, schema), base, index=built, opened=len(possible), notes=notes)
+            return n
+
     @contextlib.contextmanager
-    def _once(self, df: DataFrame) -> Iterator[DataFrame]:
+    def once(self, df: DataFrame) -> Iterator[DataFrame]:
         """``df`` computed once, as files of its own beside the table until the end of the block."""
         path = f"{self.path}/_source/{uuid.uuid4().hex}"
         try:
