@@ -394,6 +394,7 @@ def _build() -> dict[str, str]:
     evolved = f"select k, name, cast(null as varchar) as extra from ({later}) b union all select cast(1000000000000 + c_custkey as bigint), c_name, 'new' from customer"
     updated = f"select k, case name when '1-URGENT' then '1-urgent' else name end as name, extra from ({evolved}) e"
     out["schema_evolved_read"], out["update_read"] = evolved, updated
+    out["named_read"] = out["update_read"]
     out["merge_read"] = f"""
       select k, name, extra from ({updated}) u where k < 1000000000000 union all select cast(1000000000000 + c_custkey as bigint), 'm-' || c_name, 'merged' from customer
       union all select cast(2000000000000 + s_suppkey as bigint), 'm-' || s_name, 'merged' from supplier"""

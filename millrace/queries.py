@@ -23,6 +23,7 @@ from millrace.plans.serving import KPI_QUERIES, KPI_VIEWS, OPERATIONS, REPORTS,
 from millrace.session import shared_dir, sql_over
 from millrace.sources.files import scan, scan_as_text, write
 from millrace.sources.landing import pending
+from millrace.sources.named import enable
 from millrace.sources.schema import DATASETS
 from millrace.sources.versioned import VersionedTable, merged
 
@@ -557,6 +558,13 @@ def update_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _story(spark, sf_dir).read(version=3)
 
 
+@query
+def named_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same version through the data source, as a session would read it that knows nothing of this library."""
+    enable(spark)
+    return spark.read.format("millrace").options(path=_story(spark, sf_dir).path, version=3).load()
+
+
 @query
 def merge_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _story(spark, sf_dir).read()

@@ -18,6 +18,7 @@ def session(name: str = "millrace", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.ui.enabled": "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }.items():

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from millrace.sources.filestats import Index, describe, holders, indexable
+from millrace.sources.tablelog import AmbiguousMergeError, ConcurrentCommitError, SchemaMismatchError, TableLog, TableNotFoundError
 
 #: Every so many versions the log entry has the whole list of files.
 WHOLE_EVERY = 10
@@ -30,69 +31,19 @@ WHOLE_EVERY = 10
 INDEXED_FILES = 16
 
 
-class ConcurrentCommitError(RuntimeError):
-    """Another writer took the version."""
-
-
-class SchemaMismatchError(ValueError):
-    """Columns or types that the table does not have."""
-
-
-class AmbiguousMergeError(ValueError):
-    """Several source rows for one key."""
-
-
-class TableNotFoundError(FileNotFoundError):
-    """No table there, or no such version."""
-
-
-class VersionedTable:
+class VersionedTable(TableLog):
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, str(path).rstrip("/")
-        self._known: dict[int, dict] = {}
+        super().__init__(path)
+        self.spark = spark
         jvm = spark.sparkContext._jvm
         self._jpath = jvm.org.apache.hadoop.fs.Path
         self._fs = self._jpath(f"{self.path}/_log").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # log
 
-    def _numbers(self) -> list[int]:
+    def _names(self) -> list[str]:
         at = self._jpath(f"{self.path}/_log")
-        if not self._fs.exists(at):
-            return []
-        names = (s.getPath().getName() for s in self._fs.listStatus(at))
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-
-    def versions(self) -> list[int]:
-        """Versions whose entries can be read."""
-        return [v for v in self._numbers() if self._parsed(v) is not None]
-
-    def exists(self) -> bool:
-        return any(self._parsed(v) is not None for v in reversed(self._numbers()))
-
-    def entry(self, version: int) -> dict:
-        """The log entry of a version, with all its files as ``live``, and the paths and files of each index."""
-        e = self._parsed(version)
-        if e is None:
-            raise TableNotFoundError(f"{self.path}: version {version}")
-        if "live" in e:
-            return e | {"index": e.get("index", {})}
-        was = self.entry(e["base"]) if e["base"] >= 0 else {"live": [], "index": {}}
-        gone = set(e["remove"])
-        index = dict(was["index"])
-        for name, new in e.get("index", {}).items():
-            old = index.get(name, {"paths": [], "files": []})
-            index[name] = {"paths": old["paths"] + new["paths"], "files": [f for f in old["files"] if f not in gone] + new["files"]}
-        return e | {"live": [f for f in was["live"] if f not in gone] + e["add"], "index": index}
-
-    def _parsed(self, version: int) -> dict | None:
-        """An entry as it was written, None if there is none or it is cut short. Entries never change."""
-        if version not in self._known:
-            try:
-                self._known[version] = json.loads(self._load(f"{self.path}/_log/{version:020d}.json"))
-            except (TableNotFoundError, ValueError):
-                return None
-        return self._known[version]
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
 
     def _load(self, path: str) -> str:
         if not self._fs.exists(self._jpath(path)):
@@ -103,10 +54,6 @@ class VersionedTable:
         finally:
             stream.close()
 
-    def log(self) -> list[dict]:
-        """(version, file, actions) of every commit, oldest first."""
-        return [{"version": v, "file": f"{v:020d}.json", "actions": self.entry(v)} for v in self.versions()]
-
     def history(self) -> DataFrame:
         """(version, timestamp, operation, rows_added, live_files), newest first. Rows that were there before do not count as added."""
         rows = [(e["version"], datetime.fromisoformat(e["timestamp"]), e["operation"], e["rows_added"], len(e["live"])) for e in map(self.entry, reversed(self.versions()))]
@@ -221,29 +168,6 @@ class VersionedTable:
 
     # reads
 
-    def latest(self) -> int:
-        for v in reversed(self._numbers()):
-            if self._parsed(v) is not None:
-                return v
-        raise TableNotFoundError(self.path)
-
-    def resolve(self, version: int | None = None, as_of: datetime | str | None = None) -> int:
-        if version is not None:
-            if self._parsed(version) is None:
-                raise TableNotFoundError(f"{self.path}: version {version}")
-            return version
-        if as_of is None:
-            return self.latest()
-        moment = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
-        moment = moment if moment.tzinfo else moment.replace(tzinfo=UTC)
-        known = [v for v in self.versions() if datetime.fromisoformat(self._parsed(v)["timestamp"]) <= moment]
-        if not known:
-            raise TableNotFoundError(f"{self.path}: nothing as of {moment}")
-        return known[-1]
-
-    def schema(self, version: int | None = None) -> StructType:
-        return StructType.fromJson(self._parsed(self.resolve(version))["schema"])
-
     def read(self, version: int | None = None, as_of: datetime | str | None = None) -> DataFrame:
         """The table now, at a version or as of a moment. Columns that older files lack are NULL."""
         e = self.entry(self.resolve(version, as_of))
