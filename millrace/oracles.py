@@ -113,6 +113,20 @@ def _define() -> None:
             [("NULL_PAYMENT_ID", _blank("payment_id")), ("DUPLICATE_PAYMENT_ID", "rnk > 1"), ("INVALID_PAYMENT_STATUS", "payment_status is null or payment_status not in ('SUCCESS', 'FAILED', 'PENDING', 'REFUNDED')"), ("INVALID_PAYMENT_AMOUNT", "amount is null or amount <= 0"), ("MALFORMED_PAYMENT_TIMESTAMP", "ts is null"), ("ORPHAN_ORDER_FK", "ref_order_id is null")],
             {"order_id": ("orders", "order_id")})
     TABLES["silver_payments"] = TABLES["silver_payments"].replace(", total_amount as p_total", "")
+    # delivered twice; a row is behind if all that it says came again later
+    delivered = {
+        "customers": "customer_id, first_name, last_name, email, phone, address, city, state, country, postal_code, signup_date, loyalty_tier",
+        "products": "product_id, product_sku, product_name, category, subcategory, unit_price, cost_price, is_active, description",
+        "stores": "store_id, store_name, store_type, region, state, country, opened_date",
+    }
+    for n, columns in delivered.items():
+        moved = "case when ends_with(customer_id, '4') then 'moved' else city end as city, " if n == "customers" else ""
+        TABLES[f"twice_{n}"] = f"select * from r_{n} union all select * replace ({moved}_ingested_timestamp + interval 7 day as _ingested_timestamp) from r_{n}"
+        TABLES[f"behind_{n}"] = f"select *, max(_ingested_timestamp) over (partition by {columns}) > _ingested_timestamp as behind from twice_{n}"
+        told = TABLES[f"silver_{n}"]
+        for old, new in ((f"_ingested_timestamp from r_{n}", f"_ingested_timestamp, behind from behind_{n}"), (f"order by {newest}", f"order by behind, {newest}"), ("case when (", "case when behind then 'REDELIVERED' when ("), ("case when coalesce", "case when behind then 'REDELIVERED' when coalesce")):
+            told = told.replace(old, new, 1) if old in told else told
+        TABLES[f"redelivered_{n}"] = told
     _tagged(s, "returns", f"return_id, order_item_id, {_time('return_timestamp')} ts, {_dec('refund_amount')} refund, _ingested_timestamp", "return_id", newest,
             [("NULL_RETURN_ID", _blank("return_id")), ("DUPLICATE_RETURN_ID", "rnk > 1"), ("INVALID_REFUND_AMOUNT", "refund is null or refund < 0"), ("MALFORMED_RETURN_TIMESTAMP", "ts is null"), ("ORPHAN_ORDER_ITEM_FK", "ref_order_item_id is null")], {"order_item_id": ("order_items", "order_item_id")})
 
@@ -249,6 +263,7 @@ def _build() -> dict[str, str]:
     for flavour in ("batch", "silver"):
         for name in ORDER:
             add(f"conform_{flavour}_{name}", f"select coalesce(reason, 'VALID') as reason, count(*) as n from {flavour}_{name} group by 1")
+    add("redelivered_snapshot", " union all ".join(f"select '{n}' as dataset_name, coalesce(reason, 'VALID') as reason, count(*) as n from redelivered_{n} group by 2" for n in ("customers", "products", "stores")))
     add("conform_valid", "select customer_id, first_name, last_name, concat_ws(' ', first_name, last_name) as full_name, email, phone, address, city, state, country, postal_code, signup_date, loyalty_tier from batch_customers where reason is null")
     add("conform_quarantine", "select customer_id, reason as quarantine_reason, raw_date as delivered_signup_date, raw_email as delivered_email from batch_customers where reason is not null")
     add("json_quarantine_payload", "select customer_id as record_id, 'customers' as source_dataset, reason as rejection_reason, raw_date as raw_signup_date from batch_customers where reason is not null")

@@ -66,10 +66,11 @@ def run_batch(spark: SparkSession, source: str, target: str) -> dict[str, Metric
     for name in ORDER:
         spec, d = BATCH[name], DATASETS[name]
         both = conform(scan(spark, joined_uri(source, f"{name}.{d.file_format}"), d), spec, {p.parent: clean[p.parent] for p in spec.parents})
-        write(both.valid, joined_uri(target, "clean", name))
+        rows, counted = both.observed()
+        write(rows, joined_uri(target, "clean", name))
         write(both.quarantine, joined_uri(target, "quarantine", name))
         clean[name] = spark.read.parquet(joined_uri(target, "clean", name))
-        metrics.append(Metric.of(name, both.by_reason()))
+        metrics.append(Metric.of(name, counted()))
     assert_metrics(metrics)
     write(curated_sales(clean["orders"], clean["order_items"], clean["products"], clean["customers"], clean["stores"]), joined_uri(target, "curated", "sales"), ("order_year", "order_month"))
     write(metrics_frame(spark, metrics), joined_uri(target, "metrics"))

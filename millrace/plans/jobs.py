@@ -102,6 +102,7 @@ class Run:
     environment: str = "dev"
     threshold: float = 0.20
     allow_unknown: bool = False
+    supersede: bool = False
     orchestration_run_id: str = field(default_factory=lambda: f"run-{uuid.uuid4().hex[:12]}")
     job_id: str = "local"
     job_run_id: str = "local"
@@ -140,10 +141,10 @@ def bronze(run: Run) -> None:
 
 def silver(run: Run) -> None:
     """Publishes counts before the gate, so that a failed run still tells them."""
-    counts = layers.build_silver(run.spark, run.root)
-    valid, rejected = (sum(c[k] for c in counts.values()) for k in ("valid", "quarantine"))
-    rate = quarantine_rate(valid, rejected)
-    for key, value in (("valid", valid), ("quarantine", rejected), ("rate", rate), ("alert", rate > run.threshold)):
+    counts = layers.build_silver(run.spark, run.root, run.supersede)
+    valid, rejected, again = (sum(c[k] for c in counts.values()) for k in ("valid", "quarantine", "redelivered"))
+    rate = quarantine_rate(valid, rejected - again)
+    for key, value in (("valid", valid), ("quarantine", rejected), ("redelivered", again), ("rate", rate), ("alert", rate > run.threshold)):
         run.values.set("silver", key, value)
     if rate > run.threshold:
         raise QuarantineRateError(f"quarantine rate {rate:.4f} is over {run.threshold}")

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.operators.conform import Conformed, ReconciliationError, conform
+from millrace.operators.conform import REDELIVERED, Conformed, ReconciliationError, conform
 from millrace.operators.incremental import KEPT
 from millrace.operators.kpi import KPI
 from millrace.operators.rules import ORDER, SILVER
@@ -126,22 +126,31 @@ def silver_frames(bronze: dict[str, DataFrame]) -> dict[str, Conformed]:
     return out
 
 
-def build_silver(spark: SparkSession, root: str) -> dict[str, dict[str, int]]:
+def build_silver(spark: SparkSession, root: str, supersede: bool = False) -> dict[str, dict[str, int]]:
     """Full refresh of valid and quarantined rows of every dataset; each must add up to its source.
 
-    Parents are read back from what was just written, so no lineage is computed twice; counts come from the commits.
+    One execution for each output and none for counts: reasons are counted while the valid rows are written, the commits
+    count what was written, and the log of Bronze says what came in. Parents are read back from what was just written.
+    With ``supersede`` rows that a later delivery repeats are told apart (``redelivered``, within ``quarantine``), so that
+    delivering a whole table again leaves the rate of rejected rows as it was.
     """
     counts: dict[str, dict[str, int]] = {}
     valid: dict[str, DataFrame] = {}
     for name in ORDER:
         spec = SILVER[name]
-        bronze = load(spark, root, "bronze", name)
-        both = conform(bronze, spec, {p.parent: valid[p.parent] for p in spec.parents})
+        bronze = bronze_table(spark, root, name)
+        if not bronze.exists():
+            raise TableNotFoundError(bronze.path)
+        at = bronze.latest()
+        both = conform(bronze.read(at), spec, {p.parent: valid[p.parent] for p in spec.parents}, supersede)
         good = VersionedTable(spark, joined_uri(root, "silver", name))
         bad = VersionedTable(spark, joined_uri(root, "silver", f"{name}_quarantine"))
-        n = {"valid": good.entry(good.overwrite(both.valid))["rows_added"], "quarantine": bad.entry(bad.overwrite(both.rejected))["rows_added"]}
-        n["bronze"] = bronze.count()
+        rows, counted = both.observed()
+        n = {"valid": good.entry(good.overwrite(rows))["rows_added"], "quarantine": bad.entry(bad.overwrite(both.rejected))["rows_added"], "bronze": bronze.rows(at)}
+        reasons = counted()
+        n["redelivered"] = reasons.get(REDELIVERED, 0)
         assert_adds_up(name, n["bronze"], n["valid"], n["quarantine"])
+        assert_adds_up(name, n["bronze"], reasons.get(None, 0), sum(v for k, v in reasons.items() if k))
         counts[name] = n
         valid[name] = good.read()
     return counts

@@ -141,6 +141,21 @@ def json_quarantine_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("record_id", "source_dataset", "rejection_reason", F.get_json_object("raw_record", "$.signup_date").alias("raw_signup_date"))
 
 
+@query
+def redelivered_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by reason when customers, products and stores come twice, whole, some customers having moved in between."""
+
+    def one(name: str) -> DataFrame:
+        first = frame(spark, sf_dir, f"r_{name}")
+        again = first.withColumn("_ingested_timestamp", F.expr("_ingested_timestamp + interval 7 days"))
+        if name == "customers":
+            again = again.withColumn("city", F.when(F.col("customer_id").endswith("4"), "moved").otherwise(F.col("city")))
+        tagged = conform(first.unionByName(again), SILVER[name], supersede=True).tagged
+        return tagged.groupBy(F.coalesce("_reason", F.lit("VALID")).alias("reason")).agg(F.count("*").alias("n")).withColumn("dataset_name", F.lit(name))
+
+    return reduce(DataFrame.unionByName, map(one, ("customers", "products", "stores")))
+
+
 @query
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of each dataset, in one pass over each."""

@@ -19,7 +19,7 @@ from datetime import UTC, datetime
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from millrace.sources.filestats import Index, describe, holders, indexable
@@ -59,11 +59,11 @@ class VersionedTable(TableLog):
         rows = [(e["version"], datetime.fromisoformat(e["timestamp"]), e["operation"], e["rows_added"], len(e["live"])) for e in map(self.entry, reversed(self.versions()))]
         return self.spark.createDataFrame(rows, "version long, timestamp timestamp, operation string, rows_added long, live_files long")
 
-    def _commit(self, operation: str, schema: StructType, add: list[str], remove: list[str], rows: int, base: int, at: datetime | None = None, index: dict[str, dict] | None = None, opened: int | None = None, notes: dict | None = None) -> int:
+    def _commit(self, operation: str, schema: StructType, add: list[str], remove: list[str], rows: int, base: int, at: datetime | None = None, index: dict[str, dict] | None = None, opened: int | None = None, notes: dict | None = None, total: int | None = None) -> int:
         """The next version on top of ``base``; fails if there is one already.
 
         ``index`` has what was built for files that were there before, ``opened`` how many files were looked into; ``notes``
-        are kept in the entry.
+        are kept in the entry. ``total`` are the table's rows, if not those of ``base`` and ``rows`` more.
         """
         numbers = self._numbers()
         if any(v > base and self._parsed(v) is not None for v in reversed(numbers)):
@@ -75,7 +75,10 @@ class VersionedTable(TableLog):
             body["opened"] = opened
         if notes:
             body["notes"] = notes
-        was, gone = self.entry(base) if base >= 0 else {"live": [], "index": {}}, set(remove)
+        was, gone = self.entry(base) if base >= 0 else {"live": [], "index": {}, "total_rows": 0}, set(remove)
+        if total is None and was.get("total_rows") is not None:
+            total = was["total_rows"] + rows
+        body["total_rows"] = total
         body["index"] = {n: {"paths": list(x["paths"]), "files": [f for f in x["files"] if f not in gone]} for n, x in (index or {}).items()}
         for name in {**was["index"], **body["index"]}:
             if add and indexable(schema, Index.named(name).key):
@@ -109,15 +112,15 @@ class VersionedTable(TableLog):
             raise ConcurrentCommitError(f"{self.path}: {target.getName()} exists")
 
     def _write(self, df: DataFrame) -> tuple[list[str], int]:
-        """Writes a data folder; its files, and their rows as the footers count them."""
-        name = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
+        """Writes a data folder; its files, and their rows, counted while they are written (a task that runs again counts once)."""
+        name, seen = f"data/{uuid.uuid4().hex}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{name}")
         files, found = self._fs.listFiles(self._jpath(f"{self.path}/{name}"), True), []
         while files.hasNext():
             part = files.next().getPath().getName()
             if part.endswith(".parquet"):
                 found.append(f"{name}/{part}")
-        return found, self._rows(found, df.schema)
+        return found, seen.get["n"]
 
     def _rows(self, files: list[str], schema: StructType) -> int:
         return self._files(files, schema).count() if files else 0
@@ -173,6 +176,12 @@ class VersionedTable(TableLog):
         e = self.entry(self.resolve(version, as_of))
         return self._files(e["live"], StructType.fromJson(e["schema"]))
 
+    def rows(self, version: int | None = None) -> int:
+        """Rows of the table at a version, as the log has them; of a table whose log is too old for that, as the footers do."""
+        e = self.entry(self.resolve(version))
+        total = e.get("total_rows")
+        return self._rows(e["live"], StructType.fromJson(e["schema"])) if total is None else total
+
     def changes(self, since: int, until: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
         """What differs between two versions: rows of ``columns`` (all if not given), ``_change`` and ``_copies``.
 
@@ -232,7 +241,7 @@ class VersionedTable(TableLog):
     def replace(self, df: DataFrame, operation: str, base: int, notes: dict | None = None) -> int:
         """A new content computed from version ``base``; fails if that is no longer the newest."""
         files, rows = self._write(df)
-        return self._commit(operation, df.schema, files, self.entry(base)["live"] if base >= 0 else [], rows, base, notes=notes)
+        return self._commit(operation, df.schema, files, self.entry(base)["live"] if base >= 0 else [], rows, base, notes=notes, total=rows)
 
     def merge(self, source: DataFrame, key: str, when: Callable[[str, str], Column] | None = None, keep: tuple[str, ...] = ()) -> int:
         """Upsert on ``key`` in one commit, which rewrites only files with a row that changes; creates the table if there is none.

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from millrace.functions.expr import as_date, as_timestamp, blank, flag, money, row_hash
-from millrace.operators.conform import conform, orphans, referenced
+from millrace.operators.conform import REDELIVERED, conform, orphans, redelivered, referenced
 from millrace.operators.rules import BATCH, SILVER
 from millrace.plans.batch import Metric
 from millrace.sources.schema import DATASETS
@@ -100,3 +100,46 @@ def test_parsers_give_null_under_ansi(spark):
 def test_empty_tables(spark):
     both = conform(raw(spark, "customers", []), BATCH["customers"])
     assert both.by_reason() == {} and both.valid.count() == 0
+
+
+def executions(spark):
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def test_reasons_are_counted_while_valid_rows_are_written(spark, tmp_path):
+    rows = [CUSTOMER | {"customer_id": f"C{i % 90}", "email": "a@x.com" if i % 7 else "bad"} for i in range(100)] + [CUSTOMER] * 5
+    both = conform(raw(spark, "customers", rows), BATCH["customers"])
+    valid, counted = both.observed()
+    before = executions(spark)
+    valid.write.parquet(str(tmp_path / "valid"))
+    found = counted()
+    assert executions(spark) == before + 1
+    assert found == both.by_reason() and sum(found.values()) == 105
+    assert spark.read.parquet(str(tmp_path / "valid")).count() == found[None]
+    valid, counted = conform(raw(spark, "customers", []), BATCH["customers"]).observed()
+    valid.write.parquet(str(tmp_path / "none"))
+    assert counted() == {}
+
+
+def test_redelivered_rows(spark):
+    """(text, moment, file): equal content in a later delivery; NULL is not empty text; equal rows of one delivery are alike."""
+    rows = [("a", 1, "f"), ("a", 1, "f"), ("a", 2, "g"), ("a", 2, "h"), (None, 1, "f"), ("", 2, "g"), (None, 3, None), ("b", None, "f"), ("b", 1, "f"), ("c", 1, "f")]
+    df = spark.createDataFrame([(t, "x||", m, i) for t, m, i in rows], "t string, u string, m int, _ingestion_id string").selectExpr("t", "u", "timestamp_seconds(m) _ingested_timestamp", "_ingestion_id")
+    got = sorted((str(r.t), r._ingested_timestamp is not None and r._ingested_timestamp.second, str(r._ingestion_id)) for r in redelivered(df).where("_redelivered").collect())
+    assert got == sorted([("a", 1, "f"), ("a", 1, "f"), ("a", 2, "g"), ("None", 1, "f"), ("b", False, "f")])
+    glued = spark.createDataFrame([("x||y", "z", 1), ("x", "y||z", 2)], "t string, u string, m int").selectExpr("t", "u", "timestamp_seconds(m) _ingested_timestamp")
+    assert redelivered(glued).where("_redelivered").count() == 0
+    assert redelivered(glued.drop("_ingested_timestamp")).where("_redelivered").count() == 0
+    assert redelivered(df.limit(0)).count() == 0
+
+
+def test_a_second_snapshot_changes_no_reason_but_one(spark):
+    first = [CUSTOMER | {"customer_id": f"C{i % 9}", "email": f"{i}@x.com" if i % 4 else "bad"} for i in range(12)] + [CUSTOMER | {"email": "a@x.com"}] * 2
+    one = raw(spark, "customers", first, "2024-01-01")
+    two = one.unionByName(raw(spark, "customers", first, "2024-01-02"))
+    want = conform(one, SILVER["customers"]).by_reason()
+    assert conform(two, SILVER["customers"], supersede=True).by_reason() == want | {REDELIVERED: 14}
+    assert conform(two, SILVER["customers"]).by_reason() != want | {REDELIVERED: 14}
+    kept = conform(two, SILVER["customers"], supersede=True)
+    assert {str(r._ingested_timestamp)[:10] for r in kept.valid.collect()} == {"2024-01-02"}
+    assert "_redelivered" not in kept.rejected.columns and kept.rejected.where("_raw.email is null").count() == 0

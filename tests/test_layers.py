@@ -77,6 +77,24 @@ def test_job_end_to_end_and_again(spark, delivered, tmp_path):
     assert dim.count() == dim.select("customer_id").distinct().count()
 
 
+def test_silver_takes_one_execution_for_each_output_and_a_second_snapshot_leaves_the_rate(spark, delivered, tmp_path):
+    root = str(tmp_path)
+    layers.ingest_bronze(spark, root, landing.discover(spark, delivered))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    first = layers.build_silver(spark, root, supersede=True)
+    assert store.executionsCount() == before + 2 * len(first)
+    again = str(tmp_path / "landing")
+    seed_landing(spark, again, "2026-01-06", "r2")
+    layers.ingest_bronze(spark, root, landing.discover(spark, again))
+    second = layers.build_silver(spark, root, supersede=True)
+    for name, n in first.items():
+        m = second[name]
+        assert m["bronze"] == 2 * n["bronze"] and m["redelivered"] == n["bronze"] and n["redelivered"] == 0
+        assert m["valid"] == n["valid"] and m["quarantine"] - m["redelivered"] == n["quarantine"]
+        assert VersionedTable(spark, f"{root}/bronze/{name}").rows() == layers.load(spark, root, "bronze", name).count() == m["bronze"]
+
+
 def test_threshold_is_strict_and_values_are_published(spark, delivered, tmp_path):
     run = Run(spark, delivered, str(tmp_path), DAY, threshold=0.0)
     done = run_job(run)

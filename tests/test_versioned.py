@@ -25,7 +25,7 @@ def test_versions_and_time_travel(spark, tmp_path):
     t.overwrite(people(spark, (1, "a"), (2, "b")))
     between = datetime.now(UTC)
     t.append(people(spark, (3, "c")))
-    assert t.read().count() == 3 and rows(t.read(version=0)) == [(1, "a"), (2, "b")] == rows(t.read(as_of=between))
+    assert t.read().count() == 3 == t.rows() and t.rows(0) == 2 and rows(t.read(version=0)) == [(1, "a"), (2, "b")] == rows(t.read(as_of=between))
     assert [(r.version, r.operation, r.rows_added) for r in t.history().collect()] == [(1, "APPEND", 1), (0, "OVERWRITE", 2)]
     assert [e["version"] for e in t.log()] == [0, 1]
     with pytest.raises(TableNotFoundError):
@@ -72,7 +72,7 @@ def test_one_row_rewrites_one_file(spark, tmp_path):
     t.update(F.col("id") < 0, {"name": F.lit("no")})
     assert t.entry(4)["remove"] == [] == t.entry(4)["add"]
     got = dict(rows(t.read()))
-    assert len(got) == 4002 and (got[17], got[18], got[9000], got[2500]) == ("new", "18", "far", "set")
+    assert len(got) == 4002 == t.rows() and [t.rows(v) for v in range(4)] == [4000, 4000, 4002, 4002] and (got[17], got[18], got[9000], got[2500]) == ("new", "18", "far", "set")
     assert t.read(version=0).count() == 4000 and dict(rows(t.read(version=0)))[17] == "17"
 
 
