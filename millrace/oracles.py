@@ -263,6 +263,13 @@ def _build() -> dict[str, str]:
     for flavour in ("batch", "silver"):
         for name in ORDER:
             add(f"conform_{flavour}_{name}", f"select coalesce(reason, 'VALID') as reason, count(*) as n from {flavour}_{name} group by 1")
+    def arrived(ts: str = "_ingested_timestamp") -> str:
+        return f"strftime({ts}, '%Y-%m-%d')"
+
+    run = "case when _ingested_timestamp < timestamp '2024-01-02' then 'first' else 'second' end"
+    add("landing_to_bronze", " union all ".join(f"select '{n}' as dataset_name, {arrived()} as ingestion_date, {run} as run_id, count(*) as n, count(*) as audited from r_{n} group by 2, 3" for n in ORDER))
+    add("silver_from_landing", " union all ".join(f"select '{n}' as dataset_name, {arrived()} as ingestion_date, coalesce(reason, 'VALID') as reason, count(*) as n from silver_{n} group by 2, 3" for n in ("customers", "products", "stores", "employees")))
+    add("silver_merge_customers", "select customer_id, address, loyalty_tier from c_customers_next")
     add("redelivered_snapshot", " union all ".join(f"select '{n}' as dataset_name, coalesce(reason, 'VALID') as reason, count(*) as n from redelivered_{n} group by 2" for n in ("customers", "products", "stores")))
     add("conform_valid", "select customer_id, first_name, last_name, concat_ws(' ', first_name, last_name) as full_name, email, phone, address, city, state, country, postal_code, signup_date, loyalty_tier from batch_customers where reason is null")
     add("conform_quarantine", "select customer_id, reason as quarantine_reason, raw_date as delivered_signup_date, raw_email as delivered_email from batch_customers where reason is not null")

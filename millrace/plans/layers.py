@@ -126,8 +126,8 @@ def silver_frames(bronze: dict[str, DataFrame]) -> dict[str, Conformed]:
     return out
 
 
-def build_silver(spark: SparkSession, root: str, supersede: bool = False) -> dict[str, dict[str, int]]:
-    """Full refresh of valid and quarantined rows of every dataset; each must add up to its source.
+def build_silver(spark: SparkSession, root: str, supersede: bool = False, names: tuple[str, ...] = ORDER) -> dict[str, dict[str, int]]:
+    """Full refresh of valid and quarantined rows of the datasets (parents before children); each must add up to its source.
 
     One execution for each output and none for counts: reasons are counted while the valid rows are written, the commits
     count what was written, and the log of Bronze says what came in. Parents are read back from what was just written.
@@ -136,7 +136,7 @@ def build_silver(spark: SparkSession, root: str, supersede: bool = False) -> dic
     """
     counts: dict[str, dict[str, int]] = {}
     valid: dict[str, DataFrame] = {}
-    for name in ORDER:
+    for name in names:
         spec = SILVER[name]
         bronze = bronze_table(spark, root, name)
         if not bronze.exists():

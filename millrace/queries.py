@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -18,11 +19,11 @@ from millrace.operators.incremental import KEPT
 from millrace.operators.keys import surrogate_keys
 from millrace.operators.kpi import KPI
 from millrace.operators.rules import BATCH, ORDER, SILVER
-from millrace.plans.layers import refresh_kpi
+from millrace.plans.layers import audit_table, build_silver, ingest_bronze, load, merge_customers, refresh_kpi
 from millrace.plans.serving import KPI_QUERIES, KPI_VIEWS, OPERATIONS, REPORTS, STAR_QUERIES, STAR_VIEWS
 from millrace.session import shared_dir, sql_over
 from millrace.sources.files import scan, scan_as_text, write
-from millrace.sources.landing import pending
+from millrace.sources.landing import discover, pending
 from millrace.sources.named import enable
 from millrace.sources.schema import DATASETS
 from millrace.sources.versioned import VersionedTable, merged
@@ -532,6 +533,77 @@ def _delivered(spark: SparkSession, sf_dir: str, name: str, file_format: str) ->
     return path
 
 
+#: The moments of ingestion in the raw tables, and the run that delivers what came in then.
+DELIVERIES = (("2024-01-01", "first"), ("2024-01-02", "second"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> str:
+    """Bronze of raw datasets that were landed as text files in two deliveries; the root of its tables.
+
+    Each delivery is discovered and ingested, and ingested again, first with its audit and then without, as after a crash
+    between the two commits.
+    """
+    root = _place(spark, "medallion")
+    for day, run in DELIVERIES:
+        landing = f"{root}/landing-{run}"
+        for name in names:
+            raw = frame(spark, sf_dir, f"r_{name}")
+            mine = raw.where(F.to_date("_ingested_timestamp") == day).drop("_ingested_timestamp")
+            path = f"{landing}/retail/{name}/ingestion_date={day}/run_id={run}"
+            if DATASETS[name].file_format == "json":
+                mine.write.json(path)
+            else:
+                mine.write.option("header", "true").csv(path)
+        files, at = discover(spark, landing), datetime.fromisoformat(f"{day}T00:00:00+00:00")
+        ingest_bronze(spark, root, files, at=at)
+        again = [ingest_bronze(spark, root, files, at=at)]
+        audit = audit_table(spark, root)
+        audit.overwrite(audit.read(audit.latest()).where(F.col("ingestion_date") != day))
+        again.append(ingest_bronze(spark, root, files, at=at))
+        if any(n for added in again for n in added.values()):
+            raise ValueError(f"files were ingested twice: {again}")
+    return root
+
+
+@query
+def landing_to_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of Bronze by delivery, and how many of them come from a file that the audit has."""
+    root = _ingested(spark, sf_dir, ORDER)
+    audited = audit_table(spark, root).read().where("status = 'SUCCESS'").select(F.col("ingestion_id").alias("_id"), F.col("dataset_name").alias("_dataset"))
+
+    def one(name: str) -> DataFrame:
+        rows = load(spark, root, "bronze", name).groupBy("_ingestion_id", "_ingestion_date", "_adf_run_id").agg(F.count("*").alias("n"))
+        rows = rows.join(audited.where(F.col("_dataset") == name), F.col("_ingestion_id") == F.col("_id"), "left")
+        rows = rows.groupBy(F.col("_ingestion_date").alias("ingestion_date"), F.col("_adf_run_id").alias("run_id")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_id").isNotNull(), F.col("n"))).alias("audited"))
+        return rows.withColumn("dataset_name", F.lit(name))
+
+    return reduce(DataFrame.unionByName, map(one, ORDER))
+
+
+@query
+def silver_from_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the landed rows of customers, products, stores and employees: the Silver tables by delivery and reason."""
+    names = ("customers", "products", "stores", "employees")
+    root = _ingested(spark, sf_dir, names)
+    build_silver(spark, root, names=names)
+
+    def one(name: str) -> DataFrame:
+        good = load(spark, root, "silver", name).select("_ingestion_date", F.lit("VALID").alias("reason"))
+        bad = load(spark, root, "silver", f"{name}_quarantine").select("_ingestion_date", F.col("quarantine_reason").alias("reason"))
+        return good.unionByName(bad).groupBy(F.col("_ingestion_date").alias("ingestion_date"), "reason").agg(F.count("*").alias("n")).withColumn("dataset_name", F.lit(name))
+
+    return reduce(DataFrame.unionByName, map(one, names))
+
+
+@query
+def silver_merge_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a second delivery merged into Silver: known ones take what is delivered, others are added."""
+    root = _place(spark, "medallion")
+    merge_customers(spark, root, frame(spark, sf_dir, "c_customers").where("cast(substring(customer_id, 6) as int) % 100 <> 0"))
+    merge_customers(spark, root, frame(spark, sf_dir, "c_customers_next"))
+    return load(spark, root, "silver", "customers").select("customer_id", "address", "loyalty_tier")
+
+
 @query
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as CSV under the declared schema: columns that are not delivered are NULL."""

@@ -20,6 +20,7 @@ SOME = [
     "revenue_by_region_channel", "category_return_rate", "curated_sales_lines", "conform_batch_orders", "conform_silver_payments", "conform_valid", "gold_daily", "gold_store_region", "margin_last30", "dim_date",
     "surrogate_keys_incremental", "scd1_merge", "upsert_merge", "scd2_incremental", "scd2_recovery", "fact_sales_pit", "star_sales_by_tier", "quality_scd2", "merge_read", "history_ops", "ingest_pending_files", "pit_versions",
     "gold_category_refreshed", "change_feed", "named_read", "redelivered_snapshot",
+    "silver_from_landing", "silver_merge_customers",
 ]
 
 
