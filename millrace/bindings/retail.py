@@ -95,6 +95,9 @@ RAW = {
 
 _LINE = """select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as rn from lineitem"""
 
+# of rows with one key the first by the columns that order items show; those after them would change nothing that is shown
+_ITEM = """select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) as rn from lineitem"""
+
 CLEAN = {
     "c_customers": f"""
       select {_id("CUST", "c_custkey", 6)} as customer_id, 'First' || cast(c_custkey as string) as first_name, 'Last' as last_name, c_name as full_name, 'c' || cast(c_custkey as string) || '@example.com' as email,
@@ -122,7 +125,7 @@ CLEAN = {
         cast(l_extendedprice as decimal(10,2)) as unit_price, cast(l_discount as decimal(5,2)) as discount_percent,
         cast(cast(l_quantity as int) * cast(l_extendedprice as decimal(10,2)) * cast(l_discount as decimal(5,2)) as decimal(10,2)) as discount_amount,
         cast(cast(l_quantity as int) * cast(l_extendedprice as decimal(10,2)) - cast(cast(l_quantity as int) * cast(l_extendedprice as decimal(10,2)) * cast(l_discount as decimal(5,2)) as decimal(10,2)) as decimal(10,2)) as net_amount
-      from ({_LINE}) d where rn = 1""",
+      from ({_ITEM}) d where rn = 1""",
     "c_returns": f"""
       select 'RET-' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as return_id, 'ITEM-' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as order_item_id,
         cast(l_shipdate as timestamp) as return_timestamp, case l_orderkey % 3 when 0 then 'DEFECTIVE' when 1 then 'WRONG_SIZE' else 'UNSATISFIED' end as return_reason,

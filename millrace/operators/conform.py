@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from millrace.functions.expr import blank, first_reason, row_hash
+from millrace.session import reliable
 
 #: Columns that describe the delivery, not the record; the ingestion id is part of the content.
 SYSTEM = {"_source_file", "_source_path", "_ingestion_date", "_adf_run_id", "_ingested_timestamp"}
@@ -15,6 +16,8 @@ SYSTEM = {"_source_file", "_source_path", "_ingestion_date", "_adf_run_id", "_in
 REDELIVERED = "REDELIVERED"
 #: What tells one delivery from another, the first to differ deciding which is later.
 DELIVERY = ("_ingested_timestamp", "_ingestion_date", "_ingestion_id")
+#: Repeated keys, as hashes of 8 bytes, that may be broadcast.
+REPEATED = 1_000_000
 #: Window partitions over which rows without a key are dealt, as they need no rank.
 SALTS = 997
 
@@ -185,7 +188,27 @@ def referenced(child: DataFrame, parent: DataFrame, column: str, key: str | None
     return child.join(keys, F.col(column) == F.col("_key"), "left_semi")
 
 
-def latest(df: DataFrame, keys: Iterable[str], order: Iterable[Column]) -> DataFrame:
-    """One row for each key: the first by ``order``, ties broken by a hash of the row."""
-    w = Window.partitionBy(*keys).orderBy(*order, row_hash(df.columns).asc())
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+def latest(df: DataFrame, keys: Iterable[str], order: Iterable[Column], bound: int = REPEATED) -> DataFrame:
+    """One row for each key: the first by ``order``, ties broken by a hash of the row. NULL keys are one key.
+
+    A first pass counts rows by a 64-bit hash of the key, with partial sums, so only hashes are shuffled. Where up to ``bound``
+    hashes repeat, they are broadcast, rows of other keys stay where they are, and only rows that share a hash are ranked (keys
+    that merely meet in one are ranked apart). Beyond it all rows are ranked. ``df`` is read up to three times, so it should be
+    a table or what was written, not a costly plan, and give the same rows each time.
+    """
+    keys, order = list(keys), list(order)
+    hashed = F.xxhash64(*(F.col(f"`{k}`") for k in keys))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order, row_hash(df.columns).asc())
+        return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
+    repeated = reliable(df.select(hashed.alias("_twice")).groupBy("_twice").count().where("count > 1").select("_twice"))
+    n = repeated.count()
+    if n > bound:
+        return ranked(df)
+    if not n:
+        return df
+    repeated = F.broadcast(repeated)
+    single = df.join(repeated, hashed == F.col("_twice"), "left_anti")
+    return single.unionByName(ranked(df.join(repeated, hashed == F.col("_twice"), "left_semi")))

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from millrace.functions.expr import as_date, as_timestamp, blank, flag, money, row_hash
-from millrace.operators.conform import REDELIVERED, conform, orphans, redelivered, referenced
+from millrace.operators.conform import REDELIVERED, conform, latest, orphans, redelivered, referenced
 from millrace.operators.rules import BATCH, SILVER
 from millrace.plans.batch import Metric
 from millrace.sources.schema import DATASETS
@@ -143,3 +143,25 @@ def test_a_second_snapshot_changes_no_reason_but_one(spark):
     kept = conform(two, SILVER["customers"], supersede=True)
     assert {str(r._ingested_timestamp)[:10] for r in kept.valid.collect()} == {"2024-01-02"}
     assert "_redelivered" not in kept.rejected.columns and kept.rejected.where("_raw.email is null").count() == 0
+
+
+def test_latest_ranks_only_rows_of_repeated_keys(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "t")
+    spark.range(3000).selectExpr("case when id % 3 = 0 then 7 when id < 40 then null when id < 60 then id div 2 else id end as k", "id % 5 as v", "cast(id % 11 as string) as w").union(spark.range(2).selectExpr("9999", "4", "'same'")).write.parquet(path)
+    df = spark.read.parquet(path)
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.k, []).append(r)
+    order = [F.col("v").desc(), F.col("w").asc()]
+    for bound in (1_000_000, 0):
+        got = latest(df, ["k"], order, bound).collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert (r.v, r.w) == min(((x.v, x.w) for x in want[r.k]), key=lambda p: (-p[0], p[1]))
+    plan = latest(df, ["k"], order)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("hashpartitioning(k") == 1
+    once = df.where("k > 100 and k < 9999")
+    assert "Window" not in latest(once, ["k"], order)._jdf.queryExecution().executedPlan().toString()
+    assert latest(df.limit(0), ["k"], order).count() == 0
