@@ -54,3 +54,14 @@ def test_rows_match_sql_but_for_what_it_leaves_open(spark, wide, name):
 def test_type1_gives_each_row_that_shares_an_id_a_key(spark, wide):
     got, want = both(spark, wide, "scd1_merge", frozenset({"unit_price"}))
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["category_product_rank", "curated_sales_lines"])
+def test_ranks_match_sql(spark, wide, name):
+    got, want = both(spark, wide, name)
+    assert got == want
+
+
+def test_lines_are_summed_before_they_meet_products(spark, wide):
+    plan = QUERIES["category_product_rank"](spark, wide[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Aggregate [product_id" in line for line in plan.splitlines())
