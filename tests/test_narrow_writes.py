@@ -35,3 +35,14 @@ def test_checks_keep_the_columns_of_facts_that_they_look_at(spark, wide, written
     got, want = both(spark, wide, name)
     assert got == want
     assert written["fact_sales"] == columns and "fact_returns" not in written
+
+
+def test_quality_metrics_keep_reasons_and_what_references_read(spark, wide, written):  # noqa: F811
+    got, want = both(spark, wide, "quality_metrics")
+    assert got == want
+    assert written["customers"] == {"customer_id", "_reason"} and written["orders"] == {"order_id", "total_amount", "_reason"} and written["payments"] == {"_reason"}
+
+
+def test_the_hash_that_breaks_ties_takes_half_the_bytes(spark, wide):  # noqa: F811
+    plan = queries.QUERIES["conform_batch_payments"](spark, wide[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex(sha2(" in plan
