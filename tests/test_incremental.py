@@ -142,3 +142,36 @@ def test_refresh_builds_whole_what_it_cannot_follow(spark, tmp_path):
     gold.overwrite(gold.read().where("false"))  # by somebody who says nothing of versions
     assert layers.refresh_gold(spark, root)[gold.path.rsplit("/", 1)[1]] is None
     assert shown(spark, root) == whole(spark, root)
+
+
+def test_a_merge_of_few_rows_keeps_what_it_changed(spark, tmp_path):
+    t = VersionedTable(spark, tmp_path / "t")
+    t.overwrite(spark.range(0, 400, 1, 4).select(F.when(F.col("id") != 7, F.col("id")).alias("k"), (F.col("id") % 3).alias("v"), F.lit("x").alias("kept")))
+    source = spark.createDataFrame([(3, 5, "y"), (4, 5, "y"), (150, 0, "y"), (900, 1, "new"), (None, 2, "none")], "k long, v long, kept string")
+    # 3 and 150 have v = 0, 4 has 1 and stays; 900 and the row without a key are new
+    t.merge(source, "k", lambda a, b: F.col(f"{a}.v") == 0, ("kept",))
+    assert t.entry(1)["opened"] == 4 and len(t.entry(1)["remove"]) == 2 and t.entry(1)["rows_added"] == 2 == t.rows() - 400 and t.read().count() == 402
+    assert sorted(map(tuple, t.read().where("k in (3, 4, 150, 900) or v = 2 and kept = 'none'").collect()), key=str) == [(150, 0, "x"), (3, 5, "x"), (4, 1, "x"), (900, 1, "new"), (None, 2, "none")]
+    assert t.read().where("k is null").count() == 2
+    want = sorted([(3, 0, "x", "delete", 1), (3, 5, "x", "insert", 1), (900, 1, "new", "insert", 1), (None, 2, "none", "insert", 1)], key=str)
+    feed = t.changes(0)
+    assert sorted(map(tuple, feed.collect()), key=str) == want and all("/_changes/" in f for f in feed.inputFiles())
+    # one commit that only adds and one that keeps its changes, summed up; then one that keeps nothing
+    t.append(spark.createDataFrame([(901, 1, "a")], "k long, v long, kept string"))
+    t.merge(spark.createDataFrame([(3, 0, "x"), (900, 2, "new")], "k long, v long, kept string"), "k")
+    want = sorted([(900, 2, "new", "insert", 1), (901, 1, "a", "insert", 1), (None, 2, "none", "insert", 1)], key=str)
+    feed = t.changes(0)
+    assert sorted(map(tuple, feed.collect()), key=str) == want and sum("/_changes/" in f for f in feed.inputFiles()) > 1
+    t.update(F.col("k") == 901, {"v": F.lit(0)})
+    assert sorted(map(tuple, t.changes(0, columns=["k"]).collect()), key=str) == sorted([(900, "insert", 1), (901, "insert", 1), (None, "insert", 1)], key=str)
+
+
+def test_a_merge_of_few_rows_moves_only_them(spark, tmp_path, monkeypatch):
+    """Also with more keys than are broadcast, and where rows of the table share a key."""
+    for limit in (10, 1):
+        monkeypatch.setattr("millrace.sources.versioned.BROADCAST_KEYS", limit)
+        t = VersionedTable(spark, tmp_path / f"t{limit}")
+        t.overwrite(spark.range(0, 200, 1, 4).selectExpr("id % 100 as a", "id % 2 as b", "'x' as name"))
+        t.merge(spark.createDataFrame([(5, 1, "new"), (5, 0, "added")], "a long, b long, name string"), ["a", "b"])
+        assert Counter(map(tuple, t.read().where("a = 5").collect())) == Counter({(5, 1, "new"): 2, (5, 0, "added"): 1}) and t.read().count() == 201
+        assert sorted(map(tuple, t.changes(0).collect())) == [(5, 0, "added", "insert", 1), (5, 1, "new", "insert", 2), (5, 1, "x", "delete", 2)]
