@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators.checks import METRIC_SCHEMA
 from millrace.operators.conform import Conformed, ReconciliationError, conform
-from millrace.operators.curate import curated_sales
+from millrace.operators.curate import curated_sales, summed_by_order
 from millrace.operators.rules import BATCH, ORDER
 from millrace.plans.serving import REPORTS
 from millrace.sources.files import scan, write
@@ -78,8 +78,10 @@ def run_batch(spark: SparkSession, source: str, target: str) -> dict[str, Metric
 
 
 def register_views(spark: SparkSession, target: str) -> None:
-    """v_curated_sales and v_<dataset> for the reports."""
-    spark.read.parquet(joined_uri(target, "curated", "sales")).createOrReplaceTempView("v_curated_sales")
+    """v_curated_sales, v_order_totals and v_<dataset> for the reports."""
+    lines = spark.read.parquet(joined_uri(target, "curated", "sales"))
+    lines.createOrReplaceTempView("v_curated_sales")
+    summed_by_order(lines).createOrReplaceTempView("v_order_totals")
     for name in ORDER:
         spark.read.parquet(joined_uri(target, "clean", name)).createOrReplaceTempView(f"v_{name}")
 
