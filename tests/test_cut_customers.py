@@ -35,7 +35,7 @@ def both(spark, shared, name):
     return tuple(sorted([plain(v) for v in r] for r in rows) for rows in (df.select(*cols).collect(), want.select(*cols).fetchall()))
 
 
-@pytest.mark.parametrize("name", ["gold_customer_refreshed", "quality_unknown", "quality_uniqueness", "quality_completeness", "quality_ri", "quality_measures"])
+@pytest.mark.parametrize("name", ["gold_customer_refreshed", "quality_unknown", "quality_uniqueness", "quality_completeness", "quality_ri", "quality_measures", "star_category_profit"])
 def test_query_matches_sql(spark, shared, name):
     got, want = both(spark, shared, name)
     assert got == want
